@@ -8,8 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, sharding, simhash, snapshots, topk
-from plumbline.llm.common import table, written
+from plumbline.llm import bpe, decontaminate, sharding, simhash, snapshots, topk, toxicity
+from plumbline.llm.common import remainder, table, written
+
+
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.learn_grammar(docs, table(spark, sf_dir, "labels"), spark, toxicity.train_rows(3, 1))
+    found = toxicity.scores(docs, grammar, spark)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *toxicity.CHANNELS)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity_grammar": op2_toxicity_grammar,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_snapshot_chats": op7_snapshot_chats,
