@@ -10,7 +10,8 @@ composes them into one machine:
 * ``negation`` marks what the next ``REACH`` words emit as denied;
 * ``report`` marks what follows a verb of report, or stands in quotation marks, as quoted.
 
-Every match leaves through one output channel: aimed or plain insults, threats, denied and quoted ones. A document's
+Every match leaves through one output channel: aimed or plain insults, threats, denied and quoted ones. A last
+channel relates what the first three emit to the length of the text. A document's
 score is a logistic function of the channels' weight sums over its clauses; isolated words count only as
 part of a match. Terminals (words, and stems that begin words) and the channels' weights are learned from at most
 ``sample`` labelled rows, and start from the given word lists, which hold where labels are too few. Only the text of
@@ -46,9 +47,10 @@ NEGATIONS = "not never no isn aren wasn don doesn nicht kein keine nie ne pas ja
 REPORTS = "said says say called calls wrote writes told quoted sagte sagt schrieb dit écrit dijo dice escribió".split()
 
 REACH = 4
-CHANNELS = ("aimed", "plain", "threat", "denied", "quoted")
+#: The last one is what the first three have emitted, per hundred words.
+CHANNELS = ("aimed", "plain", "threat", "denied", "quoted", "density")
 #: Channel weights before any label is seen, and the intercept.
-START = np.array([1.2, 1.0, 1.5, 0.2, 0.2])
+START = np.array([1.2, 1.0, 1.5, 0.2, 0.2, 0.5])
 INTERCEPT = -2.5
 INSULT_WEIGHT, THREAT_WEIGHT = 3.0, 3.0
 WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”«»]")
@@ -99,6 +101,7 @@ class Grammar:
                 elif not QUOTES.isdisjoint(tokens[start:i]):
                     quoted ^= sum(t in QUOTES for t in tokens[start:i]) % 2 == 1
                 start = i + 1
+        out[5] = 100 * out[:3].sum() / (len(tokens) + 20)
         return out
 
     def _clause(self, tokens: list[str], quoted: bool, out: np.ndarray) -> bool:
@@ -190,17 +193,24 @@ def learn_terminals(rows: DataFrame, spark: SparkSession, toxic: int, clean: int
     p, q = toxic / (toxic + clean), clean / (toxic + clean)
     for term, a in counts.items():
         b = opposed.get(term, 0)
-        weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        weight = odds - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) + 1  # what the counts leave open is held against a term
         share = a / (a + b)
         # Chernoff bound of a toxic rows among a + b under the base rate
         bound = -(a + b) * (share * math.log(share / p) + (0 if b == 0 else (1 - share) * math.log((1 - share) / q)))
         if share > p and weight >= least and bound + math.log(len(counts)) < math.log(0.01):
             taken[term] = weight
     words = {t: w for t, w in taken.items() if not t.endswith("-")}
+    one_word: dict[str, int] = {}  # rows of the most frequent word of each stem: a stem that is one word is no stem
+    for word, a in counts.items():
+        if not word.endswith("-"):
+            for n in STEM:
+                if len(word) >= n:
+                    one_word[word[:n]] = max(a, one_word.get(word[:n], 0))
     stems: dict[str, float] = {}
     for term in sorted((t[:-1] for t in taken if t.endswith("-")), key=lambda s: (len(s), s)):
         shorter = [stems[term[:n]] for n in STEM if n < len(term) and term[:n] in stems]
-        if not shorter or taken[term + "-"] > max(shorter) + 0.5:
+        if one_word.get(term, 0) <= 0.6 * counts[term + "-"] and (not shorter or taken[term + "-"] > max(shorter) + 0.5):
             stems[term] = taken[term + "-"]
     return words, stems
 
