@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, sharding, simhash, snapshots, topk, toxicity
+from plumbline.llm import bpe, decontaminate, quality, sharding, simhash, snapshots, topk, toxicity
 from plumbline.llm.common import remainder, table, written
 
 
+def op1_quality_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), spark, quality.train_rows(5, 0))
+    found = quality.scores(docs, model, spark)
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = toxicity.learn_grammar(docs, table(spark, sf_dir, "labels"), spark, toxicity.train_rows(3, 1))
@@ -58,6 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_nnpu": op1_quality_nnpu,
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
