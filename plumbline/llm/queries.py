@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, quality, sharding, simhash, snapshots, topk, toxicity
+from plumbline.llm import bpe, decontaminate, htmltext, quality, sharding, simhash, snapshots, topk, toxicity
 from plumbline.llm.common import remainder, table, written
 
 
@@ -45,6 +45,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return snapshots.render(conversations, snapshots.maximal(written(snapshots.prefixes(conversations), spark)))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_text_density": op6_text_density,
     "op7_snapshot_chats": op7_snapshot_chats,
     "op8_bounded_ring": op8_bounded_ring,
     "op9_exact_topk": op9_exact_topk,
