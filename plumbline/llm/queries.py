@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, htmltext, quality, sharding, simhash, snapshots, topk, toxicity
+from plumbline.llm import bpe, decontaminate, htmltext, lm, quality, sharding, simhash, snapshots, topk, toxicity
 from plumbline.llm.common import remainder, table, written
 
 
@@ -28,6 +28,12 @@ def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *toxicity.CHANNELS)
 
 
+def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    found = lm.language_model_scores(table(spark, sf_dir, "documents"), spark, ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spark)
     return found.select(
@@ -72,6 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_nnpu": op1_quality_nnpu,
     "op2_toxicity_grammar": op2_toxicity_grammar,
+    "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_text_density": op6_text_density,
