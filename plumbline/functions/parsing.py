@@ -6,6 +6,7 @@ A null decision is a missing one; null labels mean that nothing could be read, [
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,30 +69,44 @@ def extract_explanation(response: Column, response_format: str) -> Column:
     return F.lit(None).cast("string")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used: a projection would repeat its expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _value_after(text: Column, lead: str) -> Column:
     """The boolean after the first occurrence of a key; null where the key isn't followed by one."""
     found = F.lower(F.regexp_extract(text, rf"(?iU){lead}:{SPACE}*(true|false)", 1))
-    return F.when(found == "true", True).when(found == "false", False)
+    return F.nullif(found, F.lit("")) == "true"
 
 
-def json_decisions(text: Column, taxonomy: Taxonomy) -> list[Column]:
-    """One nullable boolean per category: quoted full keys; where none is found quoted ids; where none either, bullets."""
-    leads = (
+def json_decisions(text: Column, taxonomy: Taxonomy) -> Column:
+    """An array with a nullable boolean per category: quoted full keys; where none is found quoted ids; where none
+    either, bullets."""
+    steps = (
         [f'"{quoted(taxonomy.output_key(i))}"' for i in taxonomy.ids],
         [f'"{quoted(i)}"' for i in taxonomy.ids],
         [rf"\*{SPACE}*{quoted(taxonomy.output_key(i))}" for i in taxonomy.ids],
     )
-    steps = [[_value_after(text, lead) for lead in step] for step in leads]
-    any_of = [F.coalesce(*step).isNotNull() for step in steps]
-    return [F.when(any_of[0], steps[0][k]).when(any_of[1], steps[1][k]).otherwise(steps[2][k]) for k in range(len(taxonomy))]
 
+    def read(t: Column, rest: tuple[list[str], ...]) -> Column:
+        values = F.array(*(_value_after(t, lead) for lead in rest[0]))
+        return values if len(rest) == 1 else let(values, lambda v: F.when(decided(v), v).otherwise(read(t, rest[1:])))
+
+    return let(text, lambda t: read(t, steps))
+
+
+def decided(flags: Column) -> Column:
+    """Whether any decision is there."""
+    return F.exists(flags, lambda f: f.isNotNull())
 
-def simple_decisions(text: Column, taxonomy: Taxonomy) -> list[Column]:
-    """One boolean per category: whether its id stands alone in the text."""
+
+def simple_decisions(text: Column, taxonomy: Taxonomy) -> Column:
+    """An array with a boolean per category: whether its id stands alone in the text."""
     for i in taxonomy.ids:
         if not re.search(r"\w\Z", i):
             raise ValueError(f"the simple style needs ids that end in a letter or digit, not {i!r}")
-    return [text.rlike(rf"(?iU)(?<!{WORD}){quoted(i)}(?!{WORD})") for i in taxonomy.ids]
+    return F.array(*(text.rlike(rf"(?iU)(?<!{WORD}){quoted(i)}(?!{WORD})") for i in taxonomy.ids))
 
 
 def parse_response(response: Column, taxonomy: Taxonomy, response_format: str = "think_answer", output_style: str = "json", scope: str = "answer_only", require_block_prefix: bool = True) -> Column:
@@ -99,45 +114,46 @@ def parse_response(response: Column, taxonomy: Taxonomy, response_format: str =
     _known(response_format, FORMATS)
     _known(output_style, STYLES)
     _known(scope, SCOPES)
-    text = F.coalesce(response, F.lit(""))
-    sectioned = response_format != "plain"
-    answer = extract_answer(text, response_format) if sectioned else F.lit(None).cast("string")
-    if scope == "answer_only" and sectioned:
-        target, source = answer, F.when(answer.isNotNull(), "answer")
-    elif scope == "answer_or_full":
-        target, source = F.coalesce(answer, text), F.when(answer.isNotNull(), "answer").otherwise("full_response")
-    else:
-        target, source = text, F.lit("full_response")
-
-    ids = literal_array(taxonomy.ids)
-    none = F.lit(None).cast("boolean")
-    if output_style == "simple":
-        flags = simple_decisions(target, taxonomy)
-        prefixed = target.rlike(rf"(?iU){quoted(taxonomy.block_name)}{SPACE}*:") if require_block_prefix else F.lit(True)
-        readable, why = F.coalesce(prefixed, F.lit(False)), f"'{taxonomy.block_name}:' prefix not found"
-    else:
-        flags = json_decisions(target, taxonomy)
-        readable, why = F.coalesce(*flags).isNotNull(), "no category decisions found"
-    # a null flag of the simple style stands for a text that isn't there
-    positive = F.filter(F.array(*(F.when(f, F.lit(i)) for i, f in zip(taxonomy.ids, flags))), lambda x: x.isNotNull())
-    status = (
-        F.when(target.isNull() | ~readable, "invalid")
-        .when(F.lit(output_style == "simple") | F.forall(F.array(*flags), lambda f: f.isNotNull()), "ok")
-        .otherwise("partial")
-    )
-    valid = status != "invalid"
-    historical = F.when(target.isNull(), F.array().cast("array<string>")).otherwise(positive)
-    return F.struct(
-        status.alias("status"),
-        F.map_from_arrays(ids, F.array(*(F.when(valid, f).otherwise(none) for f in flags))).alias("decisions"),
-        F.when(valid, positive).alias("labels"),
-        historical.alias("historical_labels"),
-        source.alias("source"),
-        (answer.isNotNull() if sectioned else none).alias("answer_found"),
-        format_ok(text, response_format).alias("format_ok"),
-        F.when(target.isNull(), "answer section not found").when(~readable, why).alias("error"),
-        extract_explanation(text, response_format).alias("explanation"),
-    )
+    sectioned, simple = response_format != "plain", output_style == "simple"
+    none, ids, empty = F.lit(None).cast("boolean"), literal_array(taxonomy.ids), F.array().cast("array<string>")
+    why = f"'{taxonomy.block_name}:' prefix not found" if simple else "no category decisions found"
+
+    def of_text(text: Column) -> Column:
+        answer = extract_answer(text, response_format) if sectioned else F.lit(None).cast("string")
+        return let(answer, lambda a: of_answer(text, a))
+
+    def of_answer(text: Column, answer: Column) -> Column:
+        if scope == "answer_only" and sectioned:
+            target, source = answer, F.when(answer.isNotNull(), "answer")
+        elif scope == "answer_or_full":
+            target, source = F.coalesce(answer, text), F.when(answer.isNotNull(), "answer").otherwise("full_response")
+        else:
+            target, source = text, F.lit("full_response")
+        flags = let(target, lambda t: simple_decisions(t, taxonomy) if simple else json_decisions(t, taxonomy))
+        if not simple:
+            prefixed = F.lit(True)
+        else:
+            prefixed = F.coalesce(target.rlike(rf"(?iU){quoted(taxonomy.block_name)}{SPACE}*:"), F.lit(False)) if require_block_prefix else F.lit(True)
+        return let(F.struct(flags.alias("flags"), prefixed.alias("prefixed"), target.isNull().alias("none")), lambda r: result(text, answer, source, r))
+
+    def result(text: Column, answer: Column, source: Column, r: Column) -> Column:
+        flags, absent = r["flags"], r["none"]
+        readable = ~absent & (r["prefixed"] if simple else decided(flags))
+        whole = F.lit(True) if simple else F.forall(flags, lambda f: f.isNotNull())
+        positive = F.filter(F.transform(F.arrays_zip(flags.alias("f"), ids.alias("i")), lambda z: F.when(z["f"], z["i"])), lambda x: x.isNotNull())
+        return F.struct(
+            F.when(~readable, "invalid").when(whole, "ok").otherwise("partial").alias("status"),
+            F.map_from_arrays(ids, F.when(readable, flags).otherwise(F.array(*[none] * len(taxonomy)))).alias("decisions"),
+            F.when(readable, positive).alias("labels"),
+            F.when(absent, empty).otherwise(positive).alias("historical_labels"),
+            source.alias("source"),
+            (answer.isNotNull() if sectioned else none).alias("answer_found"),
+            format_ok(text, response_format).alias("format_ok"),
+            F.when(absent, "answer section not found").when(~readable, why).alias("error"),
+            extract_explanation(text, response_format).alias("explanation"),
+        )
+
+    return let(F.coalesce(response, F.lit("")), of_text)
 
 
 def missing_categories(decisions: Column, taxonomy: Taxonomy) -> Column:
