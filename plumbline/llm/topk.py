@@ -13,7 +13,7 @@ has a fixed bound however many queries there are.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of different lengths have no
 product and aren't compared; empty vectors score 0. Rows that share a query's id count as its own row and are no candidates for it.
-Rows without an id take no part. Ties go to the smaller id; repeated candidate rows each take a rank.
+Rows without an id take no part. Ties go to the smaller id; repeated candidate rows each take a rank. Scores that 64 bits cannot hold saturate.
 """
 
 from __future__ import annotations
