@@ -78,7 +78,7 @@ def _write(spark, recipe, splits, taxonomy, output, base: Path, dry_run: bool, o
     rows = build_output(splits[split], taxonomy, output, prompt).persist()
     try:
         rl = "response" in rows.columns
-        counts = rows.select(F.explode("response" if rl else "labels").cast("string").alias("v")).groupBy("v").count().collect()
+        counts = rows.select(F.explode("response" if rl else "labels").alias("v")).groupBy(F.col("v").cast("string").alias("v")).count().collect()
         sizes = rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).first()
         done = {"kind": output["kind"], "split": split, "path": target, "rows": sizes.n, "unique_ids": sizes.ids, "prompt": info, "label_counts": {r.v: r["count"] for r in counts}, "oversample": output.get("oversample") or []}
         if not dry_run:

@@ -12,8 +12,6 @@ from plumbline.sources.lines import lines
 from plumbline.sources.records import DataError, load_json_lines
 from plumbline.taxonomy import Taxonomy
 
-NO_TEXT = F.lit(None).cast("array<string>")
-
 
 def _none() -> Column:
     return F.array().cast("array<string>")
@@ -26,7 +24,7 @@ def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _items(spark: SparkSession, path: str) -> DataFrame:
     """path, place and item (variant) of the JSON arrays in files."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return whole.select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("doc"))
 
 

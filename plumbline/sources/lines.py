@@ -15,7 +15,7 @@ def lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     is split among tasks, and ord is only a unique number.
     """
     if numbered:
-        whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+        whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
         rows = whole.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("at", "line"))
         rows = rows.select("path", (F.col("at") + 1).cast("bigint").alias("ord"), "line")
     else:
