@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 WIDE = 256
 #: Pieces that a worker remembers before it forgets them all.
-MEMORY = 400_000
+MEMORY = 250_000
 NONE = np.int64(1) << 62
 
 
@@ -216,7 +216,7 @@ class Encoder:
         return b"".join(map(self.vocab.tokens.__getitem__, ids))
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
     start = 0
