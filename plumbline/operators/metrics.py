@@ -41,38 +41,36 @@ def sample_counts(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pre
     return wide.select("*", *(_total([F.col(f"{x}_{k}") for k in n]).alias(x) for x in ("tp", "fp", "fn")))
 
 
-def confusion(counted: DataFrame) -> list[Column]:
-    """Aggregates of ``sample_counts`` rows: n, tp, fp, fn, per-category counts, and exact and binary counts."""
+def confusion(counted: DataFrame, weight: str | None = None) -> list[Column]:
+    """Aggregates of ``sample_counts`` rows: n, tp, fp, fn, per-category counts, and exact and binary counts.
+
+    With ``weight`` the rows stand for that many samples each, and hold sums of their categories' flags.
+    """
     columns = [c for c in counted.columns if c[:3] in ("tp_", "fp_", "fn_") and c[3:].isdigit()]
     unsafe, flagged = (F.col("tp") + F.col("fn")) > 0, (F.col("tp") + F.col("fp")) > 0
+    each = F.col(weight) if weight else F.lit(1)
     one = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0).cast("bigint"))
+    of = lambda c: one(F.when(c, each))
     return [
-        F.count("*").alias("n"),
-        *(one(F.col(c)).alias(c) for c in columns + ["tp", "fp", "fn"]),
-        one((F.col("fp") + F.col("fn")) == 0).alias("n_exact"),
-        one(unsafe).alias("n_unsafe"),
-        one(unsafe & flagged).alias("n_binary_tp"),
-        one(~unsafe & flagged).alias("n_false_refusal"),
-        one(unsafe & ~flagged).alias("n_missed_violation"),
+        one(each).alias("n"),
+        *(one(F.col(c)).alias(c) for c in columns),
+        *(one(F.col(c) * each).alias(c) for c in ("tp", "fp", "fn")),
+        of((F.col("fp") + F.col("fn")) == 0).alias("n_exact"),
+        of(unsafe).alias("n_unsafe"),
+        of(unsafe & flagged).alias("n_binary_tp"),
+        of(~unsafe & flagged).alias("n_false_refusal"),
+        of(unsafe & ~flagged).alias("n_missed_violation"),
     ]
 
 
-def _ratio_means(counted: DataFrame) -> DataFrame:
-    """Means over samples of Jaccard, precision, recall and F1, from the counts of each (tp, fp, fn)."""
-    by = counted.groupBy("tp", "fp", "fn").agg(F.count("*").alias("c"))
+RATIOS = ("jaccard_similarity", "sample_precision", "sample_recall", "sample_f1")
+
+
+def _ratio_sums() -> Column:
+    """Rows of (tp, fp, fn, c) with the ratios of such a sample times c, in order: the same sum for any partitions."""
     tp, fp, fn, c = (F.col(x) for x in ("tp", "fp", "fn", "c"))
-    values = {
-        "jaccard_similarity": F.when(tp + fp + fn == 0, 1.0).otherwise(_div(tp, tp + fp + fn)),
-        "sample_precision": _div(tp, tp + fp),
-        "sample_recall": _div(tp, tp + fn),
-        "sample_f1": _div(2 * tp, 2 * tp + fp + fn),
-    }
-    # at most (K + 1)^3 groups: gathered and added in their order
-    rows = by.select(F.struct("tp", "fp", "fn", c.alias("c"), *((v * c).alias(k) for k, v in values.items())).alias("r"))
-    ordered = rows.agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    total = F.aggregate(F.transform("rs", lambda r: r["c"]), F.lit(0).cast("bigint"), add)
-    sums = [F.aggregate(F.transform("rs", lambda r: r.getField(name)), F.lit(0.0), add) for name in values]
-    return ordered.select(*(_div(s, total).alias(k) for s, k in zip(sums, values)))
+    values = (F.when(tp + fp + fn == 0, 1.0).otherwise(_div(tp, tp + fp + fn)), _div(tp, tp + fp), _div(tp, tp + fn), _div(2 * tp, 2 * tp + fp + fn))
+    return F.array_sort(F.collect_list(F.struct("tp", "fp", "fn", "c", *((v * c).alias(k) for k, v in zip(RATIOS, values)))))
 
 
 def category_metrics(row: DataFrame, taxonomy: Taxonomy) -> dict[str, list[Column]]:
@@ -101,7 +99,10 @@ def per_category(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pred
 def summary(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pred: str = "pred") -> DataFrame:
     """One row with every metric that isn't per category."""
     counted = sample_counts(samples, taxonomy, truth, pred)
-    row = counted.agg(*confusion(counted))
+    flags = [c for c in counted.columns if c[:3] in ("tp_", "fp_", "fn_") and c[3:].isdigit()]
+    # one pass over the samples: at most one group for each (tp, fp, fn), and the rest works on those
+    groups = counted.groupBy("tp", "fp", "fn").agg(F.count("*").alias("c"), *(F.sum(f).alias(f) for f in flags))
+    row = groups.agg(*confusion(groups, "c"), _ratio_sums().alias("rs"))
     by = category_metrics(row, taxonomy)
     n, tp, fp, fn, k = F.col("n"), F.col("tp"), F.col("fp"), F.col("fn"), len(taxonomy)
     support = by["n_positive_gt"]
@@ -130,7 +131,8 @@ def summary(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pred: str
         "n_false_refusal": bfp,
         "n_missed_violation": bfn,
     }
-    return row.select(*(v.alias(name) for name, v in columns.items())).crossJoin(F.broadcast(_ratio_means(counted)))  # one row by one row
+    means = {name: _div(F.aggregate(F.transform("rs", lambda r: r.getField(name)), F.lit(0.0), add), n) for name in RATIOS}  # noqa: B023
+    return row.select(*(v.alias(name) for name, v in {**columns, **means}.items()))
 
 
 def batch_classification(counted: DataFrame, taxonomy: Taxonomy, by: list[str]) -> DataFrame:
