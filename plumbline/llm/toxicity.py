@@ -33,10 +33,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import remainder, written
+from plumbline.llm.common import remainder, utf8, written
 
 # The grammar's closed classes in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns imbecile bastard idioten dummkopf abschaum connard imbécile ordure estúpido imbécil basura".split()
@@ -151,11 +152,24 @@ class Grammar:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train, label: str, sample: int, spark: SparkSession) -> DataFrame:
-    """text and y of at most ``sample`` labelled training rows, chosen by a hash of their ids."""
+    """text and y of at most ``sample`` labelled training rows, chosen by a hash of their ids, near copies once."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("of"), F.col("y").cast("int").alias("y"))
-    once = docs.select("doc_id", "text")
-    return written(once.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "y"), spark)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "y")
+    # copies of one text are one piece of evidence: whatever stands in a copied row would pass for a terminal
+    near = rows.mapInArrow(_with_nearness, "text string, y int, near bigint")
+    return written(near.groupBy("near", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y"), spark)
+
+
+def _with_nearness(batches: Iterator[pa.RecordBatch], width: int = 5) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of the text's word shingles, which near copies mostly share."""
+    for b in batches:
+        found = []
+        for t in b.column(0):
+            words = utf8(t.as_py()).lower().split()
+            shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+            found.append(min(map(xxhash.xxh64_intdigest, shingles)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["text", "y", "near"])
 
 
 def _terms(text: str | None) -> set[str]:
