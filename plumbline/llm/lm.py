@@ -191,27 +191,26 @@ class Reader:
         rank[inside] = f["contexts"].find(distinct[inside] - least)
         return rank, np.cumsum(new) - 1
 
-    def weights(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        """Weight of the lower order after each of the ascending distinct contexts of order k."""
-        level, out = self.model.levels[k - 2], np.ones(len(contexts))
+    def weights(self, k: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of the lower order after each of the ascending distinct contexts of order k, and whether it has
+        successors at all."""
+        level, out, has = self.model.levels[k - 2], np.ones(len(contexts)), np.zeros(len(contexts), bool)
         if not level.nodes or not len(contexts):
-            return out
+            return out, has
         keys = contexts.astype(U64) << U64(32)
-        left = np.ones(len(contexts), bool)
-        for bound in (U64(0), LOW):
-            shard = np.maximum(np.searchsorted(level.starts, keys | bound, "right") - 1, 0)
-            for s, a, b in _slices_of(shard):
+        first, last = (np.maximum(np.searchsorted(level.starts, keys | bound, "right") - 1, 0) for bound in (U64(0), LOW))
+        for shard, open_ in ((first, np.arange(len(contexts))), (last, np.nonzero(last != first)[0])):
+            open_ = open_[~has[open_]]
+            for s, a, b in _slices_of(shard[open_]):
                 f = self._file(f"level{k}-{s}", ("contexts", "pointers", "successors"))
-                open_ = a + np.nonzero(left[a:b])[0]
-                if len(open_):
-                    rank, _ = self._ranks(f, contexts[open_].astype(U64), level.starts[s])
-                    hit = open_[rank >= 0]
-                    out[hit] = 1 / decoded(f["weights"][rank[rank >= 0]])
-                    left[hit] = False
+                rank, _ = self._ranks(f, contexts[open_[a:b]].astype(U64), level.starts[s])
+                hit = open_[a:b][rank >= 0]
+                out[hit] = 1 / decoded(f["weights"][rank[rank >= 0]])
+                has[hit] = True
         if level.spanning:
             for i in np.nonzero(np.isin(contexts, np.fromiter(level.spanning, np.int64)))[0].tolist():
-                out[i] = level.spanning[int(contexts[i])]
-        return out
+                out[i], has[i] = level.spanning[int(contexts[i])], True
+        return out, has
 
 
 def _slices_of(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -333,46 +332,51 @@ def encode(docs: DataFrame, model: Model, text: str, train: Column) -> DataFrame
 
 
 class Sentences:
-    """Texts of a slice end to end, each from its start to its end, and their nodes order by order."""
+    """Texts of a slice end to end, each from its start to its end, and their nodes order by order.
+
+    ``nodes`` are the distinct nodes of the present order, ascending, and ``at`` has each token's place among them: that
+    of the n-gram that ends there, -1 where it is no node.
+    """
 
     def __init__(self, reader: Reader, raw: list[bytes]) -> None:
-        self.reader, m = reader, reader.model
+        self.reader, self.order, m = reader, 1, reader.model
         parts = []
         for r in raw:
             parts += [np.array([m.start]), np.frombuffer(r, np.uint32).astype(np.int64), np.array([m.end])]
-        self.token = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.first = self.token == m.start
-        self.word = np.where(self.token == OOV, -1, self.token)
-        self.node, self.order = self.word, 1  # the node of the n-gram of this order that ends here
-
-    def _before(self, x: np.ndarray, fill) -> np.ndarray:
-        return np.r_[np.array([fill], x.dtype), x[:-1]] if len(x) else x
+        token = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.first = token == m.start
+        self.word = np.where(token == OOV, -1, token)
+        self.words, self.of_word = np.unique(self.word, return_inverse=True)
+        unknown = int(len(self.words) > 0 and self.words[0] < 0)
+        self.nodes, self.at = self.words[unknown:], self.of_word - unknown
 
     def contexts(self) -> np.ndarray:
-        """Node of the n-gram before each token; -1 where there is none, and at starts."""
-        return np.where(self.first, -1, self._before(self.node, -1))
+        """Place of the node before each token; -1 where there is none, and at starts."""
+        return np.where(self.first, -1, np.r_[-1, self.at[:-1]]) if len(self.at) else self.at
+
+    def _keys(self, context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return (self.nodes[context[tokens]].astype(U64) << U64(32)) | self.word[tokens].astype(U64)
 
     def candidates(self) -> np.ndarray:
         """Keys of the next order's n-grams whose two shorter ones are nodes."""
         context = self.contexts()
-        both = (context >= 0) & (self.node >= 0) & ~self.first
-        return (context[both].astype(U64) << U64(32)) | self.word[both].astype(U64)
+        return self._keys(context, np.nonzero((context >= 0) & (self.at >= 0))[0])
 
     def step(self) -> tuple[np.ndarray, np.ndarray]:
         """Goes up one order: each token's discounted probability there, and the weight of what lies below."""
         context, k = self.contexts(), self.order + 1
-        prob, node, weight = np.zeros(len(context)), np.full(len(context), -1, np.int64), np.ones(len(context))
-        at = np.nonzero((context >= 0) & (self.node >= 0) & ~self.first)[0]
-        if len(at):
-            keys, back = np.unique((context[at].astype(U64) << U64(32)) | self.word[at].astype(U64), return_inverse=True)
+        weights, has = (np.r_[x, x.dtype.type(end)] for x, end in zip(self.reader.weights(k, self.nodes), (1, 0)))  # the last one is for no context
+        prob, at = np.zeros(len(context)), np.full(len(context), -1, np.int64)
+        tokens = np.nonzero(has[context] & (self.at >= 0))[0]
+        nodes = np.zeros(0, np.int64)
+        if len(tokens):
+            keys, back = np.unique(self._keys(context, tokens), return_inverse=True)
             found, p, _ = self.reader.nodes(k, keys)
-            node[at], prob[at] = found[back], p[back]
-        at = np.nonzero(context >= 0)[0]
-        if len(at):
-            distinct, back = np.unique(context[at], return_inverse=True)
-            weight[at] = self.reader.weights(k, distinct)[back]
-        self.node, self.order = node, k
-        return prob, weight
+            prob[tokens] = p[back]
+            at[tokens] = np.where(found >= 0, np.cumsum(found >= 0) - 1, -1)[back]
+            nodes = found[found >= 0]  # nodes ascend as their keys do
+        self.nodes, self.at, self.order = nodes, at, k
+        return prob, weights[context]
 
 
 # 3. counting n-grams
@@ -535,13 +539,12 @@ def add_level(coded: DataFrame, model: Model, spark: SparkSession, min_count: in
 def log10_scores(reader: Reader, raw: list[bytes]) -> np.ndarray:
     """The model's log10 probability of each coded text."""
     m, said = reader.model, Sentences(reader, raw)
-    if not len(said.token):
+    if not len(said.word):
         return np.zeros(0)
-    distinct, back = np.unique(said.word, return_inverse=True)
-    known = (distinct >= 0) & (distinct != m.start)
-    counts = np.zeros(len(distinct))
-    counts[known] = reader.counts(distinct[known])
-    p = m.base_probability(counts)[back]
+    known = (said.words >= 0) & (said.words != m.start)
+    counts = np.zeros(len(said.words))
+    counts[known] = reader.counts(said.words[known])
+    p = m.base_probability(counts)[said.of_word]
     for _ in m.levels:
         prob, weight = said.step()
         p = prob + weight * p
