@@ -38,7 +38,7 @@ DROPPED = frozenset("nav footer aside form button select input label fieldset di
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion sidebar sidebars menu menus nav navbar navigation "
     "breadcrumb breadcrumbs footer comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar masthead pagination pager skip".split()
+    "overlay newsletter subscribe subscription signup login share sharing social related recommended toolbar masthead pagination pager skip".split()
 )
 HEADERS = frozenset("header topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
