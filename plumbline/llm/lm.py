@@ -13,8 +13,8 @@ A lookup finds the context's rank, searches the successor of ``rank * words + id
 lies between the context's pointers. Probabilities are interpolated with absolute discounting,
 ``max(c - d, 0) / c(context) + weight(context) * p(word | shorter context)``, d estimated from the counts of
 counts, down to the smoothed word frequencies ``(c + a) / (N + a * (V + 1))``. N-grams of two words and more that occur
-``min_count`` times or more become nodes; the mass of the others goes to the lower order, so every
-distribution still adds up to one.
+``min_count`` times or more become nodes (the query keeps all of them, with ``min_count`` 1); the mass of the others
+goes to the lower order, so every distribution still adds up to one.
 
 How it is built:
 
@@ -22,12 +22,14 @@ How it is built:
 2. one pass turns every text into word ids, written once to the shared folder;
 3. for each order, tasks count n-grams in sorted runs and send compressed runs to shards by a hash of the n-gram,
    so no n-gram or context is hot; shards merge runs, drop rare n-grams and write what is left. An n-gram is
-   counted only where both shorter ones are nodes, which loses none that could be one;
+   counted only where both shorter ones are nodes, which loses none that could be one (with ``min_count`` above 1
+   the discounts come from what was counted);
 4. what is left is cut into ranges of the context and word (at quantiles, so a hot context is cut too), and each
    range is written as one file. A context that spans files gets its weight from the sum of their parts.
 
 Counts of shards follow the input: each stage's tasks hold a bounded number of n-grams. Readers map the files, so
-processes share them and pages not used stay on disk. Limits: fewer than 2^32 words, and contexts per level.
+processes share them and pages not used stay on disk. Limits: fewer than 2^32 words, and contexts per level (the
+highest order's nodes are no contexts, so their number has no such limit).
 Words are told apart by 64-bit hashes; that an unseen word is taken for one of V known ones has probability V / 2^64.
 
 Null texts are empty: one token, the end. Rows without an id count as id '' for the split. With no training rows
@@ -47,7 +49,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_folder, utf8, written
+from plumbline.llm.common import discard, shared_folder, utf8, written
 from plumbline.llm.eliasfano import EliasFano, Folder, prefixed, sequence
 
 U64 = np.uint64
@@ -278,6 +280,7 @@ def build_vocabulary(texts: DataFrame, spark: SparkSession, uri: str, alpha: flo
     sizes = np.zeros(1 << bits, np.int64)
     for r in dealt.mapInArrow(run, "shard int, n bigint").collect():
         sizes[r.shard] = r.n
+    discard(counted, spark)
     return Model(uri, words, int(total) + rows, rows, bits, np.r_[0, np.cumsum(sizes)], alpha)
 
 
@@ -490,8 +493,9 @@ def _totals(model: Model, k: int, contexts: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_level(coded: DataFrame, model: Model, spark: SparkSession, min_count: int) -> None:
-    """Counts the n-grams of the next order in the training rows of ``coded`` and adds their level."""
+def add_level(coded: DataFrame, model: Model, spark: SparkSession, min_count: int, highest: bool = False) -> None:
+    """Counts the n-grams of the next order in the training rows of ``coded`` and adds their level; nodes of the
+    highest order are never contexts."""
     k = len(model.levels) + 2
     shards = max(1, -(-model.tokens // SHARD_COUNTS))
     runs = coded.where("train").select("ids").mapInArrow(lambda it: _runs(it, Reader(model), k, shards), "shard int, run binary")
@@ -500,7 +504,7 @@ def add_level(coded: DataFrame, model: Model, spark: SparkSession, min_count: in
     total = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "ones", "twos"))).first()
     nodes, ones, twos = (int(x) for x in total)
     discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-    if nodes >= OOV:
+    if nodes >= OOV and not highest:
         raise ValueError("more contexts than numbers of 32 bits")
     if not nodes:
         model.levels.append(Level(np.zeros(0, U64), np.zeros(1, np.int64), {}, discount, 0))
@@ -521,6 +525,7 @@ def add_level(coded: DataFrame, model: Model, spark: SparkSession, min_count: in
     pieces = merged.where("n > 0").select("run").mapInArrow(cut, "part int, run binary").repartition(parts, "part")
     shape = "part int, first bigint, n bigint, edges array<struct<context:bigint,kept:double,total:double>>"
     files = sorted(pieces.groupBy("part").applyInArrow(lambda t: _write_range(t, model, k, discount), shape).collect(), key=lambda r: r.part)
+    discard(merged, spark)
     starts, sizes = np.zeros(len(bounds) + 1, U64), np.zeros(len(bounds) + 1, np.int64)
     starts[1:] = bounds
     edges: dict[int, list] = {}
@@ -557,8 +562,8 @@ def language_model_scores(docs: DataFrame, spark: SparkSession, train: Column, o
     that ``train`` (a column) admits."""
     model = build_vocabulary(docs.where(train).select(text), spark, shared_folder(spark) + "/model", alpha)
     coded = written(encode(docs, model, text, train), spark)
-    for _ in range(order - 1):
-        add_level(coded, model, spark, min_count)
+    for k in range(2, order + 1):
+        add_level(coded, model, spark, min_count, k == order)
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
 

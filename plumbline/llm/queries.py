@@ -30,7 +30,7 @@ def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 10) == 0
-    found = lm.language_model_scores(table(spark, sf_dir, "documents"), spark, ~held_out)
+    found = lm.language_model_scores(table(spark, sf_dir, "documents"), spark, ~held_out, min_count=1)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
