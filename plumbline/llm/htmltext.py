@@ -60,7 +60,8 @@ CLOSES = {
 P_KEEPERS = frozenset("div td th li section article aside blockquote body main header footer table button caption object form dd dt figure figcaption nav".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its whole name, and its value if it has one.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -135,8 +136,10 @@ def _dropped(tree: Tree, node: int, in_article: bool) -> bool:
     if tag in RAW or tag in DROPPED:
         return True
     names: set[str] = set()
+    found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
-        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of repeats the first counts
+    for kind, value in found.items():
         if kind == "hidden" or kind == "style" and HIDDEN.search(value) or kind == "aria-hidden" and value.lower() == "true":
             return True
         if kind == "role" and value.lower() in ROLES:

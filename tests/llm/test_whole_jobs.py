@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from plumbline.llm import htmltext
 from plumbline.llm.queries import QUERIES
 from tests.llm.test_corpus_operators import LM_ROWS, docs
 
@@ -44,3 +45,19 @@ def test_language_model_holds_every_ngram(spark, tmp_path):
     for i, t in rows:
         n = len(padded(t)) - 1
         assert found[i, n] == pytest.approx(score(t), abs=5e-4 * n)
+
+
+WORDS = "This paragraph has enough words in it to be read."
+
+
+@pytest.mark.parametrize("attributes", ['href="/places/hidden-gems"', 'title="The hidden cost"', 'data-state="hidden"', 'data-id="nav"', "href=/x?id=comments", "href='a class=nav'", "data-hidden", 'title="a" data-role="navigation"', "id=a id=nav", 'title="style=display:none"'])
+def test_values_and_other_names_hide_nothing(attributes):
+    for tag in ("div", "section", "p"):
+        assert htmltext.main_text(f"<body><{tag} {attributes}>{WORDS}</{tag}></body>") == WORDS
+    assert htmltext.main_text(f"<body {attributes}><p>{WORDS}</p></body>") == WORDS
+    assert htmltext.main_text(f"<body><p>{WORDS} <a {attributes}>link</a> on.</p></body>") == f"{WORDS} link on."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "hidden=hidden", "class='x nav'", 'id = "comments"', "role=navigation", "title='x'hidden", "style='display: none'", "data-x=1 aria-hidden=true", "/hidden"])
+def test_attributes_hide(attributes):
+    assert htmltext.main_text(f"<body><p>{WORDS}</p><div {attributes}>Gone</div></body>") == WORDS
