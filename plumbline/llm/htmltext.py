@@ -2,7 +2,10 @@
 
 One pass over the markup builds the element tree (raw-text elements, comments, void elements, implied end tags and
 missing ones included). Elements that can't be article text by their tag, role or name (menus, forms, adverts,
-reader comments, ...) fall away. For every other node, C characters and T tags are counted over its subtree, LC and LT of
+reader comments, ...) fall away, but not those that hold the article: a form or an element of such a role or name stays
+where it holds a ``main`` element, over half of the body's text outside links, or ``article`` elements with more such text
+than all that would be left; blocks that can outgrow an article (comments, cookie notices, ``aside``, ...) stay where they hold
+a ``main`` element, or over half of the text and an ``h1``. Inside them the same holds for each block. For every other node, C characters and T tags are counted over its subtree, LC and LT of
 them in links, and its link-adjusted density is
 
     C / T * log(C / LC * T / LT) / log(ln(C / nLC * LC + LCb / Cb * C + e))
@@ -41,6 +44,11 @@ NAMES = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended toolbar masthead pagination pager skip".split()
 )
 HEADERS = frozenset("header topbar".split())
+#: Of the tags and names, those of blocks whose text is their own, however much it is.
+OWN_TAGS = frozenset("nav footer aside dialog menu search".split())
+OWN_NAMES = frozenset("comment comments disqus reply replies respond related recommended cookie cookies consent gdpr notice notices newsletter".split())
+#: How an element stands: it stays, falls unless it holds the article, the same for blocks of their own text, falls.
+STAYS, LAYOUT, OWN, FALLS = range(4)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ARTICLES = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -131,31 +139,69 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _dropped(tree: Tree, node: int, in_article: bool) -> bool:
+def _standing(tree: Tree, node: int, in_article: bool) -> int:
     tag, attributes = tree.tag[node], tree.attributes[node]
-    if tag in RAW or tag in DROPPED:
-        return True
+    if tag in RAW or tag in DROPPED and tag not in OWN_TAGS and tag not in ("form", "fieldset"):
+        return FALLS
+    by_tag = STAYS if tag not in DROPPED else OWN if tag in OWN_TAGS else LAYOUT
     names: set[str] = set()
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of repeats the first counts
     for kind, value in found.items():
         if kind == "hidden" or kind == "style" and HIDDEN.search(value) or kind == "aria-hidden" and value.lower() == "true":
-            return True
+            return FALLS
         if kind == "role" and value.lower() in ROLES:
-            return True
+            by_tag = max(by_tag, LAYOUT)
         if kind in ("class", "id"):
             for name in value.lower().split():
                 words = re.split(r"[-_]+", name)
                 if words[0] not in ("no", "has", "with", "without", "is"):
                     names.update(words)
+    by_name = OWN if names & OWN_NAMES else LAYOUT
     if tag in ("html", "body"):
-        return False
+        return by_tag
     if tag in ARTICLES:
-        return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "related"})
+        return max(by_tag, by_name) if names & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "related"} else by_tag
     if tag == "header" or names & HEADERS:
-        return not in_article
-    return bool(names & NAMES)
+        return by_tag if in_article else max(by_tag, by_name)
+    return max(by_tag, by_name) if names & NAMES else by_tag
+
+
+def _fallen(tree: Tree, inside: list[bool], linked: list[bool]) -> list[bool]:
+    """Whether each node is gone, by itself or with one above it."""
+    tag, parent, n = tree.tag, tree.parent, len(tree.tag)
+    standing, hidden, plain = [STAYS] * n, [False] * n, [False] * n
+    text, articles, main, h1, left = [0] * n, [0] * n, [False] * n, [False] * n, 0
+    for i in range(1, n):
+        hidden[i], plain[i] = hidden[parent[i]], plain[parent[i]]
+        if not hidden[i]:
+            standing[i] = _standing(tree, i, inside[i])
+            hidden[i], plain[i] = standing[i] == FALLS, plain[i] or standing[i] != STAYS
+    if plain == hidden:
+        return hidden
+    for i in range(n - 1, -1, -1):  # text outside links that can be seen, what of it is in articles, and what each node holds
+        if hidden[i]:
+            continue
+        own = 0 if linked[i] else sum(len(x.strip()) for x in tree.parts[i] if isinstance(x, str))
+        text[i] += own
+        left += 0 if plain[i] else own
+        if tag[i] in ARTICLES and standing[i] == STAYS:
+            articles[i] = text[i]
+            main[i] |= tag[i] == "main" and text[i] > 0
+        h1[i] |= tag[i] == "h1"
+        if i:
+            p = parent[i]
+            text[p] += text[i]
+            articles[p] += articles[i]
+            main[p] |= main[i]
+            h1[p] |= h1[i]
+    gone = [False] * n
+    for i in range(1, n):
+        most = 2 * text[i] > text[0]
+        holds = main[i] or (most or articles[i] > left if standing[i] == LAYOUT else most and h1[i])
+        gone[i] = gone[parent[i]] or standing[i] == FALLS or standing[i] != STAYS and not holds
+    return gone
 
 
 def main_text(page: str | None) -> str:
@@ -165,17 +211,19 @@ def main_text(page: str | None) -> str:
     tree = parse(page)
     n = len(tree.tag)
     tag, parent, parts = tree.tag, tree.parent, tree.parts
-    gone, inside, linked, headed = [False] * n, [False] * n, [False] * n, [False] * n
+    inside, linked, headed = [False] * n, [False] * n, [False] * n
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     own = [0] * n
     for i in range(n):  # parents come before their children
         p = parent[i]
         if p >= 0:
-            gone[i], inside[i], linked[i], headed[i] = gone[p], inside[p], linked[p], headed[p]
+            inside[i], linked[i] = inside[p], linked[p]
         inside[i] |= tag[i] in ARTICLES
         linked[i] |= tag[i] == "a"
-        if not gone[i] and i:
-            gone[i] = _dropped(tree, i, inside[i])
+    gone = _fallen(tree, inside, linked)
+    for i in range(n):
+        if parent[i] >= 0:
+            headed[i] = headed[parent[i]]
         if tag[i] == "header":
             headed[i] = True
         elif headed[i] and tag[i] in HEADINGS:

@@ -61,3 +61,29 @@ def test_values_and_other_names_hide_nothing(attributes):
 @pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "hidden=hidden", "class='x nav'", 'id = "comments"', "role=navigation", "title='x'hidden", "style='display: none'", "data-x=1 aria-hidden=true", "/hidden"])
 def test_attributes_hide(attributes):
     assert htmltext.main_text(f"<body><p>{WORDS}</p><div {attributes}>Gone</div></body>") == WORDS
+
+
+ARTICLE = "".join(f"<p>{WORDS} {k}</p>" for k in range(4))
+ARTICLE_TEXT = "\n\n".join(f"{WORDS} {k}" for k in range(4))
+AROUND = "<nav><a href=/>Home</a></nav><div class=sidebar><p>Other things on this site</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=/x><div>{ARTICLE}</div><div class=newsletter>Sign up</div></form></body>",
+        f"<body>{AROUND}<div class='main sidebar-right'>{ARTICLE}<div class='share'>Share this</div></div></body>",
+        f"<body><div class='page nav-open'>{AROUND}<div>{ARTICLE}</div></div></body>",
+        f"<body><form><fieldset><div class=overlay>{ARTICLE}</div></fieldset></form></body>",
+        f"<body><div id=comments-page><main>{ARTICLE}</main></div></body>",
+        f"<body><div role=form>{ARTICLE}</div></body>",
+        f"<body>{AROUND}<div class='menu-left'><article>{ARTICLE}</article></div><div class=comments><p>{WORDS * 9}</p></div></body>",
+    ],
+)
+def test_containers_of_the_article_stay(page):
+    assert htmltext.main_text(page) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("block", [f"<div class=comments><p>{WORDS * 9}</p></div>", f"<div class=cookie-notice><p>{WORDS * 9}</p></div>", f"<aside><article><p>{WORDS * 9}</p></article></aside>", "<form><p>Sign up</p></form>", f"<div class=sidebar><article>{WORDS}</article></div>"])
+def test_blocks_beside_the_article_fall(block):
+    assert htmltext.main_text(f"<body><div>{ARTICLE}</div>{block}</body>") == ARTICLE_TEXT
