@@ -8,11 +8,13 @@ The walk scores whatever it meets for the first time, and stops when that bound
 at most ``GROWTH`` times the depth at which it could first have stopped. Blocks give k rows a query at most, and a
 limit by rank that combines before the shuffle merges them.
 
-Queries reach the blocks in chunks of at most ``chunk`` vectors, each broadcast by itself: what is sent at once
-has a fixed bound however many queries there are.
+Queries reach the blocks in chunks of about ``chunk`` distinct vectors, dealt by id and vector, each broadcast by itself: what
+is sent at once has a fixed bound however many queries there are, and however many share an id.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of different lengths have no
 product and aren't compared; empty vectors score 0. Rows that share a query's id count as its own row and are no candidates for it.
+Repeated query rows ask once. An id with different query vectors asks with each of them: its k best are the k best candidate rows,
+each counted once, at the best score that one of its vectors gives it.
 Rows without an id take no part. Ties go to the smaller id; repeated candidate rows each take a rank. Scores that 64 bits cannot hold saturate.
 """
 
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import written
+
 #: Vectors of a block: lists, values and scores of one are in memory at a time.
 BLOCK = 8192
 FIRST_DEPTH = 16
@@ -39,7 +43,7 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         by_id = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[by_id], values[by_id]
+        self.by_id, self.ids, self.values = by_id, ids[by_id], values[by_id]
         self.order = np.argsort(self.values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.values, self.order, 0)
         self.most = int(np.abs(self.values).max(initial=0))
@@ -53,6 +57,18 @@ class Lists:
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, best first."""
+        rows, best = self.best(query, own, k)
+        return self.ids[rows], best
+
+    def best_of(self, queries: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows for all of one id's vectors, each at its best score, and these scores."""
+        rows, best = (np.concatenate(x) for x in zip(*(self.best(q, own, k) for q in queries)))
+        order = np.lexsort((rows, -best))
+        order = order[np.sort(np.unique(rows[order], return_index=True)[1])[:k]]
+        return rows[order], best[order]
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows and their scores, best first."""
         n, d = self.values.shape
         up = query >= 0
         best_rows, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -78,47 +94,56 @@ class Lists:
                 if sum(int(a) * int(b) for a, b in zip(edge, query)) < int(best[-1]):
                     break
             done, depth = depth, min(n, depth * GROWTH)
-        return self.ids[best_rows], best
+        return best_rows, best
 
 
-def _integers(batch: pa.RecordBatch, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and whole-number vectors (as floats) of a batch's usable rows, by length."""
-    found: dict[int, tuple[list, list]] = {}
-    for key, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+def _integers(batch: pa.RecordBatch, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and whole-number vectors (as floats) of a batch's usable rows, and their places in it, by length."""
+    found: dict[int, tuple[list, list, list]] = {}
+    for place, (key, vector) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
         if key is None or not vector.is_valid or vector.values.null_count:
             continue
         x = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64)
         if np.isfinite(x).all():
-            ids, rows = found.setdefault(len(x), ([], []))
+            ids, rows, places = found.setdefault(len(x), ([], [], []))
             ids.append(key)
+            places.append(place)
             rows.append(np.floor(scale * x))
-    return {d: (np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), d)) for d, (ids, rows) in found.items()}
+    return {d: (np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), d), np.array(places, np.int64)) for d, (ids, rows, places) in found.items()}
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, spark: SparkSession, k: int = 10, scale: float = 1024.0, chunk: int = 16384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows."""
     usable = lambda df: df.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("vector")).where("key is not null and vector is not null")
-    asked, rows = usable(queries), usable(vectors)
-    chunks = max(1, -(-asked.count() // chunk))
+    asked, rows = written(usable(queries).distinct(), spark), usable(vectors)
+    # candidate rows are told apart by their place in the table, the same for every chunk of queries
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    count, owners = asked.agg(F.count("*"), F.count_distinct("key")).first()
+    chunks = max(1, -(-count // chunk))
 
     def answer(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             questions = pickle.loads(sent.value)
-            waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            waiting: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
             def found(d: int) -> Iterator[pa.RecordBatch]:
                 parts = waiting.pop(d)
-                lists = Lists(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                for at in range(0, len(questions[d][0]), 256):
-                    ids, tops = questions[d][0][at : at + 256], []
-                    tops = [lists.top(q, own, k) for own, q in zip(ids.tolist(), questions[d][1][at : at + 256])]
-                    sizes = [len(t[0]) for t in tops]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([t[0] for t in tops])), pa.array(np.concatenate([t[1] for t in tops]))], names=["query_id", "vec_id", "score"])
+                ids, values, places = (np.concatenate(x) for x in zip(*parts))
+                lists = Lists(ids, values)
+                places = places[lists.by_id]
+                owners, starts = np.unique(questions[d][0], return_index=True)
+                ends = np.r_[starts[1:], len(questions[d][0])]
+                for at in range(0, len(owners), 256):
+                    some = slice(at, at + 256)
+                    tops = [lists.best_of(questions[d][1][x:y], own, k) for own, x, y in zip(owners[some].tolist(), starts[some], ends[some])]
+                    best_rows, best = (np.concatenate(x) for x in zip(*tops))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(owners[some], [len(t[0]) for t in tops])), pa.array(lists.ids[best_rows]), pa.array(best), pa.array(places[best_rows])], names=["query_id", "vec_id", "score", "place"])
 
             for b in batches:
                 for at in range(0, b.num_rows, BLOCK):
-                    for d, part in _integers(b.slice(at, BLOCK), scale).items():
+                    for d, (*part, row) in _integers(b.slice(at, BLOCK), scale).items():
                         if d in questions:
+                            part = (*part, np.asarray(b.column(2))[at + row])
                             waiting.setdefault(d, []).append(part)
                             if sum(len(p[0]) for p in waiting[d]) >= BLOCK:
                                 yield from found(d)
@@ -129,13 +154,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, spark: SparkSession, k: int =
 
     def collected(part: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         batches = part.toArrow().combine_chunks().to_batches()
-        return _integers(batches[0], scale) if batches else {}
+        found = _integers(batches[0], scale) if batches else {}
+        by_id = {d: np.argsort(ids, kind="stable") for d, (ids, _, _) in found.items()}
+        return {d: (ids[by_id[d]], values[by_id[d]]) for d, (ids, values, _) in found.items()}
 
     out = None
     for c in range(chunks):
-        part = collected(asked.where(F.pmod(F.xxhash64("key"), F.lit(chunks)) == c))
-        found = rows.mapInArrow(answer(spark.sparkContext.broadcast(pickle.dumps(part))), "query_id bigint, vec_id bigint, score bigint")
+        part = collected(asked.where(F.pmod(F.xxhash64("key", "vector"), F.lit(chunks)) == c))
+        found = rows.mapInArrow(answer(spark.sparkContext.broadcast(pickle.dumps(part))), "query_id bigint, vec_id bigint, score bigint, place bigint")
         out = found if out is None else out.unionByName(found)
+    if chunks > 1 and owners < count:  # an id's vectors may be in several chunks
+        out = out.groupBy("query_id", "place").agg(F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,12 +1,13 @@
 """Operators that once did less than their whole job, each against a plain version of all of it."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import pytest
 
-from plumbline.llm import htmltext
+from plumbline.llm import htmltext, topk
 from plumbline.llm.queries import QUERIES
 from tests.llm.test_corpus_operators import LM_ROWS, docs
 
@@ -87,3 +88,20 @@ def test_containers_of_the_article_stay(page):
 @pytest.mark.parametrize("block", [f"<div class=comments><p>{WORDS * 9}</p></div>", f"<div class=cookie-notice><p>{WORDS * 9}</p></div>", f"<aside><article><p>{WORDS * 9}</p></article></aside>", "<form><p>Sign up</p></form>", f"<div class=sidebar><article>{WORDS}</article></div>"])
 def test_blocks_beside_the_article_fall(block):
     assert htmltext.main_text(f"<body><div>{ARTICLE}</div>{block}</body>") == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("chunk", [2, 16384])
+def test_repeated_queries_ask_once(spark, chunk):
+    rng = random.Random(8)
+    vectors = [(n, [rng.uniform(-1, 1) for _ in range(4)]) for n in range(60)]
+    vectors += [vectors[0]] * 3 + [vectors[7]] * 2 + [(0, [0.5, -1.0, 0.25, 1.0]), (1, [1.0, 2.0]), (70, [2.0, 1.0]), (70, [2.0, 1.0])]
+    vectors += [(n % 3, [rng.uniform(-1, 1) for _ in range(4)]) for n in range(18)]
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors]
+    wanted = set()
+    for q in range(6):
+        asked = [v for i, v in whole if i == q]
+        best = [(max(sum(a * b for a, b in zip(w, v)) for w in asked if len(w) == len(v)), i) for i, v in whole if i != q and any(len(w) == len(v) for w in asked)]
+        wanted |= {(q, n, i, s) for n, (s, i) in enumerate(sorted(best, key=lambda x: (-x[0], x[1]))[:10], 1)}
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    found = [tuple(r) for r in topk.top_k(table, table.where("vec_id < 6"), spark, 10, chunk=chunk).collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
