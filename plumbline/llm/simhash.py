@@ -15,8 +15,8 @@ What keeps it linear when a third of all rows are copies of one another:
 * of two segment values one bit apart only the one with the bit clear probes, which halves the balls.
 
 Rows with equal fingerprints are linked, null and empty texts included (fingerprint zero). A null
-``doc_id`` keeps its row and gets a fingerprint; its component is that of the smallest id with an equal or
-linked fingerprint, or null when no row with its fingerprint has an id. Extra columns are ignored.
+``doc_id`` keeps its row and gets a fingerprint, which links others like any; its component is named by the smallest
+id of the whole group, or null when no row of the group has one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,16 +55,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint's bits as a signed long."""
+def with_fingerprints(df: DataFrame, text: str = "text", width: int = 3, more: list[str] | None = None) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint's bits as a signed long, and ``more`` columns."""
+    more = more or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kinds = dict(df.dtypes)
+    return df.select("doc_id", text, *more).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, fp bigint", *(f"{c} {kinds[c]}" for c in more)]))
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +193,32 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
 
 
+def _roots(fps: DataFrame, spark: SparkSession, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp_of, root) of every fingerprint: the least fingerprint of its group. ``more`` are links besides near ones."""
+    distinct = written(fps.select("fp").distinct(), spark)
+    links = near_links(distinct.select(F.col("fp").alias("rep"), "fp"), radius)
+    roots = connected_components(links if more is None else links.unionByName(more), spark)
+    return written(distinct.join(roots, distinct.fp == roots.node, "left").select(F.col("fp").alias("fp_of"), F.coalesce("root", "fp").alias("root")), spark)
+
+
 def simhash_components(docs: DataFrame, spark: SparkSession, text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     fps = written(with_fingerprints(docs, text, width), spark)
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("rep")), spark)
-    links = near_links(reps.where("rep is not null"), radius)
-    roots = connected_components(links, spark)
-    found = reps.join(roots, reps.rep == roots.node, "left").select(F.col("fp").alias("fp_of"), F.coalesce("root", "rep").alias("component_id"))
+    roots = _roots(fps, spark, radius)
+    least = fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("least"))
+    named = roots.join(least, roots.fp_of == least.fp).groupBy("root").agg(F.min("least").alias("component_id"))
+    found = roots.join(named.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select("fp_of", "component_id")
     return fps.join(found, fps.fp == found.fp_of, "left").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, spark: SparkSession, text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """One row of each component stays: the one that names it; of rows that repeat this id, one. A row
-    without an id can't stand for a group and can't be named as a copy, so it stays."""
-    found = simhash_components(docs.where("doc_id is not null").select("doc_id", text), spark, text, width, radius)
-    keep = found.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs.doc_id == keep.kept_id, "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each group stays: the one of the smallest id; of rows that repeat this id, one. Groups are told apart by
+    their fingerprints, so rows of one id with unrelated texts each stand for their own. A row without an id can't
+    stand for a group and can't be named as a copy, so it stays; it links others like any row."""
+    keyed = docs.withColumn("_key", F.xxhash64(text))
+    fps = written(with_fingerprints(keyed, text, width, ["_key"]), spark)
+    roots = _roots(fps, spark, radius)
+    best = fps.where("doc_id is not null").join(roots, fps.fp == roots.fp_of).groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("kept"))
+    keep = best.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept._key").alias("kept_key"))
+    kept = keyed.join(keep, (keyed.doc_id == keep.kept_id) & (keyed["_key"] == keep.kept_key), "left_semi").dropDuplicates(["doc_id", "_key"])
+    return kept.drop("_key").unionByName(docs.where("doc_id is null"))

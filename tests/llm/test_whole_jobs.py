@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from plumbline.llm import htmltext, topk
+from plumbline.llm import htmltext, simhash, topk
 from plumbline.llm.queries import QUERIES
 from tests.llm.test_corpus_operators import LM_ROWS, docs
 
@@ -105,3 +105,13 @@ def test_repeated_queries_ask_once(spark, chunk):
     table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
     found = [tuple(r) for r in topk.top_k(table, table.where("vec_id < 6"), spark, 10, chunk=chunk).collect()]
     assert len(found) == len(wanted) and set(found) == wanted
+
+
+def test_ids_neither_cut_nor_join_groups(spark, monkeypatch):
+    chain = {"a": 0, "b": 0b111, "c": 0b111111, "x": 0xFF << 20, "y": 0xFF << 40}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, width=3: chain[text])
+    rows = docs(spark, [(5, "a"), (None, "b"), (9, "c"), (7, "x"), (7, "y"), (7, "y"), (8, "x")])
+    found = {(r.doc_id, r.fp): r.component_id for r in simhash.simhash_components(rows, spark).collect()}
+    assert found == {(5, chain["a"]): 5, (None, chain["b"]): 5, (9, chain["c"]): 5, (7, chain["x"]): 7, (7, chain["y"]): 7, (8, chain["x"]): 7}
+    kept = simhash.near_dedup(rows, spark)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "b"), (5, "a"), (7, "x"), (7, "y")]
