@@ -115,3 +115,25 @@ def test_ids_neither_cut_nor_join_groups(spark, monkeypatch):
     assert found == {(5, chain["a"]): 5, (None, chain["b"]): 5, (9, chain["c"]): 5, (7, chain["x"]): 7, (7, chain["y"]): 7, (8, chain["x"]): 7}
     kept = simhash.near_dedup(rows, spark)
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "b"), (5, "a"), (7, "x"), (7, "y")]
+
+
+def test_near_dedup_drops_edited_copies(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = rng.choices([f"w{k}" for k in range(900)], k=200)
+        for edits in range(5):
+            words = list(base)
+            for at in rng.sample(range(0, 200, 10), edits):
+                words[at] = "edited"
+            texts.append(" ".join(words))
+    texts += ["", "", "few words", "few words here"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    fps = [simhash.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert any((fps[i] ^ fps[j]).bit_count() > 3 and near(i, j) for i in range(60) for j in range(i))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if i == j or near(i, j)) for i in range(len(texts))]
+    kept = simhash.near_dedup(docs(spark, list(enumerate(texts))), spark, similar=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
