@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import discard, discard_folder, shared_folder, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark alone, so any store that Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="plumbline-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """URI of a fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/plumbline/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` written once to the shared folder and read again: later steps neither recompute it nor
-    depend on the executors that made it."""
-    path = shared_folder(spark) + "/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame, spark: SparkSession) -> None:
-    """Deletes a table of ``written`` that no later step reads."""
-    for file in table.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
