@@ -1,15 +1,19 @@
-"""Free-text responses to tri-state decisions, as Column expressions.
+"""Free-text responses to tri-state decisions.
 
-A null decision is a missing one; null labels mean that nothing could be read, [] that all was denied.
+A null decision is a missing one; null labels mean that nothing could be read, [] that all was denied. Whole responses are
+parsed by an Arrow function with compiled patterns, which sees each response once; parts of them are plain Column
+expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from plumbline.functions.labels import literal_array
 from plumbline.functions.text import SPACE, strip
@@ -18,8 +22,7 @@ from plumbline.taxonomy import Taxonomy
 FORMATS = ("think_answer", "triple_newline", "plain")
 STYLES = ("json", "simple")
 SCOPES = ("answer_only", "full_response", "answer_or_full")
-GAP = r"\n\n\n"
-WORD = r"[\p{L}\p{N}_]"
+GAP = "\n\n\n"
 
 
 def _known(value: str, among: tuple[str, ...]) -> None:
@@ -27,11 +30,6 @@ def _known(value: str, among: tuple[str, ...]) -> None:
         raise ValueError(f"{value!r} is none of {', '.join(among)}")
 
 
-def quoted(text: str) -> str:
-    """A literal as a Java pattern."""
-    return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text)
-
-
 def _between(text: Column, tag: str) -> Column:
     """Stripped content of the first element of a tag, in any case; null where there is none."""
     pattern = rf"(?is)<{tag}>(.*?)</{tag}>"
@@ -69,91 +67,135 @@ def extract_explanation(response: Column, response_format: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used: a projection would repeat its expression."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _value_after(text: Column, lead: str) -> Column:
-    """The boolean after the first occurrence of a key; null where the key isn't followed by one."""
-    found = F.lower(F.regexp_extract(text, rf"(?iU){lead}:{SPACE}*(true|false)", 1))
-    return F.nullif(found, F.lit("")) == "true"
-
-
-def json_decisions(text: Column, taxonomy: Taxonomy) -> Column:
-    """An array with a nullable boolean per category: quoted full keys; where none is found quoted ids; where none
-    either, bullets."""
-    steps = (
-        [f'"{quoted(taxonomy.output_key(i))}"' for i in taxonomy.ids],
-        [f'"{quoted(i)}"' for i in taxonomy.ids],
-        [rf"\*{SPACE}*{quoted(taxonomy.output_key(i))}" for i in taxonomy.ids],
-    )
-
-    def read(t: Column, rest: tuple[list[str], ...]) -> Column:
-        values = F.array(*(_value_after(t, lead) for lead in rest[0]))
-        return values if len(rest) == 1 else let(values, lambda v: F.when(decided(v), v).otherwise(read(t, rest[1:])))
-
-    return let(text, lambda t: read(t, steps))
-
-
-def decided(flags: Column) -> Column:
-    """Whether any decision is there."""
-    return F.exists(flags, lambda f: f.isNotNull())
-
-
-def simple_decisions(text: Column, taxonomy: Taxonomy) -> Column:
-    """An array with a boolean per category: whether its id stands alone in the text."""
-    for i in taxonomy.ids:
-        if not re.search(r"\w\Z", i):
-            raise ValueError(f"the simple style needs ids that end in a letter or digit, not {i!r}")
-    return F.array(*(text.rlike(rf"(?iU)(?<!{WORD}){quoted(i)}(?!{WORD})") for i in taxonomy.ids))
+#: What ``parse_response`` returns.
+PARSED = TY.StructType(
+    [
+        TY.StructField("status", TY.StringType()),
+        TY.StructField("decisions", TY.MapType(TY.StringType(), TY.BooleanType())),
+        TY.StructField("labels", TY.ArrayType(TY.StringType())),
+        TY.StructField("historical_labels", TY.ArrayType(TY.StringType())),
+        TY.StructField("source", TY.StringType()),
+        TY.StructField("answer_found", TY.BooleanType()),
+        TY.StructField("format_ok", TY.BooleanType()),
+        TY.StructField("error", TY.StringType()),
+        TY.StructField("explanation", TY.StringType()),
+    ]
+)
+WHOLE = re.compile(r"<think>.*?</think>\s*<answer>.*?</answer>", re.S)
+SECTIONS = {tag: re.compile(rf"<{tag}>(.*?)</{tag}>", re.S | re.I) for tag in ("answer", "think")}
+
+
+class Pairs:
+    """The first boolean after each of some keys, found by one pattern in one pass."""
+
+    def __init__(self, lead: str, keys: Sequence[str], tail: str) -> None:
+        self.keys = [re.compile(re.escape(k), re.I) for k in keys]
+        same = any(p.fullmatch(k) for i, p in enumerate(self.keys) for k in keys[i + 1 :])
+        # keys that differ in case only are looked for one by one
+        groups = [[k] for k in range(len(keys))] if same else [list(range(len(keys)))]
+        self.patterns = [(g, re.compile(f"{lead}({'|'.join(re.escape(keys[k]) for k in g)}){tail}:\\s*(true|false)", re.I)) for g in groups]
+        self.places = {k.lower(): n for n, k in enumerate(keys)}
+
+    def _place(self, key: str) -> int:
+        found = self.places.get(key.lower())
+        return next(n for n, p in enumerate(self.keys) if p.fullmatch(key)) if found is None else found
+
+    def __call__(self, text: str) -> list[bool | None]:
+        found: list[bool | None] = [None] * len(self.keys)
+        for keys, pattern in self.patterns:
+            for key, value in pattern.findall(text):
+                k = keys[0] if len(keys) == 1 else self._place(key)
+                if found[k] is None:
+                    found[k] = value.lower() == "true"
+        return found
+
+
+class Parser:
+    """Reads responses of one format and style under one label space."""
+
+    def __init__(self, taxonomy: Taxonomy, response_format: str, output_style: str, scope: str, require_block_prefix: bool) -> None:
+        self.ids, self.format, self.scope, self.simple = taxonomy.ids, response_format, scope, output_style == "simple"
+        self.sectioned = response_format != "plain"
+        if self.simple:
+            for i in self.ids:
+                if not re.search(r"\w\Z", i):
+                    raise ValueError(f"the simple style needs ids that end in a letter or digit, not {i!r}")
+            self.alone = [re.compile(rf"(?<!\w){re.escape(i)}(?!\w)", re.I) for i in self.ids]
+            self.prefix = re.compile(rf"{re.escape(taxonomy.block_name)}\s*:", re.I) if require_block_prefix else None
+            self.why = f"'{taxonomy.block_name}:' prefix not found"
+        else:
+            # quoted full keys; where none is found quoted ids; where none either, bullets
+            keys = [taxonomy.output_key(i) for i in self.ids]
+            self.steps = Pairs('"', keys, '"'), Pairs('"', self.ids, '"'), Pairs(r"\*\s*", keys, "")
+            self.why = "no category decisions found"
+
+    def sections(self, text: str) -> tuple[str | None, str | None]:
+        """Answer and explanation, null where the format has them and the response hasn't."""
+        if self.format == "think_answer":
+            found = (SECTIONS[tag].search(text) for tag in ("answer", "think"))
+            return tuple(m[1].strip() if m else None for m in found)
+        if self.format == "triple_newline" and GAP in text:
+            before, after = text.split(GAP, 1)
+            return after.strip(), before.strip()
+        return None, None
+
+    def well_formed(self, text: str) -> bool | None:
+        if self.format == "think_answer":
+            return WHOLE.fullmatch(text.strip()) is not None
+        return GAP in text if self.format == "triple_newline" else None
+
+    def decisions(self, text: str) -> list[bool | None]:
+        if self.simple:
+            return [p.search(text) is not None for p in self.alone]
+        flags: list[bool | None] = []
+        for step in self.steps:
+            flags = step(text)
+            if any(f is not None for f in flags):
+                break
+        return flags
+
+    def __call__(self, response: str | None) -> tuple:
+        """Values of PARSED, with the decisions as a list."""
+        text = response or ""
+        answer, explanation = self.sections(text)
+        if self.scope == "answer_only" and self.sectioned:
+            target, source = answer, "answer" if answer is not None else None
+        elif self.scope == "answer_or_full" and answer is not None:
+            target, source = answer, "answer"
+        else:
+            target, source = text, "full_response"
+        said = answer is not None if self.sectioned else None
+        if target is None:
+            return "invalid", [None] * len(self.ids), None, [], source, said, self.well_formed(text), "answer section not found", explanation
+        flags = self.decisions(target)
+        positive = [i for i, f in zip(self.ids, flags) if f]
+        readable = self.prefix is None or self.prefix.search(target) is not None if self.simple else any(f is not None for f in flags)
+        status = "invalid" if not readable else "partial" if None in flags else "ok"
+        if not readable:
+            flags = [None] * len(self.ids)
+        return status, flags, positive if readable else None, positive, source, said, self.well_formed(text), None if readable else self.why, explanation
 
 
 def parse_response(response: Column, taxonomy: Taxonomy, response_format: str = "think_answer", output_style: str = "json", scope: str = "answer_only", require_block_prefix: bool = True) -> Column:
-    """status, decisions, labels, historical_labels, source, answer_found, format_ok, error and explanation."""
+    """status, decisions, labels, historical_labels, source, answer_found, format_ok, error and explanation.
+
+    The function counts as nondeterministic, so the optimizer never repeats it for a filter or another column.
+    """
     _known(response_format, FORMATS)
     _known(output_style, STYLES)
     _known(scope, SCOPES)
-    sectioned, simple = response_format != "plain", output_style == "simple"
-    none, ids, empty = F.lit(None).cast("boolean"), literal_array(taxonomy.ids), F.array().cast("array<string>")
-    why = f"'{taxonomy.block_name}:' prefix not found" if simple else "no category decisions found"
-
-    def of_text(text: Column) -> Column:
-        answer = extract_answer(text, response_format) if sectioned else F.lit(None).cast("string")
-        return let(answer, lambda a: of_answer(text, a))
-
-    def of_answer(text: Column, answer: Column) -> Column:
-        if scope == "answer_only" and sectioned:
-            target, source = answer, F.when(answer.isNotNull(), "answer")
-        elif scope == "answer_or_full":
-            target, source = F.coalesce(answer, text), F.when(answer.isNotNull(), "answer").otherwise("full_response")
-        else:
-            target, source = text, F.lit("full_response")
-        flags = let(target, lambda t: simple_decisions(t, taxonomy) if simple else json_decisions(t, taxonomy))
-        if not simple:
-            prefixed = F.lit(True)
-        else:
-            prefixed = F.coalesce(target.rlike(rf"(?iU){quoted(taxonomy.block_name)}{SPACE}*:"), F.lit(False)) if require_block_prefix else F.lit(True)
-        return let(F.struct(flags.alias("flags"), prefixed.alias("prefixed"), target.isNull().alias("none")), lambda r: result(text, answer, source, r))
-
-    def result(text: Column, answer: Column, source: Column, r: Column) -> Column:
-        flags, absent = r["flags"], r["none"]
-        readable = ~absent & (r["prefixed"] if simple else decided(flags))
-        whole = F.lit(True) if simple else F.forall(flags, lambda f: f.isNotNull())
-        positive = F.filter(F.transform(F.arrays_zip(flags.alias("f"), ids.alias("i")), lambda z: F.when(z["f"], z["i"])), lambda x: x.isNotNull())
-        return F.struct(
-            F.when(~readable, "invalid").when(whole, "ok").otherwise("partial").alias("status"),
-            F.map_from_arrays(ids, F.when(readable, flags).otherwise(F.array(*[none] * len(taxonomy)))).alias("decisions"),
-            F.when(readable, positive).alias("labels"),
-            F.when(absent, empty).otherwise(positive).alias("historical_labels"),
-            source.alias("source"),
-            (answer.isNotNull() if sectioned else none).alias("answer_found"),
-            format_ok(text, response_format).alias("format_ok"),
-            F.when(absent, "answer section not found").when(~readable, why).alias("error"),
-            extract_explanation(text, response_format).alias("explanation"),
-        )
-
-    return let(F.coalesce(response, F.lit("")), of_text)
+    parser = Parser(taxonomy, response_format, output_style, scope, require_block_prefix)
+    ids = taxonomy.ids
+
+    def parse(texts: pa.Array) -> pa.Array:
+        columns = list(zip(*map(parser, texts.to_pylist()))) or [()] * len(PARSED)
+        flags, n = [f for row in columns[1] for f in row], len(texts)
+        decisions = pa.MapArray.from_arrays(pa.array(range(0, n * len(ids) + 1, len(ids)), pa.int32()), pa.array(ids * n, pa.string()), pa.array(flags, pa.bool_()))
+        text, flag, names = pa.string(), pa.bool_(), pa.list_(pa.string())
+        kinds = (text, None, names, names, text, flag, flag, text, text)
+        return pa.StructArray.from_arrays([decisions if k is None else pa.array(c, k) for c, k in zip(columns, kinds)], names=PARSED.names)
+
+    return F.arrow_udf(parse, PARSED).asNondeterministic()(response)
 
 
 def missing_categories(decisions: Column, taxonomy: Taxonomy) -> Column:

@@ -95,7 +95,8 @@ def predictions(generated: DataFrame, taxonomy: Taxonomy, response_format: str =
 
 
 def run_predictions(inputs: DataFrame, make_backend: Callable[[], Backend], taxonomy: Taxonomy, path: str, batch_size: int = 8, resume: bool = False, overwrite: bool = False, **parsing) -> dict:
-    """Predictions for all inputs, appended to a Parquet folder; with ``resume``, for those it hasn't yet.
+    """Predictions for all inputs in a Parquet folder; with ``resume``, those it hasn't yet are appended, else
+    ``overwrite`` replaces it.
 
     Returns counts by status, and whether the run is complete.
     """
@@ -103,11 +104,11 @@ def run_predictions(inputs: DataFrame, make_backend: Callable[[], Backend], taxo
     todo, before, exists = inputs, 0, _exists(spark, path)
     if exists and not (resume or overwrite):
         raise FileExistsError(f"{path} exists; resume or overwrite it")
-    if exists and not overwrite:
+    if exists and resume:
         done = spark.read.parquet(path).select("id")
         before, todo = done.count(), remaining(inputs, done)
     made = predictions(generate(todo, make_backend, batch_size), taxonomy, **parsing)
-    made.write.mode("overwrite" if overwrite and not resume else "append").parquet(path)
+    made.write.mode("append" if resume else "overwrite").parquet(path)
     counts = {r.status: r["count"] for r in spark.read.parquet(path).groupBy("status").count().collect()}
     total, wanted = sum(counts.values()), inputs.count()
     return {"status": "complete" if total == wanted else "incomplete", "counts": counts, "num_records": total, "resumed_from": before, "output": path}

@@ -17,6 +17,7 @@ from plumbline.functions.labels import resolve_labels, to_vector
 from plumbline.functions.parsing import SCOPES, parse_response
 from plumbline.operators import controller as ctl
 from plumbline.operators.metrics import batch_classification, sample_counts
+from plumbline.sources.shared import written
 from plumbline.taxonomy import Taxonomy, compact_sha256, load_taxonomy
 
 KINDS = ("exact_match", "jaccard", "tversky", "adaptive")
@@ -165,7 +166,10 @@ def score(rows: DataFrame, settings: RewardSettings, state: ctl.State | None = N
     """
     read = read_responses(rows, settings)
     pred, true, tax = F.col("pred"), F.col("gt"), settings.taxonomy
-    statistics = batch_statistics(read, settings) if diagnostics or settings.kind == "adaptive" else None
+    statistics = None
+    if diagnostics or settings.kind == "adaptive":  # both of them and the scores come from one reading
+        read = written(read, rows.sparkSession)
+        statistics = batch_statistics(read, settings)
     if settings.kind == "exact_match":
         accuracy = similarity.exact_match(pred, true)
     elif settings.kind == "jaccard":

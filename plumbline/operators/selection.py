@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import resolve_video
 from plumbline.sources.records import DataError
+from plumbline.sources.shared import written
 
 REASONS = ("suffix", "unreadable", "too_long", "too_short", "too_few_frames")
 
 
+#: Places in a partition, as ``monotonically_increasing_id`` has them.
+PLACES = 1 << 33
+
+
 def with_rank(records: DataFrame, order: str = "ord") -> DataFrame:
-    """rank from 0 in the order of a column, without one task that sees all rows: ranges are sorted and
-    numbered side by side, and each begins after the rows of the ranges before it."""
-    ranged = records.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    sized = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    starts = sized.select(F.col("__part").alias("__of"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__start"))
-    local = F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1
-    return ranged.withColumn("__local", local).join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn("rank", F.col("__start") + F.col("__local")).drop("__part", "__of", "__start", "__local")
+    """rank from 0 in the order of a column, without one task that sees all rows: sorted ranges are numbered side by
+    side, and each begins after the rows of the ranges before it.
+
+    Ranges depend on sampled bounds, so rows are dealt out and numbered once, in a written table.
+    """
+    ranged = records.repartitionByRange(order).sortWithinPartitions(order)
+    table = written(ranged.withColumn("__at", F.monotonically_increasing_id()), records.sparkSession)
+    part, place = F.floor(F.col("__at") / PLACES), F.col("__at") % PLACES
+    sized = table.groupBy(part.alias("__of")).agg(F.count("*").alias("n"))
+    starts = sized.select("__of", (F.sum("n").over(W.orderBy("__of")) - F.col("n")).alias("__start"))
+    return table.join(F.broadcast(starts), part == F.col("__of")).withColumn("rank", F.col("__start") + place).drop("__at", "__of", "__start")
 
 
 def select_records(records: DataFrame, n: int, seed: int, method: str) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.labels import resolve_labels
+from plumbline.operators.selection import with_rank
 from plumbline.sources.lines import lines
 from plumbline.sources.records import DataError, load_json_lines
 from plumbline.taxonomy import Taxonomy
@@ -18,8 +18,9 @@ def _none() -> Column:
 
 
 def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
-    """ord by the sort keys. A number without gaps over all rows needs one sequence; only keys travel to it."""
-    return rows.withColumn("ord", F.row_number().over(W.orderBy(*keys)).cast("bigint")).drop(*keys)
+    """ord from 1 by the sort keys."""
+    ranked = with_rank(rows.withColumn("__keys", F.struct(*keys)).drop(*keys), "__keys")
+    return ranked.withColumn("ord", (F.col("rank") + 1).cast("bigint")).drop("__keys", "rank")
 
 
 def _items(spark: SparkSession, path: str) -> DataFrame:

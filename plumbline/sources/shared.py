@@ -7,10 +7,12 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of this process by the session's setting; they go when the process ends.
 _FOLDERS: dict[str | None, str] = {}
 
@@ -39,14 +41,25 @@ def _discard_at_exit(uri: str) -> None:
             shutil.rmtree(urlparse(uri).path, ignore_errors=True)
 
 
-def written(df: DataFrame, spark: SparkSession) -> DataFrame:
+def written(df: DataFrame, spark: SparkSession, compression: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read again: later steps neither recompute it nor
     depend on the executors that made it."""
     path = shared_folder(spark) + "/table"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffled_once(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is collected inside go as soon as it has come, not when the driver frees its memory."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def discard(table: DataFrame, spark: SparkSession) -> None:
     """Deletes a table of ``written`` that no later step reads."""
     for file in table.inputFiles()[:1]:
