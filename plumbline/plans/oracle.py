@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+from plumbline.plans import file_queries
 from plumbline.plans import fixtures as X
 from plumbline.plans.queries import CONTROLLER, SUMMARIES
 
@@ -253,3 +254,4 @@ concat_ws(',', {", ".join(f"CASE WHEN list_contains(sp, '{k}') THEN 1 ELSE 0 END
     "predict_resume": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS video FROM orders WHERE o_orderkey % 3 = 0",
     "distinct_prompt_check": "SELECT 'task <video>' AS prompt",
 }
+ORACLE_SQL |= file_queries.oracle_sql()
