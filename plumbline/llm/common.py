@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import discard, discard_folder, shared_folder, written  # noqa: F401
+from plumbline.sources.shared import discard, discard_folder, shared_folder, shuffled_once, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, discard_folder, shared_folder, written
+from plumbline.llm.common import discard, discard_folder, shared_folder, shuffled_once, written
 from plumbline.llm.eliasfano import EliasFano, Folder, Opened, prefixed
 
 U64 = np.uint64
@@ -269,7 +269,7 @@ def build_vocabulary(texts: DataFrame, spark: SparkSession, uri: str, alpha: flo
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(hashes)], pa.int64())], names=["shard", "n"])
 
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
-    dealt = counted.withColumn("shard", shard).select("shard", "h", "n").repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    dealt = counted.withColumn("shard", shard).select("shard", "h", "n").repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
     sizes = np.zeros(1 << bits, np.int64)
     for r in dealt.mapInArrow(run, "shard int, n bigint").collect():
         sizes[r.shard] = r.n
@@ -541,7 +541,8 @@ def add_level(coded: DataFrame, model: Model, spark: SparkSession, min_count: in
         for s in sorted(waiting):
             yield pa.RecordBatch.from_pylist([_write_nodes(s, waiting.pop(s), model, k, min_count)], FILES)
 
-    files = runs.repartitionById(parts, "part").mapInArrow(merge, "part int, n bigint, ones bigint, twos bigint, first bigint, last bigint").collect()
+    with shuffled_once(spark):
+        files = runs.repartitionById(parts, "part").mapInArrow(merge, "part int, n bigint, ones bigint, twos bigint, first bigint, last bigint").collect()
     nodes, ones, twos = (sum(r[c] for r in files) for c in ("n", "ones", "twos"))
     discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
     if nodes >= OOV and not highest:
@@ -604,7 +605,7 @@ def language_model_scores(docs: DataFrame, spark: SparkSession, train: Column, o
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row, under a model of the rows
     that ``train`` (a column) admits."""
     model = build_vocabulary(docs.where(train).select(text), spark, shared_folder(spark) + "/model", alpha)
-    coded = written(encode(docs, model, text, train), spark)
+    coded = written(encode(docs, model, text, train), spark, "zstd")
     for k in range(2, order + 1):
         add_level(coded, model, spark, min_count, k == order)
         if k > 2:
