@@ -4,27 +4,32 @@ A linear score over text features minimises the non-negative unbiased risk
 
     prior * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - prior * E_P[loss(g, -)])
 
-from trusted positives P, unlabelled web text U and an estimated class prior. Where a mini-batch's estimate of the
-negative part falls below zero, the step ascends on it instead, which stops the fit from explaining positives away.
-The loss is the logistic one, so the score estimates the probability of good text. The prior is the share of
-positives among labelled training rows (Laplace-smoothed). A last step fits slope and offset of the score to
-those rows, both labels, so that its threshold means a probability.
+from trusted positives P, unlabelled web text U and an estimated class prior. Rows labelled bad are never looked at. Where the
+estimate of the negative part falls below zero, the step ascends on it instead, which stops the fit from explaining positives
+away. The loss is the logistic one, so the score estimates the probability of good text; its ridge shrinks as positives grow.
+
+The prior is estimated from P and U alone: a first fit on one half of both ranks the other half, and the least ratio of what
+U and P have above a threshold, with a margin for chance, bounds the share of U that can be like P (best bin estimation).
 
 Features see the text alone: the make-up of its characters, words and lines (symbols, capitals, digits, repeats,
-duplicate lines, ...), each cut at quantiles of U, which lets a linear score bend. Both samples are bounded by ``sample`` rows,
-chosen by a hash of the id; every row is scored, on its whole text.
+duplicate lines, ...), each cut at quantiles of U and evenly over its range, which lets a linear score bend.
+
+P is at most ``sample`` labelled rows, chosen by a hash of the id. U is every training row: features are computed once over whole
+texts and written; each step of the fit is one pass over them that adds up risks, gradients and curvature by task, so what
+comes to the driver doesn't grow with U.
 
 Null and empty texts have the features of a text without words and get a score like any other. Labels of null
-value, or of rows that aren't there, teach nothing; without positives, every row scores the prior. A row that is
+value, or of rows that aren't there, teach nothing; without positives, every row scores one half. A row that is
 labelled twice counts once, with its larger label. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +49,8 @@ FEATURES = (
     "line_words", "same_lines", "ends", "capital_words", "odd_words", "shouted", "long_words", "short_words", "pairs", "high_bytes",
 )
 BINS = 8
+#: Ridge of the weights times the number of positives; one row in so many counts for curvature; lengths of a step that are tried.
+RIDGE, CURVED, LENGTHS = 2.0, 8, np.array([1.0, 0.5, 0.2, 0.05])
 
 
 def features(text: str | None) -> np.ndarray:
@@ -74,13 +81,11 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Cuts of every feature, weights of the bins between them, and the final slope and offset."""
+    """Cuts of every feature, weights of the bins between them, and the offset."""
 
     cuts: np.ndarray
     weights: np.ndarray
     offset: float
-    slope: float = 1.0
-    shift: float = 0.0
 
     def design(self, x: np.ndarray) -> np.ndarray:
         """How far each value has come through each bin, from 0 to 1: piecewise linear in the feature."""
@@ -91,93 +96,151 @@ class Model:
         return self.design(x) @ self.weights + self.offset
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -35, 35)))
+        return _sigmoid(self.raw(x))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and offset of least non-negative unbiased risk, by Adam over mini-batches."""
-    rng = np.random.default_rng(seed)
-    w = np.zeros(p.shape[1] + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    steps = max(1, max(len(p), len(u)) // batch)
-    for epoch in range(epochs):
-        for _ in range(steps):
-            a, b = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-            ga, gb = a @ w, b @ w
-            # logistic loss: log(1 + e^-g) for +, log(1 + e^g) for -
-            negative = np.logaddexp(0, gb).mean() - prior * np.logaddexp(0, ga).mean()
-            d_pos = -prior * (a.T @ _sigmoid(-ga)) / batch
-            d_neg = (b.T @ _sigmoid(gb)) / batch - prior * (a.T @ _sigmoid(ga)) / batch
-            g = d_pos + d_neg if negative >= 0 else -d_neg
-            g[:-1] += ridge * w[:-1]
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (1 - epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def calibrate(raw: np.ndarray, y: np.ndarray, pull: float = 1.0) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of labels to raw scores, held near (1, 0) by ``pull`` rows' worth."""
-    w, z = np.array([1.0, 0.0]), np.c_[raw, np.ones(len(raw))]
-    for _ in range(50):
-        q = _sigmoid(z @ w)
-        g = z.T @ (q - y) + pull * (w - [1.0, 0.0])
-        h = (z * (q * (1 - q))[:, None]).T @ z + pull * np.eye(2)
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        w = w - step
-        w[0] = max(w[0], 0.05)
-        if np.abs(step).max() < 1e-7:
+@dataclass
+class Sums:
+    """What one pass over unlabelled rows adds up at some weights: rows, losses as negatives, gradients and curvature."""
+
+    rows: int
+    losses: np.ndarray
+    gradients: np.ndarray
+    curvature: np.ndarray
+
+    @classmethod
+    def of(cls, u: np.ndarray, points: np.ndarray) -> Sums:
+        g = u @ points.T
+        share = _sigmoid(g)
+        some = u[::CURVED]  # curvature only shapes the step, so part of the rows is enough
+        bend = share[::CURVED] * (1 - share[::CURVED])
+        curvature = np.stack([(some * bend[:, [k]]).T @ some for k in range(len(points))]) * (len(u) / max(1, len(some)))
+        return cls(len(u), np.logaddexp(0, g).sum(0), share.T @ u, curvature)
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.rows + other.rows, self.losses + other.losses, self.gradients + other.gradients, self.curvature + other.curvature)
+
+
+def nn_risk(p: np.ndarray, sums: Sums, prior: float, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positive and negative part of the unbiased risk at each point; the risk is the first plus the second where that isn't below 0."""
+    g = p @ points.T
+    return prior * np.logaddexp(0, -g).mean(0), sums.losses / sums.rows - prior * np.logaddexp(0, g).mean(0)
+
+
+def risk_gradient(p: np.ndarray, sums: Sums, prior: float, points: np.ndarray, k: int) -> np.ndarray:
+    """Direction to descend against at point k: the gradient of the unbiased risk, or that of the negative part turned round
+    where this part is below zero."""
+    share = _sigmoid(p @ points[k])
+    of_negative = sums.gradients[k] / sums.rows - prior * (share @ p) / len(p)
+    if nn_risk(p, sums, prior, points)[1][k] < 0:
+        return -of_negative
+    return of_negative - prior * ((1 - share) @ p) / len(p)
+
+
+def fit_nnpu(p: np.ndarray, over: Callable[[np.ndarray], Sums], prior: float, ridge: float, steps: int = 12) -> np.ndarray:
+    """Weights, the offset last, of least non-negative unbiased risk, by damped Newton steps.
+
+    ``over`` gives the sums of the unlabelled rows at some points: one call a step, which tries several lengths of it.
+    """
+    pull = np.full(p.shape[1], ridge)
+    pull[-1] = 0
+    points, best = np.zeros((1, p.shape[1])), np.inf
+    weights = points[0]
+    for _ in range(steps):
+        sums = over(points)
+        positive, negative = nn_risk(p, sums, prior, points)
+        risks = positive + np.maximum(0, negative) + 0.5 * (pull * points**2).sum(1)
+        k = int(np.argmin(risks))
+        if not risks[k] < best - 1e-7:
             break
-    return float(w[0]), float(w[1])
+        best, weights = risks[k], points[k]
+        downhill = np.linalg.solve(sums.curvature[k] / sums.rows + np.diag(pull + 1e-9), risk_gradient(p, sums, prior, points, k) + pull * weights)
+        points = weights - np.outer(LENGTHS, downhill)
+    return weights
+
+
+def estimate_prior(p: np.ndarray, above: Callable[[np.ndarray], tuple[int, np.ndarray]], doubt: float = 0.1) -> float:
+    """Upper bound of the share of positives in U by the best bin: p are scores of positives, ``above`` counts unlabelled rows,
+    and those of them at or above some thresholds."""
+    cuts = np.quantile(p, np.linspace(0, 0.95, 200))
+    rows, counts = above(cuts)
+    margin = sum(np.sqrt(np.log(4 / doubt) / 2 / n) for n in (rows, len(p)))
+    of_p, of_u = (p >= cuts[:, None]).mean(1), counts / rows
+    k = int(np.argmin((of_u + margin) / of_p))
+    return float(np.clip(of_u[k] / of_p[k], 0.02, 0.98))
 
 
-def _feature_rows(rows: DataFrame) -> DataFrame:
+def feature_table(docs: DataFrame, spark: SparkSession, text: str = "text") -> DataFrame:
+    """doc_id and the features x of every row, written once."""
+    kind = dict(docs.dtypes)["doc_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t.as_py()).tolist() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            found = np.array([features(t.as_py()) for t in b.column(1)]).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(range(0, len(found) + 1, len(FEATURES)), pa.int32()), pa.array(found))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
+
+    return written(docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, x array<double>"), spark)
+
 
-    return rows.select("text", "y").mapInArrow(run, "x array<double>, y int")
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
-def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = _feature_rows(rows).toArrow()
-    x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    y = found.column("y").to_numpy()
-    order = np.lexsort((*x.T, y))  # the same fit in whatever order rows arrive
-    return x[order], y[order]
+def _reduced(rows: DataFrame, map_: Callable[[np.ndarray], tuple]) -> list:
+    """What ``map_`` makes of every batch's features, added up within tasks and then here; None where there are no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                found = map_(_matrix(b.column(0).slice(at, 4096)))
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["sums"])
+
+    parts = [pickle.loads(r.sums) for r in rows.select("x").mapInArrow(run, "sums binary").collect()]
+    return functools.reduce(lambda a, b: a + b, parts) if parts else None
 
 
 def learn(docs: DataFrame, labels: DataFrame, spark: SparkSession, train, label: str = "quality", sample: int = 20_000) -> Model:
-    """A model from at most ``sample`` labelled rows that ``train`` admits, and about as many unlabelled ones."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("of"), "y")
-    total = max(1, docs.count())
-    part = min(1.0, sample / total)
-    web = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(part * (1 << 30))
-    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"), "left").withColumn("web", web & train)
-    rows = written(drawn.where("web or y is not null").select("text", "y", "web"), spark)
-    x, y = _collected(rows.where("y is not null"))
-    u, _ = _collected(rows.where("web").withColumn("y", F.lit(0)))
-    prior = (int((y == 1).sum()) + 1) / (len(y) + 2)
-    empty = np.zeros((len(FEATURES), BINS + 1))
-    if not (y == 1).any() or not len(u):
-        return Model(empty, np.zeros(len(FEATURES) * BINS), float(np.log(prior / (1 - prior))))
-    cuts = np.quantile(np.concatenate([u, x]), np.linspace(0, 1, BINS + 1), axis=0).T
-    low, high = np.concatenate([u, x]).min(0), np.concatenate([u, x]).max(0)
-    for j in range(len(FEATURES)):  # bins of rare values: half of them by quantile, half by range
-        even = np.linspace(low[j], high[j], BINS // 2 + 1)
-        cuts[j] = np.sort(np.r_[np.quantile(np.r_[u[:, j], x[:, j]], np.linspace(0, 1, BINS // 2 + 2))[1:-1], even][: BINS + 1])
-    model = Model(cuts, np.zeros(len(FEATURES) * BINS), 0.0)
-    model.weights, model.offset = fit_nnpu(model.design(x[y == 1]), model.design(u), prior)
-    if (y == 0).any():
-        model.slope, model.shift = calibrate(model.raw(x), (y == 1).astype(float))
+    """A model from at most ``sample`` positive rows that ``train`` admits, and all rows that it admits as unlabelled ones."""
+    return learn_from(feature_table(docs.where(train), spark), labels, spark, train, label, sample)
+
+
+def learn_from(table: DataFrame, labels: DataFrame, spark: SparkSession, train, label: str = "quality", sample: int = 20_000) -> Model:
+    """``learn`` over a table of features."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y")).where("y = 1")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("of"))
+    web = table.where(train)
+    p = web.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("x").toArrow()
+    p = _matrix(p.column("x").combine_chunks()) if p.num_rows else np.zeros((0, len(FEATURES)))
+    empty = Model(np.zeros((len(FEATURES), BINS + 1)), np.zeros(len(FEATURES) * BINS), 0.0)
+    if len(p) < 2:
+        return empty
+    p = p[np.lexsort(p.T)]  # the same fit in whatever order rows arrive
+    # bins of rare values: half of them by quantile, half by range
+    shares = np.linspace(0, 1, BINS // 2 + 2)[1:-1].tolist()
+    value = lambda j: F.col("x")[j]
+    found = web.agg(*(f(value(j)).alias(f"{n}{j}") for j in range(len(FEATURES)) for n, f in (("low", F.min), ("high", F.max), ("cut", lambda c: F.percentile_approx(c, shares, 10_000))))).first()
+    cuts = np.stack([np.sort(np.r_[found[f"cut{j}"], np.linspace(found[f"low{j}"], found[f"high{j}"], BINS // 2 + 1)]) for j in range(len(FEATURES))])
+    model = Model(cuts, empty.weights, 0.0)
+    design = lambda x: np.c_[model.design(x), np.ones(len(x))]
+    p, ridge = design(p), RIDGE / len(p)
+    half = F.pmod(F.xxhash64("doc_id", "x"), F.lit(2)) == 0
+    over = lambda rows: lambda points: _reduced(rows, lambda x: Sums.of(design(x), points))
+    if web.where(half).limit(1).count() and web.where(~half).limit(1).count():
+        rank = fit_nnpu(p[::2], over(web.where(half)), 0.5, 2 * ridge, 6)
+        above = lambda cuts: tuple(_reduced(web.where(~half), lambda x: np.array([len(x), (design(x) @ rank >= cuts[:, None]).sum(1)], object)))
+        prior = estimate_prior(p[1::2] @ rank, above)
+    else:
+        prior = 0.5
+    weights = fit_nnpu(p, over(web), prior, ridge)
+    model.weights, model.offset = weights[:-1], float(weights[-1])
     return model
 
 
@@ -194,6 +257,18 @@ def scores(docs: DataFrame, model: Model, spark: SparkSession, text: str = "text
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def table_scores(table: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
+    """``scores`` of a table of features."""
+    sent, kind = spark.sparkContext.broadcast(pickle.dumps(model)), dict(table.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = pickle.loads(sent.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(_matrix(b.column(1))))], names=["doc_id", "score"])
+
+    return table.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
+
+
 def keep_good(docs: DataFrame, model: Model, spark: SparkSession, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows, all columns, that score at the threshold or above."""
     sent, at = spark.sparkContext.broadcast(pickle.dumps(model)), docs.columns.index(text)

@@ -13,9 +13,9 @@ from plumbline.llm.common import remainder, table, written
 
 
 def op1_quality_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality.learn(docs, table(spark, sf_dir, "labels"), spark, quality.train_rows(5, 0))
-    found = quality.scores(docs, model, spark)
+    features = quality.feature_table(table(spark, sf_dir, "documents"), spark)
+    model = quality.learn_from(features, table(spark, sf_dir, "labels"), spark, quality.train_rows(5, 0))
+    found = quality.table_scores(features, model, spark)
     held_out = remainder(F.col("doc_id"), 5) == 0
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
