@@ -2,19 +2,20 @@
 
 Each batch's false-positive and false-negative rates move two running means; the log of their ratio over a target
 moves a logit, and the logit sets how an error weight is split between the two kinds. Batch rates don't depend on
-the weights, so a log of batches is one parallel aggregation, then this fold over one small row per batch, then a
-join of each batch with the weights that earlier batches left. The fold runs as a SQL higher-order function
-(``fold_column``) or step by step (``Controller``), both with the same arithmetic.
+the weights, so a log of batches is one parallel aggregation, then a fold over one small row per batch, then a
+join of each batch with the weights that earlier batches left. The fold takes the same steps as ``Controller``, with one state in
+memory however many batches there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.taxonomy import compact_sha256
@@ -238,57 +239,35 @@ class Controller:
 STATE_TYPE = "struct<fp:array<double>,fn:array<double>,u:array<double>,alpha:array<double>,beta:array<double>,started:boolean,updates:bigint>"
 
 
-def _doubles(values: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
-
-
-def sigmoid_column(u: Column) -> Column:
-    return F.when(u >= 0, 1 / (1 + F.exp(-u))).otherwise(F.exp(u) / (1 + F.exp(u)))
-
-
-def _state_column(fp: Column, fn: Column, u: Column, alpha: Column, beta: Column, started: Column, updates: Column) -> Column:
-    return F.struct(fp.alias("fp"), fn.alias("fn"), u.alias("u"), alpha.alias("alpha"), beta.alias("beta"), started.alias("started"), updates.cast("bigint").alias("updates"))
-
-
-def seed_column(config: ControllerConfig, state: State | None = None) -> Column:
-    s = state or initial_state(config)
-    return _state_column(*(_doubles(getattr(s, k)) for k in VECTORS), F.lit(s.initialized), F.lit(s.num_updates))
-
-
-def step_column(config: ControllerConfig, acc: Column, fp: Column, fn: Column, state: State | None = None) -> Column:
-    """``step`` as an expression over an accumulator struct and two arrays."""
-    s, eps = state or initial_state(config), config.epsilon
-
-    def ema(old: Column, new: Column, seeded: bool) -> Column:
-        smooth = F.zip_with(old, new, lambda a, b: F.lit(1 - config.rho) * a + F.lit(config.rho) * b)
-        return smooth if seeded else F.when(acc["started"], smooth).otherwise(new)
-
-    fp, fn = ema(acc["fp"], fp, s.init_fp_ema_applied), ema(acc["fn"], fn, s.init_fn_ema_applied)
-    gap = F.zip_with(F.zip_with(fp, fn, lambda a, b: F.ln((b + eps) / (a + eps) + eps)), F.array(*(F.lit(math.log(t + eps)) for t in config.target_ratio)), lambda r, t: r - t)
-    u = F.zip_with(acc["u"], gap, lambda a, g: F.lit(1 - config.logit_leakage) * a + F.lit(config.eta) * g)
-    share = F.transform(u, lambda x: F.least(F.greatest(sigmoid_column(x), F.lit(config.beta_clip)), F.lit(1.0 - config.beta_clip)))
-    alpha, beta = F.transform(share, lambda b: F.lit(config.scale) * (1 - b)), F.transform(share, lambda b: F.lit(config.scale) * b)
-    return _state_column(fp, fn, u, alpha, beta, F.lit(True), acc["updates"] + 1)
+def _plain(state: State) -> dict[str, Any]:
+    """A state as a value of STATE_TYPE."""
+    vectors = {k: list(getattr(state, v)) for k, v in zip(("fp", "fn", "u", "alpha", "beta"), VECTORS)}
+    return vectors | {"started": state.initialized, "updates": state.num_updates}
 
 
 def fold_batches(stats: DataFrame, config: ControllerConfig, update: bool = True, state: State | None = None) -> DataFrame:
     """For every row of ``stats`` (batch_id, counted, fp and fn arrays): the states before and after its batch.
 
-    Batches fold in the order of batch_id; one without counted samples changes nothing. The fold is sequential by
-    nature and sees one small row a batch; the log of responses itself never meets in one task.
+    Batches fold in the order of batch_id; one without counted samples changes nothing. The fold is sequential by nature: one
+    task walks over one small row a batch, sorted outside its memory; the log of responses itself never meets in one task.
     """
-    row = F.struct("batch_id", "counted", "fp", "fn")
-    kind = f"struct<batch_id:bigint,before:{STATE_TYPE},after:{STATE_TYPE}>"
-    seed = F.struct(seed_column(config, state).alias("state"), F.array().cast(f"array<{kind}>").alias("log"))
-
-    def one(acc: Column, x: Column) -> Column:
-        now = acc["state"]
-        then = F.when((x["counted"] > 0) & F.lit(update), step_column(config, now, x["fp"], x["fn"], state)).otherwise(now)
-        entry = F.struct(x["batch_id"].cast("bigint").alias("batch_id"), now.alias("before"), then.alias("after"))
-        return F.struct(then.alias("state"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    gathered = stats.agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return gathered.select(F.inline(F.aggregate("rows", seed, one, lambda acc: acc["log"])))
+    start = state or initial_state(config)
+    doubles = pa.list_(pa.float64())
+    kind = pa.struct([*((k, doubles) for k in ("fp", "fn", "u", "alpha", "beta")), ("started", pa.bool_()), ("updates", pa.int64())])
+    schema = pa.schema([("batch_id", pa.int64()), ("before", kind), ("after", kind)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = start
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                then = step(config, now, x["fp"], x["fn"]) if update and (x["counted"] or 0) > 0 else now
+                rows.append({"batch_id": x["batch_id"], "before": _plain(now), "after": _plain(then)})
+                now = then
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    rows = stats.select(F.col("batch_id").cast("bigint").alias("batch_id"), "counted", "fp", "fn")
+    return rows.repartition(1).sortWithinPartitions("batch_id").mapInArrow(fold, f"batch_id bigint, before {STATE_TYPE}, after {STATE_TYPE}")
 
 
 def inspect_state(states: DataFrame, config: ControllerConfig, column: str = "after") -> DataFrame:

@@ -7,6 +7,7 @@ labels and optionally historical_labels.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import resolve_labels
@@ -14,6 +15,9 @@ from plumbline.operators import metrics
 from plumbline.taxonomy import Taxonomy
 
 POLICIES = ("negative", "exclude", "error")
+ID_KINDS = ("missing", "invalid", "partial", "extra_prediction")
+#: A prediction beside its sample, as one column.
+MADE = "__prediction"
 
 
 class EvaluationError(ValueError):
@@ -38,24 +42,27 @@ def ground_truth(records: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 
 
 def join_predictions(truth: DataFrame, predictions: DataFrame, label_source: str = "labels") -> DataFrame:
-    """truth LEFT JOIN predictions: id, gt, pred (null: nothing to score) and status."""
+    """truth LEFT JOIN predictions: id, gt, pred (null: nothing to score), status, and truth's columns of other names."""
     if label_source not in ("labels", "historical"):
         raise EvaluationError("label_source is 'labels' or 'historical'")
     made = predictions.select(
-        F.col("id").cast("string").alias("of"),
-        F.coalesce("status", F.lit("ok")).alias("said"),
-        F.col("labels").alias("found"),
-        (F.col("historical_labels") if label_source == "historical" else F.lit(None).cast("array<string>")).alias("history"),
+        F.struct(
+            F.col("id").cast("string").alias("id"),
+            F.coalesce("status", F.lit("ok")).alias("status"),
+            F.col("labels").alias("labels"),
+            (F.col("historical_labels") if label_source == "historical" else F.lit(None).cast("array<string>")).alias("history"),
+        ).alias(MADE)
     )
-    joined = truth.join(made, truth.id == made.of, "left")
-    parsed = F.col("said").isin("ok", "partial")
-    pred = F.when(parsed, F.col("found"))
+    joined = truth.join(made, truth.id == F.col(f"{MADE}.id"), "left")
+    of = lambda name: F.col(f"{MADE}.{name}")
+    parsed = of("status").isin("ok", "partial")
+    pred = F.when(parsed, of("labels"))
     if label_source == "historical":
-        fault = F.raise_error(F.concat(F.lit("no historical labels in prediction "), F.col("of"))).cast("array<string>")
-        pred = F.when(parsed | (F.col("said") == "parse_error"), F.coalesce("history", fault))
-    status = F.when(F.col("of").isNull(), "missing").when((F.col("said") == "ok") & pred.isNull(), "invalid").otherwise(F.col("said"))
-    rest = [c for c in truth.columns if c not in ("id", "labels")]
-    return joined.select("id", F.col("labels").alias("gt"), pred.alias("pred"), status.alias("status"), *rest)
+        fault = F.raise_error(F.concat(F.lit("no historical labels in prediction "), of("id"))).cast("array<string>")
+        pred = F.when(parsed | (of("status") == "parse_error"), F.coalesce(of("history"), fault))
+    status = F.when(F.col(MADE).isNull(), "missing").when((of("status") == "ok") & pred.isNull(), "invalid").otherwise(of("status"))
+    rest = [truth[c] for c in truth.columns if c not in ("id", "labels", "gt", "pred", "status")]
+    return joined.select(truth.id, truth.labels.alias("gt"), pred.alias("pred"), status.alias("status"), *rest)
 
 
 def extra_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -97,8 +104,24 @@ def coverage(samples: DataFrame) -> DataFrame:
     return samples.agg(*(F.count_if(c).alias(k) for k, c in counts.items()))
 
 
-def evaluate(truth: DataFrame, predictions: DataFrame, taxonomy: Taxonomy, invalid_policy: str, missing_policy: str = "error", label_source: str = "labels") -> dict:
-    """Everything as one document: metrics, per-category metrics, coverage and ids."""
+def coverage_ids(samples: DataFrame, truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """kind, place (the order of ord where there is one, else of ids) and id of what is missing, invalid, partial or extra."""
+    none, place = F.col("pred").isNull(), F.col("ord") if "ord" in samples.columns else F.lit(None)
+    kinds = {"missing": F.col("status") == "missing", "invalid": none & (F.col("status") != "missing"), "partial": F.col("status") == "partial"}
+    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())))
+    own = samples.select(F.explode(found).alias("kind"), place.cast("bigint").alias("place"), "id")
+    return own.unionByName(extra_predictions(truth, predictions).select(F.lit("extra_prediction").alias("kind"), F.lit(None).cast("bigint").alias("place"), "id"))
+
+
+def _firsts(ids: DataFrame, n: int) -> DataFrame:
+    order = W.partitionBy("kind").orderBy("place", "id")
+    first = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return first.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def evaluate(truth: DataFrame, predictions: DataFrame, taxonomy: Taxonomy, invalid_policy: str, missing_policy: str = "error", label_source: str = "labels", listed: int = 10_000) -> dict:
+    """Everything as one document: metrics, per-category metrics, coverage, and the first ``listed`` ids of each kind that
+    ``coverage_ids`` has in full."""
     require_unique(truth, "ground-truth")
     require_unique(predictions, "prediction")
     samples = join_predictions(truth, predictions, label_source).persist()
@@ -108,19 +131,15 @@ def evaluate(truth: DataFrame, predictions: DataFrame, taxonomy: Taxonomy, inval
         found = metrics.summary(scored, taxonomy).first().asDict()
         if not found["num_samples"]:
             raise EvaluationError("no samples are left to evaluate")
-        order = "ord" if "ord" in samples.columns else "id"
-        ids = lambda rows: [r.id for r in rows.orderBy(order).select("id").collect()]
-        none = F.col("pred").isNull()
+        ids = coverage_ids(samples, truth, predictions)
+        firsts = {r.kind: list(r.ids) for r in _firsts(ids, listed).collect()}
         found["per_category"] = {r.category: {k: v for k, v in r.asDict().items() if k not in ("pos", "category")} for r in metrics.per_category(scored, taxonomy).collect()}
         cover = coverage(samples).first().asDict() | {
             "scored_samples": found["num_samples"],
             "status_counts": {r.status: r["count"] for r in samples.groupBy("status").count().collect()},
             "invalid_policy": invalid_policy,
             "missing_policy": missing_policy,
-            "missing_ids": ids(samples.where("status = 'missing'")),
-            "invalid_ids": ids(samples.where(none & (F.col("status") != "missing"))),
-            "partial_ids": ids(samples.where("status = 'partial'")),
-            "extra_prediction_ids": [r.id for r in extra_predictions(truth, predictions).orderBy("id").collect()],
+            **{f"{kind}_ids": firsts.get(kind, []) for kind in ID_KINDS},
         }
     finally:
         samples.unpersist()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 from typing import Protocol
 
 import pandas as pd
@@ -12,8 +14,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.labels import names_for
 from plumbline.functions.parsing import missing_categories, parse_response
 from plumbline.operators.selection import remaining
+from plumbline.plans.inference import run_metadata
+from plumbline.sources.shared import put_text
 from plumbline.taxonomy import Taxonomy
 
+RUN_FORMAT = "prediction_run/v1"
 ERRORS = ("video_error", "generation_error")
 GENERATED = "id string, video string, response string, status string, error string"
 
@@ -29,6 +34,18 @@ class Backend(Protocol):
     def generate(self, requests: Sequence[object]) -> Sequence[str | Exception | None]: ...
 
 
+def _answers(backend: Backend, requests: list[object]) -> list[str | Exception | None]:
+    """The backend's answers; where it fails on a batch as a whole, those to its requests one by one."""
+    try:
+        found = list(backend.generate(requests))
+        if len(found) == len(requests):
+            return found
+        failure: Exception = RuntimeError(f"{len(found)} answers to {len(requests)} requests")
+    except Exception as e:
+        failure = e
+    return [failure] if len(requests) == 1 else [a for r in requests for a in _answers(backend, [r])]
+
+
 def generate(inputs: DataFrame, make_backend: Callable[[], Backend], batch_size: int = 8) -> DataFrame:
     """One row for every input: its response, or a video or generation error. Each task makes its backend once.
 
@@ -52,7 +69,7 @@ def generate(inputs: DataFrame, make_backend: Callable[[], Backend], batch_size:
                         ready.append((k, backend.prepare(video)))
                     except Exception as e:  # a bad video is a result
                         status[k], errors[k] = ERRORS[0], f"{type(e).__name__}: {e}"
-                answers = backend.generate([r for _, r in ready]) if ready else []
+                answers = _answers(backend, [r for _, r in ready]) if ready else []
                 for (k, _), answer in zip(ready, answers, strict=True):
                     if isinstance(answer, str):
                         texts[k] = answer
@@ -98,7 +115,8 @@ def run_predictions(inputs: DataFrame, make_backend: Callable[[], Backend], taxo
     """Predictions for all inputs in a Parquet folder; with ``resume``, those it hasn't yet are appended, else
     ``overwrite`` replaces it.
 
-    Returns counts by status, and whether the run is complete.
+    Returns counts by status, whether the run is complete, and what it depends on, which also stands in ``<path>.meta.json``, from
+    the run's start on.
     """
     spark: SparkSession = inputs.sparkSession
     todo, before, exists = inputs, 0, _exists(spark, path)
@@ -107,11 +125,16 @@ def run_predictions(inputs: DataFrame, make_backend: Callable[[], Backend], taxo
     if exists and resume:
         done = spark.read.parquet(path).select("id")
         before, todo = done.count(), remaining(inputs, done)
+    started = datetime.now().astimezone().isoformat(timespec="seconds")
+    meta = {"format": RUN_FORMAT, "status": "running", "started": started, "finished": None, "resumed_from": before, "batch_size": batch_size, "parsing": parsing, "taxonomy": taxonomy.name, "taxonomy_fingerprint": taxonomy.fingerprint(), "output": path, **run_metadata()}
+    put_text(spark, f"{path}.meta.json", json.dumps(meta, indent=2, ensure_ascii=False))
     made = predictions(generate(todo, make_backend, batch_size), taxonomy, **parsing)
     made.write.mode("append" if resume else "overwrite").parquet(path)
     counts = {r.status: r["count"] for r in spark.read.parquet(path).groupBy("status").count().collect()}
     total, wanted = sum(counts.values()), inputs.count()
-    return {"status": "complete" if total == wanted else "incomplete", "counts": counts, "num_records": total, "resumed_from": before, "output": path}
+    meta |= {"status": "complete" if total == wanted else "incomplete", "counts": counts, "num_records": total, "finished": datetime.now().astimezone().isoformat(timespec="seconds")}
+    put_text(spark, f"{path}.meta.json", json.dumps(meta, indent=2, ensure_ascii=False))
+    return meta
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -17,7 +17,7 @@ from plumbline.plans import fixtures as X
 from plumbline.sources import adapters, sinks
 from plumbline.sources.lines import read_id_manifest
 from plumbline.sources.records import load_inputs, load_json_lines, load_records, parse_records
-from plumbline.sources.shared import shared_folder
+from plumbline.sources.shared import put_text, shared_folder
 from plumbline.taxonomy import load_taxonomy
 
 TAX, IDS, K = X.TAXONOMY, X.IDS, X.K
@@ -35,13 +35,6 @@ def _file(lines: DataFrame, order: str) -> str:
     return path
 
 
-def _put(spark: SparkSession, uri: str, text: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
 def _local(spark: SparkSession) -> str:
     """A fresh shared folder as a path: single files are written by the driver."""
     return urlparse(shared_folder(spark)).path
@@ -164,9 +157,9 @@ def source_folder_annotations(spark, sf):
     folder = F.concat(F.lit("n"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     truth = F.struct(video.alias("video_path"), F.array(F.concat(F.lit("C"), key % 6 + 1)).alias("labels"), F.array(F.col("c_mktsegment")).alias("subcategories"))
     for name, doc in _documents(c, "c_custkey", F.to_json(F.struct(key.alias("id"), video.alias("video"))), folder):
-        _put(spark, f"{root}/{name}/full.json", doc)
+        put_text(spark, f"{root}/{name}/full.json", doc)
     for name, doc in _documents(c.where("c_custkey % 3 > 0"), "c_custkey", F.to_json(truth), folder):
-        _put(spark, f"{root}/{name}/full_gt.json", doc)
+        put_text(spark, f"{root}/{name}/full_gt.json", doc)
     out = adapters.folder_annotations(spark, root, TAX, "full", "/videos/")
     return out.select("ord", "id", "video", joined(F.col("labels")).alias("labels"), joined(F.col("subcategories")).alias("subcategories"))
 
@@ -178,7 +171,7 @@ def source_benchmark_annotations(spark, sf):
     item = F.struct(path.alias("video_path"), F.when(key % 2 == 0, F.array(F.lit("C1"), F.lit("C3"))).alias("labels"), F.array(F.when(key % 4 == 0, "benign").otherwise("harm")).alias("subcategories"))
     name = F.concat(F.lit("C"), F.col("s_nationkey") % 6 + 1)
     for folder, doc in _documents(s, "s_suppkey", F.to_json(item), name):
-        _put(spark, f"{root}/real/{folder}/all_benchmark.json", doc if folder < "C4" else '{"items": ' + doc + "}")
+        put_text(spark, f"{root}/real/{folder}/all_benchmark.json", doc if folder < "C4" else '{"items": ' + doc + "}")
     out = adapters.benchmark_annotations(spark, root, TAX, "empty")
     return out.select("id", "video", joined(F.col("labels")).alias("labels"), joined(F.col("subcategories")).alias("subcategories"), "harmfulness")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
-from plumbline.taxonomy import Taxonomy
+from plumbline.taxonomy import RESOURCES, Taxonomy
 
 # The instructions that follow a prompt in each response format, and the sentences of a task prompt.
 SUFFIXES = {
@@ -69,3 +69,19 @@ def resolve_prompt(spec: Mapping[str, Any], taxonomy: Taxonomy, base: Path) -> t
     if spec.get("sha256", digest) != digest:
         raise PromptError(f"the prompt's SHA-256 is {digest}, not {spec['sha256']}")
     return text, source | {"sha256": digest}
+
+
+def read_resource(name: str, root: Path = RESOURCES / "prompts") -> str:
+    """A bundled text, byte by byte as it is; ``name`` is its path below the bundled ones."""
+    path = (root / name).resolve()
+    if not path.is_relative_to(root.resolve()) or not path.is_file():
+        raise PromptError(f"no bundled prompt {name!r}")
+    return path.read_bytes().decode("utf-8")
+
+
+def format_template_path(response_format: str) -> Path:
+    """File of the template that puts a response format's instruction after a prompt, as trainers read it."""
+    path = RESOURCES / "prompts" / "formats" / f"{response_format}.jinja"
+    if not path.is_file():
+        raise PromptError(f"no template for response format {response_format!r}")
+    return path

@@ -84,6 +84,7 @@ def _write(spark, recipe, splits, taxonomy, output, base: Path, dry_run: bool, o
         if not dry_run:
             if rl:
                 sinks.write_rl_parquet(rows, target, overwrite)
+                done["files"] = {r.name: r.sha256 for r in sinks.checksums(spark, target).where("name LIKE '%.parquet'").orderBy("name").collect()}
             else:
                 sinks.write_json_lines(rows, target, "ord", overwrite)
                 done["sha256"] = sinks.file_sha256(target)

@@ -70,3 +70,15 @@ def discard_folder(uri: str, spark: SparkSession) -> None:
     """Deletes a folder that no later step reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(uri)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def put_text(spark: SparkSession, uri: str, text: str) -> None:
+    """A small text file in any store that Spark knows; it appears whole, in place of what was there."""
+    path, part = (spark._jvm.org.apache.hadoop.fs.Path(uri + end) for end in ("", f".{uuid.uuid4().hex}"))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if store.exists(path):
+        store.delete(path, False)
+    store.rename(part, path)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,11 +114,17 @@ def file_sha256(path: str | Path) -> str:
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """name (below the folder) and sha256 of every file."""
+    """name (below the folder) and sha256 of every file, read by the workers chunk by chunk."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
     below = str(Path(folder).resolve()).rstrip("/") + "/"
-    return rows.select(F.substring("path", len(below) + 1, 1 << 30).alias("name"), "sha256").where(~F.element_at(F.split("name", "/"), -1).isin(*SKIPPED))
+    paths = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))  # without the contents, which aren't read then
+    named = paths.select(F.substring("path", len(below) + 1, 1 << 30).alias("name"), "path").where(~F.element_at(F.split("name", "/"), -1).isin(*SKIPPED))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([file_sha256(p) for p in b.column(1).to_pylist()], pa.string())], names=["name", "sha256"])
+
+    return named.mapInArrow(hashed, "name string, sha256 string")
 
 
 def write_checksums(spark: SparkSession, folder: str) -> str:
