@@ -10,8 +10,10 @@ What keeps it linear when a third of all rows are copies of one another:
 
 * equal fingerprints collapse before any lookup (a map-side combined aggregate);
 * a lookup bucket emits a spanning forest of its verified links, never its pairs. Large buckets first
-  merge what lies one bit apart by sorting masked values, and then compare only members that are not yet
+  merge what lies one bit apart by sorting masked values, and then compare only table rows with members that are not yet
   in one set, block by block;
+* a segment value that over ``HOT`` distinct fingerprints share is indexed again: two of its members within three bits agree in one
+  byte of the other segment at least, so its bucket is dealt out by those four bytes, and no task meets all of it;
 * of two segment values one bit apart only the one with the bit clear probes, which halves the balls.
 
 Rows with equal fingerprints are linked, null and empty texts included (fingerprint zero). A null
@@ -38,6 +40,8 @@ SEED = 42
 #: Buckets with more members than this merge one-bit neighbours by sorting before they compare blocks.
 LARGE_BUCKET = 512
 BLOCK = 1024
+#: Fingerprints that share a segment value, from which on its bucket is indexed again.
+HOT = 4096
 ONE = np.uint64(1)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -69,8 +73,16 @@ def with_fingerprints(df: DataFrame, text: str = "text", width: int = 3, more: l
     return df.select("doc_id", text, *more).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, fp bigint", *(f"{c} {kinds[c]}" for c in more)]))
 
 
-def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each segment a table row (probe false) and the half ball of values with one more bit set."""
+def hot_values(fps: DataFrame) -> np.ndarray:
+    """Buckets (segment and value) that over HOT fingerprints share, ascending. There are at most two for every HOT rows."""
+    value = lambda segment: (F.shiftrightunsigned("fp", 32 * segment).bitwiseAND(F.lit(0xFFFFFFFF))) + F.lit(segment << 32)
+    counts = fps.select(F.explode(F.array(value(0), value(1))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return np.sort(np.array([r.bucket for r in counts.where(F.col("n") > HOT).select("bucket").collect()], np.int64))
+
+
+def _probes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each segment a table row (probe false) and the half ball of values with one more bit set. ``part`` is 0, and in
+    hot buckets each of the four bytes of the other segment, with its place."""
     for whole in batches:
         for at in range(0, whole.num_rows, 16384):
             b = whole.slice(at, 16384)
@@ -82,8 +94,17 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row, bit = np.nonzero(clear)
                 keys = np.concatenate([value, value[row] | (ONE << flips[bit])])
                 rows = np.concatenate([np.arange(len(fp)), row])
+                probe = np.arange(len(rows)) >= len(fp)
                 bucket = (keys | np.uint64(segment << 32)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rep[rows]), pa.array(fp[rows].view(np.int64)), pa.array(np.arange(len(rows)) >= len(fp))], names=["bucket", "rep", "fp", "probe"])
+                part = np.zeros(len(rows), np.int32)
+                again = np.isin(bucket, hot) if len(hot) else np.zeros(len(rows), bool)
+                if again.any():
+                    other = (fp[rows[again]] >> np.uint64(32 * (1 - segment))) & LOW
+                    bytes_ = [((other >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int32) + 256 * k + 1 for k in range(4)]
+                    cold = ~again
+                    bucket, rows, probe = (np.concatenate([x[cold], *[x[again]] * 4]) for x in (bucket, rows, probe))
+                    part = np.concatenate([part[cold], *bytes_])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part), pa.array(rep[rows]), pa.array(fp[rows].view(np.int64)), pa.array(probe)], names=["bucket", "part", "rep", "fp", "probe"])
 
 
 class Forest:
@@ -111,9 +132,11 @@ class Forest:
         return np.fromiter((self.find(i) for i in range(len(self.parent))), np.int64, len(self.parent))
 
 
-def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints; exact, whatever their number."""
+def spanning_links(fp: np.ndarray, radius: int, tables: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct fingerprints; exact, whatever their number. Of those from ``tables`` on,
+    probes, only links with the ones before are looked for."""
     forest, n = Forest(len(fp)), len(fp)
+    tables = n if tables is None else tables
     if n > LARGE_BUCKET and radius >= 1:
         for bit in range(64):
             masked = fp & ~(ONE << np.uint64(bit))
@@ -123,14 +146,13 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
         if len(forest.links) == n - 1:
             return forest.links
     root = forest.roots()
-    for i in range(0, n, BLOCK):
+    for i in range(0, tables, BLOCK):
+        end = min(tables, i + BLOCK)
         for j in range(i, n, BLOCK):
-            ri, rj = root[i : i + BLOCK], root[j : j + BLOCK]
+            ri, rj = root[i:end], root[j : j + BLOCK]
             if ri.min() == ri.max() == rj.min() == rj.max():
                 continue
-            near = (np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, j : j + BLOCK]) <= radius) & (ri[:, None] != rj)
-            if i == j:
-                near = np.triu(near, 1)
+            near = (np.bitwise_count(fp[i:end, None] ^ fp[None, j : j + BLOCK]) <= radius) & (ri[:, None] != rj)
             a, b = np.nonzero(near)
             if len(a):
                 forest.join(a + i, b + j)
@@ -141,11 +163,11 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(radius: int):
-    def links(bucket: np.ndarray, rep: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whole buckets, sorted by bucket. Buckets without a table row or of one row fetch nothing."""
-        start = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0]
-        size = np.diff(np.r_[start, len(bucket)])
-        tables = np.add.reduceat(~probe, start)
+    def links(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whole buckets, sorted by key, table rows before probes. Buckets without a table row or of one row fetch nothing."""
+        start = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        size = np.diff(np.r_[start, len(key)])
+        tables = np.add.reduceat((~probe).astype(np.int64), start)
         left, right = [], []
         small = (size > 1) & (size <= 8) & (tables > 0)
         for gap in range(1, 8):  # small buckets, all at once
@@ -155,8 +177,9 @@ def _bucket_links(radius: int):
                 near = np.bitwise_count(fp[i] ^ fp[i + gap]) <= radius
                 left.append(rep[i[near]])
                 right.append(rep[i[near] + gap])
-        for s, n in zip(start[(size > 8) & (tables > 0)].tolist(), size[(size > 8) & (tables > 0)].tolist()):
-            found = spanning_links(fp[s : s + n], radius)
+        large = (size > 8) & (tables > 0)
+        for s, n, t in zip(start[large].tolist(), size[large].tolist(), tables[large].tolist()):
+            found = spanning_links(fp[s : s + n], radius, t)
             if found:
                 a, b = np.array(found).T
                 left.append(rep[s + a])
@@ -164,19 +187,21 @@ def _bucket_links(radius: int):
         return (np.concatenate(left), np.concatenate(right)) if left else (rep[:0], rep[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        waiting: list[list[np.ndarray]] = []
         for b in batches:
-            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)).view(np.uint64), b.column(3).to_numpy(zero_copy_only=False)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
+            if not b.num_rows:
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield emit(*links(*(c[:cut] for c in cols)))
-        if rest is not None:
-            yield emit(*links(*rest))
+            # bucket (33 bits) and part as one key
+            key = np.asarray(b.column(0)) * 2048 + np.asarray(b.column(1))
+            cols = [key, np.asarray(b.column(2)), np.asarray(b.column(3)).view(np.uint64), b.column(4).to_numpy(zero_copy_only=False)]
+            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
+            if cut or waiting and waiting[-1][0][-1] != key[0]:
+                waiting.append([c[:cut] for c in cols])
+                yield emit(*links(*(np.concatenate(x) for x in zip(*waiting))))
+                waiting = []
+            waiting.append([c[cut:] for c in cols])
+        if waiting:
+            yield emit(*links(*(np.concatenate(x) for x in zip(*waiting))))
 
     def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
@@ -190,8 +215,9 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     two ends connected."""
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius one find distances of up to three")
-    rows = fps.select("rep", "fp").mapInArrow(_probes, "bucket bigint, rep bigint, fp bigint, probe boolean")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
+    hot = hot_values(fps)
+    rows = fps.select("rep", "fp").mapInArrow(lambda batches: _probes(batches, hot), "bucket bigint, part int, rep bigint, fp bigint, probe boolean")
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "probe").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
 
 
 def _roots(fps: DataFrame, spark: SparkSession, radius: int, more: DataFrame | None = None) -> DataFrame:
