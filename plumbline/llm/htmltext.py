@@ -10,14 +10,15 @@ them in links, and its link-adjusted density is
 
     C / T * log(C / LC * T / LT) / log(ln(C / nLC * LC + LCb / Cb * C + e))
 
-with nLC the characters outside links and b the body. A node's density sum adds up its children's densities (its own
-text counts as a child). The node of largest sum is the core of the article. On its path to the body every level
-adds the siblings that are as dense as the sparsest node of the path, so sections beside the core stay in; inside an
-``article`` or ``main`` element its whole rest belongs to it.
+with nLC the characters outside links and b the body. A block's density sum adds up the densities of the blocks inside it; its
+own text, with the inline elements of it, counts as one more. The block of largest sum, the outermost of equal ones, is the core
+of the article. The threshold is the least density on the path from the core to the body: every level of this path
+adds the blocks beside it that are at least as dense, so sections beside the core stay in.
 
 Blocks are cut at block elements (``br`` is white space), character references decoded, white space squeezed, and
 blocks joined by an empty line. Null and empty pages, and pages without text, give an empty text. Pages of
-any size are read whole, in time and memory linear in their size; markup nested to any depth is fine. Rows map one to one.
+any size are read whole, in time and memory linear in their size; markup nested to any depth, and end tags that close nothing,
+are fine. Rows map one to one; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ CLOSES = {
 }
 P_KEEPERS = frozenset("div td th li section article aside blockquote body main header footer table button caption object form dd dt figure figcaption nav".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 #: One attribute: its whole name, and its value if it has one.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -89,9 +90,38 @@ class Tree:
         return node
 
 
+class Open:
+    """The open elements, and for each name where the last ones of it stand, so that no tag walks over the others."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.tree, self.stack = tree, [0]
+        self.places: dict[str, list[int]] = {}
+        self.keepers = [0]
+
+    def push(self, node: int) -> None:
+        name, at = self.tree.tag[node], len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(name, []).append(at)
+        if name in P_KEEPERS:
+            self.keepers.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place, and those inside it."""
+        while len(self.stack) > at:
+            name = self.tree.tag[self.stack.pop()]
+            self.places[name].pop()
+            if name in P_KEEPERS:
+                self.keepers.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost element of these names, 0 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+
 def parse(page: str) -> Tree:
     tree, at, size = Tree(), 0, len(page)
-    tag, parts, stack = tree.tag, tree.parts, [0]
+    parts, opened = tree.parts, Open(tree)
+    stack = opened.stack
     lower: str | None = None
     while at < size:
         m = TOKEN.search(page, at)
@@ -106,24 +136,19 @@ def parse(page: str) -> Tree:
             continue
         name = name.lower()
         if m[1]:  # an end tag closes the nearest open element of its name, and those inside it
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCKS and tag[stack[k]] in P_KEEPERS:
-                    break
+            place = opened.last((name,))
+            if place and (name in BLOCKS or place >= opened.keepers[-1]):
+                opened.cut(place)
             continue
-        inner, outer = CLOSES.get(name, (None, None))
+        inner, outer = CLOSES.get(name, (set(), None))
         if name in BLOCKS:
-            inner, outer = (inner or set()) | {"p"}, outer or P_KEEPERS
+            inner = inner | {"p"}
         if name in HEADINGS:
             inner = inner | HEADINGS
         if inner:
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] in inner:
-                    del stack[k:]
-                elif tag[stack[k]] in outer or tag[stack[k]] in P_KEEPERS and name not in CLOSES:
-                    break
+            least = opened.last(outer) if outer else opened.keepers[-1]
+            while (place := opened.last(inner)) > least:
+                opened.cut(place)
         node = tree.open(name, m[3] or "", stack[-1])
         if name in VOID or (m[3] or "").endswith("/") and name not in BLOCKS and name not in RAW and name != "a":
             continue
@@ -135,7 +160,7 @@ def parse(page: str) -> Tree:
             else:
                 close = lower.find("</" + name, at)
             at = size if close < 0 else close
-        stack.append(node)
+        opened.push(node)
     return tree
 
 
@@ -253,28 +278,37 @@ def main_text(page: str | None) -> str:
         return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1e-9) / math.log(base + 1e-9) if base > 1 + 1e-12 else c / t * math.log(max(1.0, c * t))
 
     dense = [0.0 if gone[i] else density(chars[i], tags[i], link_chars[i], link_tags[i]) for i in range(n)]
-    total = [density(own[i], 1, own[i] if linked[i] else 0, int(linked[i])) if own[i] else 0.0 for i in range(n)]
+    # inline elements belong to their block: its own text, and one child of it as far as sums go
+    block, inner = list(range(n)), [False] * n
+    text, marks, link_text, links = own[:], [0] * n, [own[i] if linked[i] else 0 for i in range(n)], [0] * n
     for i in range(1, n):
-        if not gone[i]:
-            total[parent[i]] += dense[i]
+        b = block[parent[i]]
+        if tag[i] in BLOCKS:
+            inner[b] |= not gone[i] and chars[i] > 0
+        elif not gone[i]:
+            block[i] = b
+            text[b] += own[i]
+            link_text[b] += link_text[i]
+            marks[b] += 1
+            links[b] += tag[i] == "a"
+    total = [density(text[i], marks[i], link_text[i], links[i]) if inner[i] else dense[i] for i in range(n)]
+    for i in range(1, n):
+        if not gone[i] and block[i] == i:
+            total[block[parent[i]]] += dense[i]
     # what stands outside the body, as after a missing start tag, counts where there is no body
     under = [False] * n
     for i in range(n):
         under[i] = i == body or i > 0 and under[parent[i]]
-    candidates = [i for i in range(n) if under[i] and not gone[i] and chars[i]]
+    candidates = [i for i in range(n) if under[i] and not gone[i] and chars[i] and (block[i] == i or i == body)]
     if not candidates:
         return ""
     core = max(candidates, key=lambda i: (total[i], -i))
     path = [core]
     while path[-1] != body:
         path.append(parent[path[-1]])
-    whole = next((i for i in path if tag[i] in ARTICLES), None)
-    if whole is not None:
-        roots = {whole}
-    else:
-        least, roots = min(dense[i] for i in path), {core}
-        for above, below in zip(path[1:], path):
-            roots.update(i for i in parts[above] if not isinstance(i, str) and i != below and not gone[i] and dense[i] >= least and tag[i] in BLOCKS)
+    least, roots = min(dense[i] for i in path), {core}
+    for above, below in zip(path[1:], path):
+        roots.update(i for i in parts[above] if not isinstance(i, str) and i != below and not gone[i] and dense[i] >= least and tag[i] in BLOCKS)
     return _blocks(tree, roots, gone, headed, body)
 
 
