@@ -10,7 +10,8 @@ Pieces of up to ``WIDE`` bytes run side by side: trees of one width form the row
 performs one merge in every row that still has one. Longer pieces use one tree each. Both give the same merges.
 
 Null texts count as empty: no tokens, and the digests of no bytes. Texts of any length are encoded whole; memory
-grows with the longest text of a batch. Rows, repeated ones too, map one to one.
+grows with the longest text of a batch. Rows, repeated ones too, map one to one; an empty table gives none, and extra columns don't
+matter.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ texts and written; each step of the fit is one pass over them that adds up risks
 comes to the driver doesn't grow with U.
 
 Null and empty texts have the features of a text without words and get a score like any other. Labels of null
-value, or of rows that aren't there, teach nothing; without positives, every row scores one half. A row that is
+value, or of rows that aren't there, teach nothing; with fewer than FEWEST positives, every row scores one half. A row that is
 labelled twice counts once, with its larger label. Extra columns don't matter.
 """
 
@@ -49,8 +49,9 @@ FEATURES = (
     "line_words", "same_lines", "ends", "capital_words", "odd_words", "shouted", "long_words", "short_words", "pairs", "high_bytes",
 )
 BINS = 8
-#: Ridge of the weights times the number of positives; one row in so many counts for curvature; lengths of a step that are tried.
-RIDGE, CURVED, LENGTHS = 2.0, 8, np.array([1.0, 0.5, 0.2, 0.05])
+#: Positives that a fit needs at least; ridge of the weights times their number; one row in so many counts for curvature; lengths of a
+#: step that are tried.
+FEWEST, RIDGE, CURVED, LENGTHS = 20, 2.0, 8, np.array([1.0, 0.5, 0.2, 0.05])
 
 
 def features(text: str | None) -> np.ndarray:
@@ -220,7 +221,7 @@ def learn_from(table: DataFrame, labels: DataFrame, spark: SparkSession, train,
     p = web.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("x").toArrow()
     p = _matrix(p.column("x").combine_chunks()) if p.num_rows else np.zeros((0, len(FEATURES)))
     empty = Model(np.zeros((len(FEATURES), BINS + 1)), np.zeros(len(FEATURES) * BINS), 0.0)
-    if len(p) < 2:
+    if len(p) < FEWEST:
         return empty
     p = p[np.lexsort(p.T)]  # the same fit in whatever order rows arrive
     # bins of rare values: half of them by quantile, half by range
