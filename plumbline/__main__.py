@@ -16,6 +16,8 @@ from plumbline.operators import evaluate as E
 from plumbline.operators import predict as P
 from plumbline.operators import records as R
 from plumbline.operators import selection as S
+from plumbline.plans import inference
+from plumbline.plans.preflight import check_chat, check_rl
 from plumbline.plans.recipe import run_recipe
 from plumbline.sources import adapters, sinks
 from plumbline.sources import records as source
@@ -137,6 +139,24 @@ def show_config(a: argparse.Namespace) -> int:
     return 0
 
 
+def presets(a: argparse.Namespace) -> int:
+    _print(inference.load_preset(a.name).to_dict() if a.name else inference.list_presets())
+    return 0
+
+
+def preflight(a: argparse.Namespace) -> int:
+    """Checks a training configuration: keys train_files, val_files, reward and what else ``check_rl`` takes, or dataset_dir and dataset."""
+    tree = config.load_yaml(a.config)
+    tree = config.expand_variables(tree, config.resolve_variables(tree.pop("variables", None), {k: config.parse_scalar(v) for k, v in _pairs(a.var).items()}))
+    if "dataset" in tree:
+        check_chat(tree.get("dataset_dir"), str(tree["dataset"]), str(tree.get("model_name_or_path", "")))
+    else:
+        more = {k: tree[k] for k in ("model", "optional", "image_dir", "pinned") if k in tree}
+        for note in check_rl(_spark(), tree["train_files"], tree["val_files"], tree["reward"], run_folder=a.run_folder, **more):
+            print(f"note: {note}")
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="plumbline", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -163,11 +183,13 @@ def parser() -> argparse.ArgumentParser:
     command(prepare, "recipe", var=[], dry_run=False, overwrite=False)
     command(validate_data, "taxonomy", data=[], video_root=str, repeated_ids=("error", "warn", "allow"), repeated_videos=("warn", "error", "allow"), check_media=("none", "exists", "decode"), require_all_categories=False)
     command(import_data, "input", "output", "taxonomy", "format", video_type=("full", "clip", "all"), video_prefix="", benign_labels=("folder", "empty"), sources=["real", "genai"], video_path=("id", "basename"), path_prefix=str, extra_fields=[], overwrite=False)
-    command(filter_media, "data", "output", "taxonomy", "probe", "video_root", max_duration=float, min_duration=float, min_frames=int, on_unreadable=("error", "drop"), overwrite=False)
+    command(filter_media, "data", "output", "taxonomy", "video_root", probe="plumbline.operators.selection:probe_video", max_duration=float, min_duration=float, min_frames=int, on_unreadable=("error", "drop"), overwrite=False)
     command(select, "data", "output", "taxonomy", n=int, seed=0, method=("random_sample", "sorted_index_sample"), manifest=str, write_manifest=str, header=[], overwrite=False)
     command(predict, "output", "taxonomy", "backend", video=[], input=str, video_root=str, batch_size=8, resume=False, overwrite=False, response_format=("think_answer", "triple_newline", "plain"), parse_scope=("full_response", "answer_only", "answer_or_full"))
     command(inspect_state, "state")
     command(show_config, "config", var=[])
+    command(presets, name=str)
+    command(preflight, "config", var=[], run_folder=".")
     return top
 
 

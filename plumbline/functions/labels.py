@@ -30,7 +30,7 @@ def resolve_label(label: Column, taxonomy: Taxonomy) -> Column:
 
 def in_order(ids: Column, taxonomy: Taxonomy) -> Column:
     """The ids of an array that are categories, each once, in category order."""
-    return F.filter(literal_array(taxonomy.ids), lambda x: F.array_contains(ids, x))
+    return from_flags([F.array_contains(ids, i) for i in taxonomy.ids], taxonomy)
 
 
 def resolve_labels(labels: Column, taxonomy: Taxonomy, strict: bool = True) -> Column:
@@ -46,13 +46,14 @@ def unknown_labels(labels: Column, taxonomy: Taxonomy) -> Column:
 
 
 def to_vector(ids: Column, taxonomy: Taxonomy) -> Column:
-    return F.transform(literal_array(taxonomy.ids), lambda x: F.array_contains(ids, x).cast("int"))
+    return F.array(*(F.array_contains(ids, i).cast("int") for i in taxonomy.ids))
 
 
 def from_flags(flags: list[Column], taxonomy: Taxonomy) -> Column:
-    """Ids whose flag is true, in order; a null flag counts as false."""
-    slots = F.array(*(F.when(f, F.lit(i)) for i, f in zip(taxonomy.ids, flags, strict=True)))
-    return F.filter(slots, lambda x: x.isNotNull())
+    """Ids whose flag is true, in order; a null flag counts as false. No id is empty, so empty slots can go by value, which
+    unlike a filter function is compiled."""
+    slots = F.array(*(F.when(f, F.lit(i)).otherwise(F.lit("")) for i, f in zip(taxonomy.ids, flags, strict=True)))
+    return F.array_remove(slots, "")
 
 
 def index_of(category_id: Column, taxonomy: Taxonomy) -> Column:

@@ -149,6 +149,35 @@ def probe_media(records: DataFrame, probe: Callable[[str], tuple[int | None, flo
     return known.unionByName(fresh)
 
 
+def probe_video(path: str) -> tuple[int | None, float | None, str | None]:
+    """Frames, frames a second and error of a local video, for ``probe_media``: by whichever decoder is installed."""
+    try:
+        import av
+    except ImportError:
+        return _probe_opencv(path)
+    try:
+        with av.open(path) as container:
+            stream = container.streams.video[0]
+            frames = stream.frames or sum(1 for _ in container.decode(stream))
+            return frames, float(stream.average_rate), None
+    except Exception as e:  # whatever the decoder raises is the video's error
+        return None, None, f"{type(e).__name__}: {e}"
+
+
+def _probe_opencv(path: str) -> tuple[int | None, float | None, str | None]:
+    try:
+        import cv2
+    except ImportError as e:
+        raise RuntimeError("probing needs the package av or cv2") from e
+    video = cv2.VideoCapture(path)
+    try:
+        if not video.isOpened():
+            return None, None, "cannot open"
+        return int(video.get(cv2.CAP_PROP_FRAME_COUNT)), float(video.get(cv2.CAP_PROP_FPS)), None
+    finally:
+        video.release()
+
+
 def remaining(inputs: DataFrame, done: DataFrame) -> DataFrame:
     """Inputs whose id hasn't been written; ids that were written but aren't inputs are an error."""
     strange = done.select("id").join(inputs.select("id"), "id", "left_anti").distinct().orderBy("id").limit(5).collect()
