@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from plumbline.plans import file_queries
+from plumbline.plans import file_queries, run_queries
 from plumbline.plans import fixtures as X
 from plumbline.plans.queries import CONTROLLER, SUMMARIES
 
@@ -255,3 +255,4 @@ concat_ws(',', {", ".join(f"CASE WHEN list_contains(sp, '{k}') THEN 1 ELSE 0 END
     "distinct_prompt_check": "SELECT 'task <video>' AS prompt",
 }
 ORACLE_SQL |= file_queries.oracle_sql()
+ORACLE_SQL |= run_queries.oracle_sql()

@@ -13,7 +13,7 @@ from plumbline.functions import similarity as S
 from plumbline.functions import text as T
 from plumbline.operators import builders, evaluate, metrics, records, rewards, selection
 from plumbline.operators.predict import predictions
-from plumbline.plans import file_queries
+from plumbline.plans import file_queries, run_queries
 from plumbline.plans import fixtures as X
 
 TAX, IDS = X.TAXONOMY, X.IDS
@@ -358,4 +358,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predict_resume": predict_resume,
     "distinct_prompt_check": distinct_prompt_check,
     **file_queries.QUERIES,
+    **run_queries.QUERIES,
 }
