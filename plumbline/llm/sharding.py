@@ -12,7 +12,9 @@ bound that no input raises): cells in clockwise order, and within a cell rows by
 runs of ranks that go to one shard at consecutive slots. Rows then find their run by cell and rank; the ranks are
 numbered inside each cell, a ``cells``-th of all rows.
 
-The hash covers id and text, so rows that repeat an id still spread, and copies of a text don't share a cell.
+The hash covers id and text, so rows that repeat an id still spread, and copies of a text don't share a cell. Rows equal in both
+do; a cell of over ``HOT`` times its share of rows (and ``FEW``) is numbered in ``SALTS`` parts side by side, by the partition that wrote the row,
+and each part's ranks begin after those of the parts before it. At most a ``HOT``-th of the cells are such.
 Null ids and texts hash like any value; a null text has no bytes. Rows equal in id and text are interchangeable:
 which of them gets which slot is not defined. An empty table gives no rows. Extra columns are ignored.
 """
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
+#: A cell is numbered in parts where it has over HOT times its share of rows, and over FEW.
+HOT, FEW, SALTS = 16, 1 << 16, 64
+
 
 def ring(shards: int, vnodes: int, cells: int) -> list[tuple[int, int]]:
     """(cell, shard) of all virtual nodes in clockwise order; a taken cell passes the node on to the next one."""
@@ -84,14 +89,21 @@ def shard_documents(docs: DataFrame, spark: SparkSession, shards: int = 24, vnod
             (F.octet_length(content) + 8).cast("bigint").alias("size"),
             F.crc32(content.cast("binary")).alias("text_crc32"),
             F.xxhash64("doc_id", text).alias("h"),
-        ).withColumn("cell", F.shiftrightunsigned("h", 64 - bits).cast("int")),
+        ).withColumn("cell", F.shiftrightunsigned("h", 64 - bits).cast("int")).withColumn("salt", F.spark_partition_id() % SALTS),
         spark,
     )
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    hot = [c for c, n in counts.items() if n > max(FEW, HOT * sum(counts.values()) // cells)]
+    rows = rows.withColumn("salt", F.when(F.col("cell").isin(hot), F.col("salt")).otherwise(0))
+    before = rows.where(F.col("cell").isin(hot)).groupBy("cell", "salt").agg(F.count("*").alias("n"))
+    before = before.select(F.col("cell").alias("hot_cell"), F.col("salt").alias("hot_salt"), (F.sum("n").over(W.partitionBy("cell").orderBy("salt")) - F.col("n")).alias("before"))
     kind = "array<struct<cell:int,first:bigint,stop:bigint,shard:int,slot:bigint>>"
     text_of = json.dumps([dict(zip(("cell", "first", "stop", "shard", "slot"), r)) for r in runs(counts, shards, vnodes, cells)])
     placed = spark.range(1).select(F.inline(F.from_json(F.lit(text_of), kind))).withColumnRenamed("cell", "of_cell")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy("h", "doc_id", "text_crc32")).cast("bigint") - 1)
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("cell", "salt").orderBy("h", "doc_id", "text_crc32")).cast("bigint") - 1)
+    if hot:
+        ranked = ranked.join(F.broadcast(before), (F.col("cell") == F.col("hot_cell")) & (F.col("salt") == F.col("hot_salt")), "left")
+        ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     own = (F.col("cell") == F.col("of_cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))
     return ranked.join(F.broadcast(placed), own).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot")
