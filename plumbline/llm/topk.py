@@ -8,18 +8,22 @@ The walk scores whatever it meets for the first time, and stops when that bound
 at most ``GROWTH`` times the depth at which it could first have stopped. Blocks give k rows a query at most, and a
 limit by rank that combines before the shuffle merges them.
 
-Queries reach the blocks in chunks of about ``chunk`` distinct vectors, dealt by id and vector, each broadcast by itself: what
-is sent at once has a fixed bound however many queries there are, and however many share an id.
+Queries reach the blocks in chunks of about ``chunk`` distinct vectors, dealt by id and vector. One chunk after the other is
+broadcast, answered by all blocks, reduced to k rows a query and written, and let go: what is sent, and what the driver holds, has a
+fixed bound however many queries there are, and however many share an id. A chunk sorts a block's lists anew, which is little beside
+its thousands of walks.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of different lengths have no
 product and aren't compared; empty vectors score 0. Rows that share a query's id count as its own row and are no candidates for it.
 Repeated query rows ask once. An id with different query vectors asks with each of them: its k best are the k best candidate rows,
 each counted once, at the best score that one of its vectors gives it.
 Rows without an id take no part. Ties go to the smaller id; repeated candidate rows each take a rank. Scores that 64 bits cannot hold saturate.
+Extra columns don't matter; a table without usable rows gives none.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -158,15 +162,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, spark: SparkSession, k: int =
         by_id = {d: np.argsort(ids, kind="stable") for d, (ids, _, _) in found.items()}
         return {d: (ids[by_id[d]], values[by_id[d]]) for d, (ids, values, _) in found.items()}
 
-    out = None
-    for c in range(chunks):
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def answered(c: int) -> DataFrame:
         part = collected(asked.where(F.pmod(F.xxhash64("key", "vector"), F.lit(chunks)) == c))
-        found = rows.mapInArrow(answer(spark.sparkContext.broadcast(pickle.dumps(part))), "query_id bigint, vec_id bigint, score bigint, place bigint")
-        out = found if out is None else out.unionByName(found)
-    if chunks > 1 and owners < count:  # an id's vectors may be in several chunks
+        sent = spark.sparkContext.broadcast(pickle.dumps(part))
+        return sent, best(rows.mapInArrow(answer(sent), "query_id bigint, vec_id bigint, score bigint, place bigint"))
+
+    if chunks == 1:
+        return answered(0)[1].select("query_id", "rank", "vec_id", "score")
+    parts = []
+    for c in range(chunks):
+        sent, found = answered(c)
+        parts.append(written(found.drop("rank"), spark))
+        sent.unpersist()
+    out = functools.reduce(DataFrame.unionByName, parts)
+    if owners < count:  # an id's vectors may be in several chunks
         out = out.groupBy("query_id", "place").agg(F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best(out).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB: all products of the queries with all rows, ranked.
