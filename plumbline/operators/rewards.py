@@ -165,11 +165,15 @@ def score(rows: DataFrame, settings: RewardSettings, state: ctl.State | None = N
     Adaptive weights are those that earlier batches left; a batch never sees its own statistics.
     """
     read = read_responses(rows, settings)
-    pred, true, tax = F.col("pred"), F.col("gt"), settings.taxonomy
-    statistics = None
-    if diagnostics or settings.kind == "adaptive":  # both of them and the scores come from one reading
+    if diagnostics or settings.kind == "adaptive":  # statistics and scores come from one reading
         read = written(read, rows.sparkSession)
-        statistics = batch_statistics(read, settings)
+    return score_read(read, settings, state, diagnostics)
+
+
+def score_read(read: DataFrame, settings: RewardSettings, state: ctl.State | None = None, diagnostics: bool = True) -> DataFrame:
+    """``score`` of rows that ``read_responses`` has read, and that are kept somewhere, as they are read more than once."""
+    pred, true, tax = F.col("pred"), F.col("gt"), settings.taxonomy
+    statistics = batch_statistics(read, settings) if diagnostics or settings.kind == "adaptive" else None
     if settings.kind == "exact_match":
         accuracy = similarity.exact_match(pred, true)
     elif settings.kind == "jaccard":
@@ -252,9 +256,10 @@ class RewardSession:
         if self.settings is None:
             raise RewardError("configure the session first")
         one = rows.withColumn("batch_id", F.lit(self.batches_scored).cast("bigint"))
-        scored = score(one, self.settings, self.controller.state if self.controller else None)
+        read = written(read_responses(one, self.settings), rows.sparkSession)
+        scored = score_read(read, self.settings, self.controller.state if self.controller else None)
         if self.controller:
-            statistics = batch_statistics(read_responses(one, self.settings), self.settings).first()
+            statistics = batch_statistics(read, self.settings).first()
             if statistics and statistics.counted_samples and self.settings.update_controller:
                 names = ("",) if self.settings.controller.mode == "global" else tuple(f"_{i}" for i in self.settings.taxonomy.ids)
                 self.controller.update(*([statistics[f"batch_{x}{n}"] for n in names] for x in ("fp", "fn")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import controller as ctl
-from plumbline.operators.rewards import RewardSettings, batch_statistics, read_responses, score
+from plumbline.operators.rewards import RewardSettings, batch_statistics, read_responses, score_read
 from plumbline.sources.sinks import write_json
 
 
@@ -38,22 +38,22 @@ class StreamingRewards:
                 return
         else:
             before = saved["after"] if saved else None
-        one = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
+        read = read_responses(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")), self.settings).persist()
         try:
             controller = ctl.Controller(self.settings.controller) if self.settings.controller else None
             if controller and before:
                 controller.load_state_dict(before)
             start = controller and controller.state_dict()
-            scored = score(one, self.settings, controller.state if controller else None)
+            scored = score_read(read, self.settings, controller.state if controller else None)
             scored.write.mode("overwrite").parquet(str(self.folder / f"batch={batch_id}"))
             if controller and self.settings.update_controller:
-                row = batch_statistics(read_responses(one, self.settings), self.settings).first()
+                row = batch_statistics(read, self.settings).first()
                 if row and row.counted_samples:
                     names = ("",) if self.settings.controller.mode == "global" else tuple(f"_{i}" for i in self.settings.taxonomy.ids)
                     controller.update(*([row[f"batch_{x}{n}"] for n in names] for x in ("fp", "fn")))
             write_json(self.state_path, {"last_batch": batch_id, "before": start, "after": controller and controller.state_dict()})
         finally:
-            one.unpersist()
+            read.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger: Any) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
