@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -57,12 +56,42 @@ class Vocabulary:
         self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self._fill_slots(self.pair_keys, self.pair_ranks)
+        #: Of two single bytes, at first * 256 + second.
+        self.byte_pairs = self.pair_rank(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
+        self.numbers = list(range(self.size))
+
+    def _fill_slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """An open-addressed table of the pairs, a quarter full at most: a pair stands in its slot or in the next free one."""
+        bits = max(10, (4 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.slot_keys, self.slot_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int64)
+        slot = self._slots(keys)
+        while len(keys):
+            free = np.nonzero(self.slot_keys[slot] < 0)[0]
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.slot_keys[slot[first]], self.slot_ranks[slot[first]] = keys[first], ranks[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ranks, slot = keys[rest], ranks[rest], (slot[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where its bytes are no token."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+        slot = self._slots(key)
+        found = self.slot_keys[slot]
+        out = np.where(found == key, self.slot_ranks[slot], NONE)
+        open_ = np.nonzero((found != key) & (found >= 0))[0]
+        while len(open_):  # another pair's slot
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found = self.slot_keys[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.slot_ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -79,7 +108,7 @@ def _merge_rows(vocab: Vocabulary, pieces: list[bytes], width: int) -> list[list
     ids = vocab.bytes[raw]
     alive = place[None, :] < size[:, None]
     ranks = np.full((n, width), NONE, np.int64)
-    ranks[:, :-1] = vocab.pair_rank(ids[:, :-1], ids[:, 1:])
+    ranks[:, :-1] = vocab.byte_pairs[raw[:, :-1].astype(np.int64) * 256 + raw[:, 1:]]
     tree = np.full((n, 2 * width), NONE, np.int64)
     paired = (place[None, :] + 1 < size[:, None]) & (ranks < NONE)
     tree[:, width:] = np.where(paired, ranks * width + place, NONE)
@@ -209,7 +238,8 @@ class Encoder:
             self.known = {}
             new = list({p for pieces in split for p in pieces})
         merged = merge_pieces(self.vocab, [p.encode("utf-8", "surrogatepass") for p in new])
-        self.known.update((p, array("i", ids)) for p, ids in zip(new, merged))
+        number = self.vocab.numbers.__getitem__  # one object a number
+        self.known.update((p, tuple(map(number, ids))) for p, ids in zip(new, merged))
         for pieces in split:
             yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
