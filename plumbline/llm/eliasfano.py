@@ -197,7 +197,7 @@ class Folder:
 class Opened:
     """Files of a folder as they are needed; of more than ``most`` the one used least recently is let go."""
 
-    def __init__(self, folder: Folder, most: int = 2048) -> None:
+    def __init__(self, folder: Folder, most: int = 1 << 14) -> None:
         self.folder, self.most, self.files = folder, most, OrderedDict()
 
     def get(self, name: str, sequences: tuple[str, ...] = ()) -> dict:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import htmltext, quality, sharding, simhash
+from plumbline.llm import eliasfano, htmltext, quality, sharding, simhash
 from tests.llm.test_corpus_operators import docs
 
 # composite text density
@@ -265,3 +265,31 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
 
 def test_ring_hash_places():
     assert sharding.ring(1, 1, 1 << 20) == [(xxhash.xxh64_intdigest("shard 0 node 0", 42) >> 44, 0)]
+
+
+# files of the trie
+
+
+def test_few_files_stay_open(tmp_path):
+    folder = eliasfano.Folder(f"file://{tmp_path}")
+    for k in range(6):
+        folder.write(f"f{k}", eliasfano.prefixed("s", eliasfano.EliasFano.build(np.arange(k, 100 + k).astype(np.uint64), 200)))
+    opened = eliasfano.Opened(folder, 2)
+    for k in [0, 1, 0, 2, 5, 0, 4, 3]:
+        assert opened.get(f"f{k}", ("s",))["s"].access(np.array([7])).tolist() == [7 + k] and len(opened.files) <= 2
+
+
+@pytest.mark.parametrize("width", [1, 7, 21, 32, 63])
+def test_nodes_are_found_between_their_pointers(width):
+    rng = np.random.default_rng(width)
+    words = min(1 << width, 5000)
+    keys = np.unique(np.stack([rng.integers(0, 40, 900), rng.integers(0, words, 900)], 1), axis=0).astype(np.uint64)
+    contexts = 41 if width < 58 else int(keys[:, 0].max()) % 2 + 1
+    keys = keys[keys[:, 0] < contexts]
+    e = eliasfano.EliasFano(eliasfano.EliasFano.build((keys[:, 0] << np.uint64(width)) | keys[:, 1], contexts << width, width))
+    start, end = e.bucket(np.arange(contexts))
+    assert [(keys[:, 0] == c).sum() for c in range(contexts)] == (end - start).tolist()
+    asked_c, asked_w = rng.integers(0, contexts, 500), rng.integers(0, words, 500).astype(np.uint64)
+    found = e.find_within(start[asked_c], end[asked_c], asked_w)
+    place = {(int(c), int(w)): i for i, (c, w) in enumerate(keys)}
+    assert found.tolist() == [place.get((int(c), int(w)), -1) for c, w in zip(asked_c, asked_w)]
