@@ -18,5 +18,14 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def about(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The rows, or where there are more than ``most``, about so many of them, chosen by a hash of some columns and the place."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    drawn = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(1 << 30))
+    return rows.withColumn("__drawn", drawn).where(F.col("__drawn") < int(most / n * (1 << 30))).drop("__drawn")
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")

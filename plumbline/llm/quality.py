@@ -14,7 +14,7 @@ U and P have above a threshold, with a margin for chance, bounds the share of U
 Features see the text alone: the make-up of its characters, words and lines (symbols, capitals, digits, repeats,
 duplicate lines, ...), each cut at quantiles of U and evenly over its range, which lets a linear score bend.
 
-P is at most ``sample`` labelled rows, chosen by a hash of the id. U is every training row: features are computed once over whole
+P is about ``sample`` labelled rows at most, chosen by a hash of the id, and of the features where ids repeat. U is every training row: features are computed once over whole
 texts and written; each step of the fit is one pass over them that adds up risks, gradients and curvature by task, so what
 comes to the driver doesn't grow with U.
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import remainder, utf8, written
+from plumbline.llm.common import about, remainder, utf8, written
 
 LETTERS = bytes(range(97, 123)) + bytes(range(65, 91)) + bytes(range(128, 256))
 DIGITS, UPPER, SPACES = b"0123456789", bytes(range(65, 91)), b" \t\n\r\x0b\f"
@@ -218,7 +218,8 @@ def learn_from(table: DataFrame, labels: DataFrame, spark: SparkSession, train,
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y")).where("y = 1")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("of"))
     web = table.where(train)
-    p = web.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("x").toArrow()
+    # ids that many rows share are rows of their own
+    p = about(web.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("x"), sample, "x").toArrow()
     p = _matrix(p.column("x").combine_chunks()) if p.num_rows else np.zeros((0, len(FEATURES)))
     empty = Model(np.zeros((len(FEATURES), BINS + 1)), np.zeros(len(FEATURES) * BINS), 0.0)
     if len(p) < FEWEST:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import remainder, utf8, written
+from plumbline.llm.common import about, remainder, utf8, written
 
 # The grammar's closed classes in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns imbecile bastard idioten dummkopf abschaum connard imbécile ordure estúpido imbécil basura".split()
@@ -265,7 +265,8 @@ def labelled(docs: DataFrame, labels: DataFrame, train, label: str, sample: int,
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "y")
     # copies of one text are one piece of evidence: whatever stands in a copied row would pass for a terminal
     near = rows.mapInArrow(_with_nearness, "text string, y int, near bigint, near2 bigint")
-    return written(near.groupBy("near", "near2", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y"), spark)
+    found = written(near.groupBy("near", "near2", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y"), spark)
+    return about(found, sample, "text", "y")  # ids that many rows share are rows of their own
 
 
 def _with_nearness(batches: Iterator[pa.RecordBatch], width: int = 5) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import eliasfano, htmltext, quality, sharding, simhash
+from plumbline.llm.common import about
 from tests.llm.test_corpus_operators import docs
 
 # composite text density
@@ -293,3 +294,12 @@ def test_nodes_are_found_between_their_pointers(width):
     found = e.find_within(start[asked_c], end[asked_c], asked_w)
     place = {(int(c), int(w)): i for i, (c, w) in enumerate(keys)}
     assert found.tolist() == [place.get((int(c), int(w)), -1) for c, w in zip(asked_c, asked_w)]
+
+
+def test_samples_stay_bounded_where_one_id_is_everywhere(spark):
+    table = spark.range(0, 3000, 1, 4).selectExpr("7L AS doc_id", "concat('some text of good words ', id % 3) AS text")
+    labels = spark.createDataFrame([(7, 1, 1)], "doc_id bigint, quality int, toxic int")
+    kept = about(table, 300, "doc_id").count()
+    assert 200 < kept < 400 and about(table, 3000, "doc_id").count() == 3000
+    model = quality.learn(table, labels, spark, F.lit(True), sample=300)
+    assert quality.scores(table, model, spark).count() == 3000
