@@ -6,6 +6,8 @@ of ratios are sums over the distinct pairs of set sizes, so they don't depend on
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
@@ -96,43 +98,47 @@ def per_category(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pred
     return row.select(F.inline(F.array(*structs)))
 
 
-def summary(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pred: str = "pred") -> DataFrame:
-    """One row with every metric that isn't per category."""
+def summary(samples: DataFrame, taxonomy: Taxonomy, truth: str = "gt", pred: str = "pred", only: Sequence[str] | None = None) -> DataFrame:
+    """One row with every metric that isn't per category, or those of ``only``, which are then all that is built."""
     counted = sample_counts(samples, taxonomy, truth, pred)
     flags = [c for c in counted.columns if c[:3] in ("tp_", "fp_", "fn_") and c[3:].isdigit()]
     # one pass over the samples: at most one group for each (tp, fp, fn), and the rest works on those
     groups = counted.groupBy("tp", "fp", "fn").agg(F.count("*").alias("c"), *(F.sum(f).alias(f) for f in flags))
     row = groups.agg(*confusion(groups, "c"), _ratio_sums().alias("rs"))
-    by = category_metrics(row, taxonomy)
+    by = functools.cache(lambda: category_metrics(row, taxonomy))
     n, tp, fp, fn, k = F.col("n"), F.col("tp"), F.col("fp"), F.col("fn"), len(taxonomy)
-    support = by["n_positive_gt"]
-    btp, bfp, bfn = F.col("n_binary_tp"), F.col("n_false_refusal"), F.col("n_missed_violation")
-    weighted = lambda m: F.when(_total(support) > 0, _total([_div(s, _total(support)) * v for s, v in zip(support, by[m])])).otherwise(0.0)
-    columns = {
-        "num_samples": n,
-        "exact_match_ratio": _div(F.col("n_exact"), n),
-        "hamming_accuracy": 1 - _div(fp + fn, n * k),
-        "micro_accuracy": _div(n * k - fp - fn, n * k),
-        **{f"macro_{name}": _mean(by[m]) for name, m in (("accuracy", "accuracy"), ("precision", "precision"), ("recall", "recall"), ("f1", "f1_score"), ("specificity", "specificity"), ("false_positive_rate", "false_positive_rate"), ("balanced_accuracy", "balanced_accuracy"))},
-        "micro_precision": _div(tp, tp + fp),
-        "micro_recall": _div(tp, tp + fn),
-        "micro_f1": _div(2 * tp, 2 * tp + fp + fn),
-        "weighted_precision": weighted("precision"),
-        "weighted_recall": weighted("recall"),
-        "weighted_f1": weighted("f1_score"),
-        "binary_accuracy": _div(n - bfp - bfn, n),
-        "binary_precision": _div(btp, btp + bfp),
-        "binary_recall": _div(btp, btp + bfn),
-        "binary_f1": _div(2 * btp, 2 * btp + bfp + bfn),
-        "false_refusal_rate": _div(bfp, n - F.col("n_unsafe")),
-        "violation_leakage_rate": _div(bfn, F.col("n_unsafe")),
-        "n_benign": n - F.col("n_unsafe"),
-        "n_unsafe": F.col("n_unsafe"),
-        "n_false_refusal": bfp,
-        "n_missed_violation": bfn,
+    unsafe, btp, bfp, bfn = (F.col(c) for c in ("n_unsafe", "n_binary_tp", "n_false_refusal", "n_missed_violation"))
+
+    def weighted(m: str) -> Column:
+        support = by()["n_positive_gt"]
+        return F.when(_total(support) > 0, _total([_div(s, _total(support)) * v for s, v in zip(support, by()[m])])).otherwise(0.0)
+
+    def mean_ratio(name: str) -> Column:
+        return _div(F.aggregate(F.transform("rs", lambda r: r.getField(name)), F.lit(0.0), add), n)
+
+    columns: dict[str, Callable[[], Column]] = {
+        "num_samples": lambda: n,
+        "exact_match_ratio": lambda: _div(F.col("n_exact"), n),
+        "hamming_accuracy": lambda: 1 - _div(fp + fn, n * k),
+        "micro_accuracy": lambda: _div(n * k - fp - fn, n * k),
+        **{f"macro_{m.removesuffix('_score')}": functools.partial(lambda m: _mean(by()[m]), m) for m in PER_CATEGORY},
+        "micro_precision": lambda: _div(tp, tp + fp),
+        "micro_recall": lambda: _div(tp, tp + fn),
+        "micro_f1": lambda: _div(2 * tp, 2 * tp + fp + fn),
+        **{f"weighted_{m.removesuffix('_score')}": functools.partial(weighted, m) for m in ("precision", "recall", "f1_score")},
+        "binary_accuracy": lambda: _div(n - bfp - bfn, n),
+        "binary_precision": lambda: _div(btp, btp + bfp),
+        "binary_recall": lambda: _div(btp, btp + bfn),
+        "binary_f1": lambda: _div(2 * btp, 2 * btp + bfp + bfn),
+        "false_refusal_rate": lambda: _div(bfp, n - unsafe),
+        "violation_leakage_rate": lambda: _div(bfn, unsafe),
+        "n_benign": lambda: n - unsafe,
+        "n_unsafe": lambda: unsafe,
+        "n_false_refusal": lambda: bfp,
+        "n_missed_violation": lambda: bfn,
+        **{name: functools.partial(mean_ratio, name) for name in RATIOS},
     }
-    means = {name: _div(F.aggregate(F.transform("rs", lambda r: r.getField(name)), F.lit(0.0), add), n) for name in RATIOS}  # noqa: B023
-    return row.select(*(v.alias(name) for name, v in {**columns, **means}.items()))
+    return row.select(*(columns[name]().alias(name) for name in only or columns))
 
 
 def batch_classification(counted: DataFrame, taxonomy: Taxonomy, by: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def eval_per_category(spark, sf):
 
 
 def _summary(*names: str):
-    return lambda spark, sf: rounded(metrics.summary(X.samples(spark, sf), TAX).select(*names))
+    return lambda spark, sf: rounded(metrics.summary(X.samples(spark, sf), TAX, only=names))
 
 
 SUMMARIES = {
@@ -75,7 +75,7 @@ def _joined(spark, sf, source: str = "labels") -> DataFrame:
 def _coverage(policy: str, source: str = "labels"):
     def run(spark, sf):
         scored = evaluate.apply_policies(_joined(spark, sf, source)[2], policy, policy)
-        return rounded(metrics.summary(scored, TAX).select("num_samples", "jaccard_similarity", "exact_match_ratio", "micro_f1", "macro_f1"))
+        return rounded(metrics.summary(scored, TAX, only=("num_samples", "jaccard_similarity", "exact_match_ratio", "micro_f1", "macro_f1")))
 
     return run
 
