@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, htmltext, lm, quality, sharding, simhash, snapshots, topk, toxicity
+from plumbline.llm import bpe, decontaminate, htmltext, lm, prefixtrie, quality, sharding, simhash, snapshots, topk, toxicity, whitening, wordbpe
 from plumbline.llm.common import remainder, table, written
 
 
@@ -75,6 +75,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_table(table(spark, sf_dir, "embeddings"), spark)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), spark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_nnpu": op1_quality_nnpu,
     "op2_toxicity_grammar": op2_toxicity_grammar,
@@ -86,8 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bounded_ring": op8_bounded_ring,
     "op9_exact_topk": op9_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_snapshot_chats": snapshots.ORACLE,
     "op9_exact_topk": topk.ORACLE,
+    "op13_prefix_trie": prefixtrie.ORACLE,
 }

@@ -26,6 +26,9 @@ COLUMNS = {
     "op8": "doc_id size text_crc32 law shard slot grown_shard",
     "op9": "query_id rank vec_id score",
     "op10": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12": "vec_id component n deviation whitened explained identity_error",
+    "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
@@ -36,7 +39,7 @@ def test_columns_and_rows(spark, name):
     wanted = COLUMNS[op].split()
     assert df.columns[: len(wanted)] == wanted
     rows = df.collect()
-    source = {"op6": "pages", "op7": None, "op9": None}.get(op, "documents")
+    source = {"op6": "pages", "op7": None, "op9": None, "op12": None, "op13": None}.get(op, "documents")
     if source:
         assert len(rows) == table(spark, SF, source).count()
     modulus = {"op1": (5, 0), "op2": (3, 1), "op3": (10, 0)}.get(op)
