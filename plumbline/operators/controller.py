@@ -2,22 +2,24 @@
 
 Each batch's false-positive and false-negative rates move two running means; the log of their ratio over a target
 moves a logit, and the logit sets how an error weight is split between the two kinds. Batch rates don't depend on
-the weights, so a log of batches is one parallel aggregation, then a fold over one small row per batch, then a
-join of each batch with the weights that earlier batches left. The fold takes the same steps as ``Controller``, with one state in
-memory however many batches there are.
+the weights, so a log of batches is one parallel aggregation, then a prefix scan over one small row per batch, then a
+join of each batch with the weights that earlier batches left. The scan takes the same steps as ``Controller`` inside ranges of batches that run
+side by side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, fields, replace
+from itertools import groupby, islice
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import written
 from plumbline.taxonomy import compact_sha256
 
 STATE_FORMAT = "controller_state/v1"
@@ -174,13 +176,18 @@ def initial_state(config: ControllerConfig) -> State:
     return State(fp, fn, logits, **_split(config, logits, False), init_fp_ema_applied=config.init_fp_ema is not None, init_fn_ema_applied=config.init_fn_ema is not None)
 
 
-def step(config: ControllerConfig, state: State, batch_fp: Sequence[float], batch_fn: Sequence[float]) -> State:
-    """The state after one batch."""
+def _checked(config: ControllerConfig, batch_fp: Sequence[float], batch_fn: Sequence[float]) -> tuple[tuple[float, ...], tuple[float, ...]]:
     fp, fn = (tuple(map(float, x)) for x in (batch_fp, batch_fn))
     if len(fp) != config.dim or len(fn) != config.dim:
         raise ValueError(f"batch statistics need {config.dim} values")
     if not all(math.isfinite(x) and x >= 0 for x in fp + fn):
         raise ValueError("batch statistics must be finite and not negative")
+    return fp, fn
+
+
+def step(config: ControllerConfig, state: State, batch_fp: Sequence[float], batch_fn: Sequence[float]) -> State:
+    """The state after one batch."""
+    fp, fn = _checked(config, batch_fp, batch_fn)
     rho, eps = config.rho, config.epsilon
     smooth = lambda old, new, begun: tuple((1 - rho) * a + rho * b for a, b in zip(old, new)) if begun else new
     fp = smooth(state.fp_ema, fp, state.initialized or state.init_fp_ema_applied)
@@ -245,29 +252,120 @@ def _plain(state: State) -> dict[str, Any]:
     return vectors | {"started": state.initialized, "updates": state.num_updates}
 
 
-def fold_batches(stats: DataFrame, config: ControllerConfig, update: bool = True, state: State | None = None) -> DataFrame:
+def _literal(state: State) -> Column:
+    """A state as a constant column."""
+    array = lambda x: F.array(*map(F.lit, x))
+    parts = [array(v).alias(k) if isinstance(v, list) else F.lit(v).cast("boolean" if k == "started" else "bigint").alias(k) for k, v in _plain(state).items()]
+    return F.struct(*parts)
+
+
+def _rates(x: Mapping[str, Any], config: ControllerConfig) -> tuple[Sequence[float], Sequence[float]] | None:
+    """A row's rates, or None where its batch changes nothing."""
+    return _checked(config, x["fp"], x["fn"]) if (x["counted"] or 0) > 0 else None
+
+
+def _means_map(rows: Iterator[dict], config: ControllerConfig) -> dict[str, Any]:
+    """What a range of batches makes of the running means: ``keep`` times what they were plus ``add``, or ``new`` where none has begun."""
+    updates, keep, dim = 0, 1.0, config.dim
+    add, new = [0.0] * (2 * dim), None
+    for x in rows:
+        if rates := _rates(x, config):
+            flat = [*rates[0], *rates[1]]
+            add, new = (flat if old is None else [(1 - config.rho) * a + config.rho * b for a, b in zip(old, flat)] for old in (add, new))
+            updates, keep = updates + 1, keep * (1 - config.rho)
+    return {"updates": updates, "keep": keep, "add": add, "new": new or add}
+
+
+def _logit_map(rows: Iterator[dict], config: ControllerConfig, start: State) -> dict[str, Any]:
+    """What a range makes of the logits, once the running means that it begins with are known: ``keep`` times what they were plus ``add``."""
+    now, keep = replace(start, logit_u=(0.0,) * config.dim), 1.0
+    for x in rows:
+        if rates := _rates(x, config):
+            now, keep = step(config, now, *rates), keep * (1 - config.logit_leakage)
+    return {"updates": now.num_updates - start.num_updates, "keep": keep, "add": list(now.logit_u), "new": []}
+
+
+def _after_means(config: ControllerConfig, state: State, m: Mapping[str, Any]) -> State:
+    if not m["updates"]:
+        return state
+    dim, means = config.dim, []
+    for old, begun, at in ((state.fp_ema, state.init_fp_ema_applied, 0), (state.fn_ema, state.init_fn_ema_applied, dim)):
+        add, new = m["add"][at : at + dim], m["new"][at : at + dim]
+        means.append(tuple(m["keep"] * a + b for a, b in zip(old, add)) if begun or state.initialized else tuple(new))
+    return replace(state, fp_ema=means[0], fn_ema=means[1], initialized=True, num_updates=state.num_updates + m["updates"])
+
+
+def _after_logits(config: ControllerConfig, state: State, m: Mapping[str, Any]) -> tuple[float, ...]:
+    return tuple(m["keep"] * u + v for u, v in zip(state.logit_u, m["add"])) if m["updates"] else state.logit_u
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows that are sorted by ``part``, range by range."""
+    rows = (x for b in batches for x in b.to_pylist())
+    for part, group in groupby(rows, key=lambda x: x["part"]):
+        yield part, group
+
+
+def _maps(rows: DataFrame, of: Callable[[int, Iterator[dict]], dict[str, Any]]) -> dict[int, dict[str, Any]]:
+    """One map for each range."""
+    schema = pa.schema([("part", pa.int32()), ("updates", pa.int64()), ("keep", pa.float64()), ("add", pa.list_(pa.float64())), ("new", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in _ranges(batches):
+            yield pa.RecordBatch.from_pylist([{"part": part} | of(part, group)], schema)
+
+    found = rows.mapInArrow(run, "part int, updates bigint, keep double, add array<double>, new array<double>").collect()
+    return {r.part: r.asDict() for r in found}
+
+
+def fold_batches(stats: DataFrame, config: ControllerConfig, update: bool = True, state: State | None = None, ranges: int | None = None) -> DataFrame:
     """For every row of ``stats`` (batch_id, counted, fp and fn arrays): the states before and after its batch.
 
-    Batches fold in the order of batch_id; one without counted samples changes nothing. The fold is sequential by nature: one
-    task walks over one small row a batch, sorted outside its memory; the log of responses itself never meets in one task.
+    Batches fold in the order of batch_id; one without counted samples changes nothing. The fold is a prefix scan over sorted ranges of
+    batches. The running means are maps x -> a x + b, closed under composition, and so are the logits once the means are known: a first pass composes
+    each range's means, a second its logits, and between them the maps, one small row a range, are applied one after the other. So every range
+    knows the state it begins with, and all are replayed side by side, step by step, in constant memory. Where one range holds all, it begins with the start.
     """
     start = state or initial_state(config)
+    rows = stats.select(F.col("batch_id").cast("bigint").alias("batch_id"), "counted", "fp", "fn")
+    if not update:
+        return rows.select("batch_id", _literal(start).alias("before"), _literal(start).alias("after"))
+    ranged = rows.repartitionByRange(*([ranges] if ranges else []), "batch_id").withColumn("part", F.spark_partition_id())
+    kept = written(ranged, stats.sparkSession)  # where ranges begin is sampled, so rows are dealt out once
+    last = kept.agg(F.max("part")).first()[0] or 0
+    sorted_ = lambda df: df.repartition(last + 1, "part").sortWithinPartitions("part", "batch_id")
+    begins = {}
+    if last:  # more than one range
+        early = sorted_(kept.where(F.col("part") < last))
+        now = start
+        means = _maps(early, lambda part, group: _means_map(group, config))
+        for part, m in sorted(means.items()):
+            begins[part] = now
+            now = _after_means(config, now, m)
+        begins[last] = now
+        logits, now = _maps(early, lambda part, group: _logit_map(group, config, begins[part])), start
+        for part in sorted(begins):
+            u = now.logit_u
+            begins[part] = replace(begins[part], logit_u=u, **_split(config, u, True)) if begins[part].num_updates > start.num_updates else start
+            if part in logits:
+                now = replace(now, logit_u=_after_logits(config, now, logits[part]))
     doubles = pa.list_(pa.float64())
     kind = pa.struct([*((k, doubles) for k in ("fp", "fn", "u", "alpha", "beta")), ("started", pa.bool_()), ("updates", pa.int64())])
     schema = pa.schema([("batch_id", pa.int64()), ("before", kind), ("after", kind)])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = start
-        for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                then = step(config, now, x["fp"], x["fn"]) if update and (x["counted"] or 0) > 0 else now
-                rows.append({"batch_id": x["batch_id"], "before": _plain(now), "after": _plain(then)})
-                now = then
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    rows = stats.select(F.col("batch_id").cast("bigint").alias("batch_id"), "counted", "fp", "fn")
-    return rows.repartition(1).sortWithinPartitions("batch_id").mapInArrow(fold, f"batch_id bigint, before {STATE_TYPE}, after {STATE_TYPE}")
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in _ranges(batches):
+            now = begins.get(part, start)
+            while block := list(islice(group, 4096)):
+                found = []
+                for x in block:
+                    rates = _rates(x, config)
+                    then = step(config, now, *rates) if rates else now
+                    found.append({"batch_id": x["batch_id"], "before": _plain(now), "after": _plain(then)})
+                    now = then
+                yield pa.RecordBatch.from_pylist(found, schema)
+
+    return sorted_(kept).mapInArrow(replay, f"batch_id bigint, before {STATE_TYPE}, after {STATE_TYPE}")
 
 
 def inspect_state(states: DataFrame, config: ControllerConfig, column: str = "after") -> DataFrame:

@@ -58,6 +58,53 @@ def test_fold_equals_steps(spark, more):
         assert r.after.u == pytest.approx(state.logit_u, abs=1e-9) and r.after.updates == state.num_updates
 
 
+@pytest.mark.parametrize("more", [{}, {"init_fn_ema": 0.3, "logit_leakage": 0.05}, {"init_logit_u": [0.1, -2.0, 3.0], "beta_clip": 0.2}])
+def test_ranges_side_by_side_equal_steps(spark, more):
+    config, rng = C.resolve_config(BASE | more, IDS), random.Random(6)
+    rows = [(k, 0.0 if k < 30 or k % 5 == 0 else 8.0, [rng.random() for _ in IDS], [rng.random() for _ in IDS]) for k in range(400)]
+    stats = spark.createDataFrame(rows, "batch_id bigint, counted double, fp array<double>, fn array<double>").repartition(3)
+    begun = C.step(config, C.initial_state(config), [0.1] * 3, [0.4] * 3)
+    for start in (None, begun):
+        found = C.fold_batches(stats, config, state=start, ranges=16).orderBy("batch_id").collect()
+        state = start or C.initial_state(config)
+        assert len(found) == len(rows)
+        for (k, counted, fp, fn), r in zip(rows, found):
+            for old, name in ((r.before, "before"), (r.after, "after")):
+                if name == "after" and counted:
+                    state = C.step(config, state, fp, fn)
+                assert (old.started, old.updates) == (state.initialized, state.num_updates)
+                for mine, theirs in zip(("fp", "fn", "u", "alpha", "beta"), C.VECTORS):
+                    assert old[mine] == pytest.approx(getattr(state, theirs), abs=1e-9)
+
+
+def test_hundred_thousand_batches(spark):
+    config = C.resolve_config({"mode": "global", "rho": 0.05, "eta": 0.01, "logit_leakage": 0.01, "invalid_prediction_policy": "exclude"}, IDS)
+    rate = lambda seed: F.array(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 1000.0)
+    stats = spark.range(100_000).select(F.col("id").alias("batch_id"), F.lit(1.0).alias("counted"), rate(1).alias("fp"), rate(2).alias("fn"))
+    found = C.fold_batches(stats, config, ranges=8)
+    last = found.where("batch_id in (99999, 50000)").orderBy("batch_id").collect()
+    state, wanted = C.initial_state(config), []
+    for r in stats.orderBy("batch_id").collect():
+        state = C.step(config, state, r.fp, r.fn)
+        if r.batch_id in (50_000, 99_999):
+            wanted.append(state)
+    for r, s in zip(last, wanted):
+        assert r.after.u == pytest.approx(s.logit_u, abs=1e-9) and r.after.fp == pytest.approx(s.fp_ema, abs=1e-12) and r.after.updates == s.num_updates
+    partitions = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert partitions > 1
+
+
+def test_bad_rates_in_any_range(spark):
+    config = C.resolve_config(BASE, IDS)
+    rows = [(k, 1.0, [0.1] * 3, [0.1 if k != 3 else -1.0] * 3) for k in range(40)]
+    stats = spark.createDataFrame(rows, "batch_id bigint, counted double, fp array<double>, fn array<double>")
+    with pytest.raises(Exception, match="finite and not negative"):
+        C.fold_batches(stats, config, ranges=4).collect()
+    assert C.fold_batches(stats.where("false"), config).collect() == []
+    frozen = C.fold_batches(stats, config, update=False).collect()
+    assert len(frozen) == 40 and {(tuple(r.before.alpha), r.after.updates) for r in frozen} == {((1.0,) * 3, 0)}
+
+
 def batches(n=4, size=16, seed=3):
     rng = random.Random(seed)
     for b in range(n):
