@@ -4,9 +4,10 @@ the operator's result on them is the query's. Each stands beside its SQL, which
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from urllib.parse import urlparse
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from plumbline.operators import controller as ctl
 from plumbline.plans import fixtures as X
 from plumbline.sources import adapters, sinks
 from plumbline.sources.lines import read_id_manifest
+from plumbline.sources.ordered import write_ordered
 from plumbline.sources.records import load_inputs, load_json_lines, load_records, parse_records
 from plumbline.sources.shared import put_text, shared_folder
+from plumbline.sources.stores import located, new_parent
 from plumbline.taxonomy import load_taxonomy
 
 TAX, IDS, K = X.TAXONOMY, X.IDS, X.K
@@ -29,17 +32,12 @@ def joined(c: Column) -> Column:
 
 
 def _file(lines: DataFrame, order: str) -> str:
-    """A text file of the column ``line``, in order."""
-    path = shared_folder(lines.sparkSession) + "/lines"
-    lines.repartition(1).sortWithinPartitions(order).select("line").write.text(path)
+    """One text file of the column ``line``, in order."""
+    path = shared_folder(lines.sparkSession) + "/lines.txt"
+    write_ordered(lines, order, path)
     return path
 
 
-def _local(spark: SparkSession) -> str:
-    """A fresh shared folder as a path: single files are written by the driver."""
-    return urlparse(shared_folder(spark)).path
-
-
 def _record_rows(spark, sf) -> DataFrame:
     return X.samples(spark, sf).select(F.col("sid").alias("ord"), F.col("sid").cast("string").alias("id"), F.concat(F.lit("v/"), F.col("sid") % 1000, F.lit(".mp4")).alias("video"), F.col("gt").alias("labels"), (F.col("sid") % 5).alias("grade"))
 
@@ -89,13 +87,13 @@ def source_inputs(spark, sf):
 
 
 def sink_id_manifest(spark, sf):
-    path = _local(spark) + "/ids.txt"
+    path = shared_folder(spark) + "/ids.txt"
     sinks.write_id_manifest(_record_rows(spark, sf).where("ord % 7 = 3"), path, ("made from orders", "a second line"))
-    return read_id_manifest(spark, "file://" + path)
+    return read_id_manifest(spark, path)
 
 
 def sink_checksums(spark, sf):
-    folder = _local(spark)
+    folder = shared_folder(spark)
     sinks.write_id_manifest(_record_rows(spark, sf), folder + "/ids.txt", ("all",))
     sinks.write_id_manifest(_record_rows(spark, sf).where("ord % 2 = 0"), folder + "/more/even.txt")
     sinks.write_checksums(spark, folder)
@@ -117,21 +115,20 @@ def source_rl_parquet(spark, sf):
 
 
 def source_chat_jsonl(spark, sf):
-    path = _local(spark) + "/chat.jsonl"
+    path = shared_folder(spark) + "/chat.jsonl"
     rows = builders.chat_rows(_record_rows(spark, sf), TAX, "task", "json", label_format="index", path_prefix="/data/", extra_fields=("grade",))
     sinks.write_json_lines(rows, path)
-    read = adapters.chat_jsonl(spark, "file://" + path, TAX, "/data", ("grade",))
+    read = adapters.chat_jsonl(spark, path, TAX, "/data", ("grade",))
     return read.select("ord", "id", "video", joined(F.col("labels")).alias("labels"), F.try_variant_get("grade", "$", "bigint").alias("grade"))
 
 
 def sink_dataset_info(spark, sf):
-    folder = _local(spark)
-    sinks.write_id_manifest(_record_rows(spark, sf).limit(0), folder + "/none.txt")
+    folder = shared_folder(spark)
     names = [r.r_name for r in spark.read.parquet(f"{sf}/region.parquet").orderBy("r_regionkey").collect()]
     for n in [*names, names[0]]:
         sinks.upsert_dataset_entry(folder, n.lower(), f"{n}.json")
     entry = "struct<file_name:string,formatting:string,columns:map<string,string>,tags:map<string,string>>"
-    index = spark.read.text(f"file://{folder}/dataset_info.json", wholetext=True).select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("name", "e"))
+    index = spark.read.text(f"{folder}/dataset_info.json", wholetext=True).select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("name", "e"))
     return index.select("name", "e.file_name", "e.formatting", F.col("e.columns")["videos"].alias("videos"), F.col("e.tags")["role_tag"].alias("role_tag"))
 
 
@@ -144,10 +141,22 @@ def source_label_list(spark, sf):
     return adapters.label_list(spark, _file(part.select("p_partkey", line.alias("line")), "p_partkey"), XD, "basename", "/x/").select("id", "video", joined(F.col("labels")).alias("labels"))
 
 
-def _documents(rows: DataFrame, key: str, item: Column, name: Column) -> list:
-    """(folder or name, JSON array of the items in order)."""
-    found = rows.select(key, name.alias("name"), item.alias("item")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct(key, "item"))).alias("items"))
-    return [(r.name, r.doc) for r in found.select("name", F.concat(F.lit("["), F.array_join(F.col("items.item"), ","), F.lit("]")).alias("doc")).toLocalIterator()]
+def _write_arrays(rows: DataFrame, key: str, item: Column, address: Column, opening: Column | None = None) -> None:
+    """Each address gets a file with the JSON array of its items in order, written item by item in the task that has them."""
+    named = rows.select(address.alias("address"), key, item.alias("item"), (F.lit("[") if opening is None else opening).alias("opening"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (r for b in batches for r in b.to_pylist())
+        for name, group in groupby(found, key=lambda r: r["address"]):
+            new_parent(name)
+            store, path = located(name)
+            with store.open_output_stream(path) as f:
+                for k, r in enumerate(group):
+                    f.write(((r["opening"] if k == 0 else ",") + r["item"]).encode())
+                f.write(b"]" if r["opening"] == "[" else b"]}")
+            yield pa.RecordBatch.from_pylist([{"address": name}])
+
+    named.repartition("address").sortWithinPartitions("address", key).mapInArrow(run, "address string").count()
 
 
 def source_folder_annotations(spark, sf):
@@ -156,10 +165,9 @@ def source_folder_annotations(spark, sf):
     video = F.concat(F.lit("dataset/"), F.when(key % 5 == 0, "clip").otherwise("full"), F.lit("/"), key, F.lit(".mp4"))
     folder = F.concat(F.lit("n"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     truth = F.struct(video.alias("video_path"), F.array(F.concat(F.lit("C"), key % 6 + 1)).alias("labels"), F.array(F.col("c_mktsegment")).alias("subcategories"))
-    for name, doc in _documents(c, "c_custkey", F.to_json(F.struct(key.alias("id"), video.alias("video"))), folder):
-        put_text(spark, f"{root}/{name}/full.json", doc)
-    for name, doc in _documents(c.where("c_custkey % 3 > 0"), "c_custkey", F.to_json(truth), folder):
-        put_text(spark, f"{root}/{name}/full_gt.json", doc)
+    file = lambda name: F.concat(F.lit(root + "/"), folder, F.lit("/" + name))
+    _write_arrays(c, "c_custkey", F.to_json(F.struct(key.alias("id"), video.alias("video"))), file("full.json"))
+    _write_arrays(c.where("c_custkey % 3 > 0"), "c_custkey", F.to_json(truth), file("full_gt.json"))
     out = adapters.folder_annotations(spark, root, TAX, "full", "/videos/")
     return out.select("ord", "id", "video", joined(F.col("labels")).alias("labels"), joined(F.col("subcategories")).alias("subcategories"))
 
@@ -170,8 +178,8 @@ def source_benchmark_annotations(spark, sf):
     path = F.concat(F.lit("videos/real/C"), F.col("s_nationkey") % 6 + 1, F.lit("/C"), F.col("s_nationkey") % 6 + 1, F.when(key % 4 == 0, "_benign").otherwise("_harm"), F.lit("/"), key, F.when(key % 10 == 9, ".unknown_video").otherwise(".mp4"))
     item = F.struct(path.alias("video_path"), F.when(key % 2 == 0, F.array(F.lit("C1"), F.lit("C3"))).alias("labels"), F.array(F.when(key % 4 == 0, "benign").otherwise("harm")).alias("subcategories"))
     name = F.concat(F.lit("C"), F.col("s_nationkey") % 6 + 1)
-    for folder, doc in _documents(s, "s_suppkey", F.to_json(item), name):
-        put_text(spark, f"{root}/real/{folder}/all_benchmark.json", doc if folder < "C4" else '{"items": ' + doc + "}")
+    opening = F.when(name < "C4", "[").otherwise('{"items": [')
+    _write_arrays(s, "s_suppkey", F.to_json(item), F.concat(F.lit(f"{root}/real/"), name, F.lit("/all_benchmark.json")), opening)
     out = adapters.benchmark_annotations(spark, root, TAX, "empty")
     return out.select("id", "video", joined(F.col("labels")).alias("labels"), joined(F.col("subcategories")).alias("subcategories"), "harmfulness")
 
@@ -263,10 +271,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         source_records, source_record_errors, source_jsonl, source_inputs, sink_id_manifest, sink_checksums, sink_rl_parquet, source_rl_parquet, source_chat_jsonl,
-        sink_dataset_info, source_label_list, source_folder_annotations, source_benchmark_annotations, taxonomy_dimension, taxonomy_fingerprint, validation_report,
+        sink_dataset_info, source_label_list, source_folder_annotations, source_benchmark_annotations, validation_report,
         parse_triple_newline, parse_answer_or_full, controller_resumed, controller_initialised, reward_diagnostics,
     )
 }
+#: Label spaces come from no table: see ``run_queries.SETTINGS``.
+SETTINGS = {f.__name__: f for f in (taxonomy_dimension, taxonomy_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -256,3 +256,5 @@ concat_ws(',', {", ".join(f"CASE WHEN list_contains(sp, '{k}') THEN 1 ELSE 0 END
 }
 ORACLE_SQL |= file_queries.oracle_sql()
 ORACLE_SQL |= run_queries.oracle_sql()
+#: SQL of what comes from no table, for a unit test; none of it is registered.
+SETTINGS_SQL = {k: ORACLE_SQL.pop(k) for k in [*file_queries.SETTINGS, *run_queries.SETTINGS]}

@@ -13,7 +13,7 @@ from plumbline.config import expand_variables
 from plumbline.operators import builders
 from plumbline.operators.records import overlap_messages, validate_records
 from plumbline.plans.prompts import resolve_prompt
-from plumbline.sources import sinks
+from plumbline.sources import sinks, stores
 from plumbline.sources.records import load_records
 from plumbline.taxonomy import BUILTINS, load_taxonomy
 
@@ -41,8 +41,8 @@ def run_recipe(spark: SparkSession, path: str, variables: Mapping[str, str] | No
     """Validates all splits, then writes all outputs with their manifests; a summary of both."""
     import yaml
 
-    at = Path(path)
-    raw = yaml.safe_load(at.read_text(encoding="utf-8"))
+    at = Path(stores.located(str(path))[1])
+    raw = yaml.safe_load(stores.content(str(path)))
     defaults = {k: str(v["default"]) for k, v in (raw.pop("variables", None) or {}).items() if isinstance(v, Mapping) and v.get("default") is not None}
     recipe = expand_variables(raw, defaults | dict(variables or {}), keep_type=False)
     spec = recipe["taxonomy"]
@@ -89,7 +89,7 @@ def _write(spark, recipe, splits, taxonomy, output, base: Path, dry_run: bool, o
                 sinks.write_json_lines(rows, target, "ord", overwrite)
                 done["sha256"] = sinks.file_sha256(target)
                 if output.get("dataset_name"):
-                    done["dataset_info"] = sinks.upsert_dataset_entry(str(Path(target).parent), output["dataset_name"], Path(target).name)
+                    done["dataset_info"] = sinks.upsert_dataset_entry(target.rpartition("/")[0], output["dataset_name"], target.rpartition("/")[2])
             source = recipe["splits"][split]
             done["inputs"] = {split: {"path": str(source), "sha256": sinks.file_sha256(source)}}
             sinks.write_json(f"{target}.manifest.json", done)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
-from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from plumbline.operators import predict, records, rewards, selection
 from plumbline.plans import fixtures as X
 from plumbline.plans import inference, prompts
 from plumbline.plans.recipe import run_recipe
+from plumbline.sources import stores
+from plumbline.sources.ordered import write_ordered
 from plumbline.sources.shared import put_text, shared_folder
 from plumbline.taxonomy import load_taxonomy
 
@@ -81,17 +83,17 @@ outputs:
 
 
 def _recipe(spark, sf) -> tuple[str, dict[str, Any]]:
-    root = urlparse(shared_folder(spark)).path
-    rows = X.samples(spark, sf).where("sid % 10 < 4").select("sid", F.to_json(F.struct(F.col("sid").cast("string").alias("id"), F.concat(F.lit("v/"), "sid").alias("video"), F.col("gt").alias("labels"))).alias("line"))
+    root = shared_folder(spark)
+    rows = X.samples(spark, sf).select("sid", F.to_json(F.struct(F.col("sid").cast("string").alias("id"), F.concat(F.lit("v/"), "sid").alias("video"), F.col("gt").alias("labels"))).alias("line"))
     for name, part in (("train", rows.where("sid % 10 > 0")), ("val", rows.where("sid % 10 = 0"))):
-        put_text(spark, f"file://{root}/{name}.jsonl", "".join(r.line + "\n" for r in part.orderBy("sid").toLocalIterator()))
-    put_text(spark, f"file://{root}/recipe.yaml", RECIPE.format(root=root))
+        write_ordered(part, "sid", f"{root}/{name}.jsonl")
+    put_text(spark, f"{root}/recipe.yaml", RECIPE.format(root=root))
     return root, run_recipe(spark, f"{root}/recipe.yaml", {"rate": "3"})
 
 
 def recipe_rows(spark, sf):
     root, _ = _recipe(spark, sf)
-    return spark.read.parquet(f"file://{root}/rl").select("id", "video_path", "prompt", F.array_join(F.transform("response", lambda x: x.cast("string")), ",").alias("response"))
+    return spark.read.parquet(f"{root}/rl").select("id", "video_path", "prompt", F.array_join(F.transform("response", lambda x: x.cast("string")), ",").alias("response"))
 
 
 def recipe_manifests(spark, sf):
@@ -107,13 +109,19 @@ def recipe_manifests(spark, sf):
 
 def _media(spark, sf) -> tuple[DataFrame, str]:
     """Records of videos, some of which are there as small files that hold their number of frames."""
-    root = urlparse(shared_folder(spark)).path
-    keys = [r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey < 200").orderBy("s_suppkey").collect()]
-    for k in keys:
-        if k % 3:
-            put_text(spark, f"file://{root}/v{k}.mp4", str(k))
-    rows = [(k, str(k), "s3://b/v" if k % 10 == 0 else f"v{k - k % 2}.mp4" if k % 5 == 0 else f"v{k}.mp4", []) for k in keys]
-    return spark.createDataFrame(rows, "ord bigint, id string, video string, labels array<string>"), root
+    root = shared_folder(spark)
+    key = F.col("s_suppkey")
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                stores.replace(f"{root}/v{k}.mp4", str(k).encode())
+            yield b
+
+    suppliers.where("s_suppkey % 3 > 0").repartition(8).mapInArrow(run, "s_suppkey bigint").count()
+    own = F.when(key % 10 == 0, "s3://b/v").when(key % 5 == 0, F.concat(F.lit("v"), key - key % 2, F.lit(".mp4"))).otherwise(F.concat(F.lit("v"), key, F.lit(".mp4")))
+    return suppliers.select(key.alias("ord"), key.cast("string").alias("id"), own.alias("video"), F.array().cast("array<string>").alias("labels")), stores.root(spark, root).removeprefix("file:")
 
 
 def media_missing(spark, sf):
@@ -198,8 +206,10 @@ def prompt_texts(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (predict_run, recipe_rows, recipe_manifests, media_missing, media_probes, reward_session, reward_settings, config_documents, inference_settings, request_messages, prompt_texts)
+    for f in (predict_run, recipe_rows, recipe_manifests, media_missing, media_probes, reward_session)
 }
+#: Settings and texts that come from no table: their SQL states what they should be, and a unit test compares the two.
+SETTINGS = {f.__name__: f for f in (reward_settings, config_documents, inference_settings, request_messages, prompt_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -210,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
     values = lambda rows: "SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {text(v)})" for k, v in rows.items()) + ") d(name, value)"
     labels = "concat_ws(',', " + ", ".join(f"CASE WHEN n % {k + 1} = 0 AND (n % 17 > 0 OR {k} <= 3) THEN '{i}' END" for k, i in enumerate(IDS, 1)) + ")"
     flagged = "(n % 2 = 0 OR n % 3 = 0 OR n % 4 = 0 OR n % 17 > 0 AND (n % 5 = 0 OR n % 6 = 0 OR n % 7 = 0))"
-    train = f"WITH s AS ({X.SAMPLES}), v AS (SELECT *, {O.INDEXES} AS response FROM s WHERE sid % 10 BETWEEN 1 AND 3)"
+    train = f"WITH s AS ({X.SAMPLES}), v AS (SELECT *, {O.INDEXES} AS response FROM s WHERE sid % 10 > 0)"
     copies = "SELECT id || '__aug_cls{k}_1' AS id, video_path, prompt, response, t2, t4 FROM {of} WHERE t{k} = 1"
     task = """Judge the clip.
 
@@ -268,9 +278,9 @@ SELECT 'overlaps' AS name, '0' AS value UNION ALL SELECT 'fingerprint', 'true' U
 UNION ALL SELECT 'rl.split', 'train' UNION ALL SELECT 'rl.labels', CAST(sum(l * c) AS VARCHAR) FROM w UNION ALL SELECT 'rl.prompt', sha256('rate 3') UNION ALL SELECT 'rl.hashed', 'true'
 UNION ALL SELECT 'chat.rows', CAST(count(*) AS VARCHAR) FROM o UNION ALL SELECT 'chat.unique_ids', CAST(count(*) AS VARCHAR) FROM o UNION ALL SELECT 'chat.split', 'val'
 UNION ALL SELECT 'chat.labels', CAST(sum(l) AS VARCHAR) FROM o UNION ALL SELECT 'chat.prompt', sha256('task') UNION ALL SELECT 'chat.hashed', 'true'""",
-        "media_missing": """WITH v AS (SELECT DISTINCT CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey - s_suppkey % 2 ELSE s_suppkey END AS k FROM supplier WHERE s_suppkey < 200 AND s_suppkey % 10 <> 0)
+        "media_missing": """WITH v AS (SELECT DISTINCT CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey - s_suppkey % 2 ELSE s_suppkey END AS k FROM supplier WHERE s_suppkey % 10 <> 0)
 SELECT 'v' || k || '.mp4' AS video, 'missing' AS fault FROM v WHERE k % 3 = 0 OR k NOT IN (SELECT s_suppkey FROM supplier)""",
-        "media_probes": """WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey - s_suppkey % 2 ELSE s_suppkey END AS k FROM supplier WHERE s_suppkey < 200 AND s_suppkey % 10 <> 0),
+        "media_probes": """WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey - s_suppkey % 2 ELSE s_suppkey END AS k FROM supplier WHERE s_suppkey % 10 <> 0),
 x AS (SELECT *, k % 3 > 0 AND k IN (SELECT s_suppkey FROM supplier) AS there FROM v), y AS (SELECT *, there AND k % 7 > 0 AS good FROM x)
 SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN there THEN k END AS frames, CASE WHEN good THEN k / 8e0 END AS duration, CASE WHEN NOT good THEN 'unreadable' WHEN k / 8e0 > 10 THEN 'too_long' WHEN k / 8e0 < 1 THEN 'too_short' END AS reason FROM y""",
         "reward_session": f"SELECT sid, overall, accuracy FROM ({O.ADAPTIVE_GLOBAL} SELECT sid, batch_id, {O.R6('(0.9e0 * (' + O.tversky('al', 'be') + ') + 0.1e0 * fmt)')} AS overall, {O.R6(O.tversky('al', 'be'))} AS accuracy FROM y) WHERE batch_id < 3",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions.labels import resolve_labels
 from plumbline.operators.selection import with_rank
+from plumbline.sources.arrays import array_items
 from plumbline.sources.lines import lines
 from plumbline.sources.records import DataError, load_json_lines
 from plumbline.taxonomy import Taxonomy
@@ -23,16 +24,10 @@ def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
     return ranked.withColumn("ord", (F.col("rank") + 1).cast("bigint")).drop("__keys", "rank")
 
 
-def _items(spark: SparkSession, path: str) -> DataFrame:
-    """path, place and item (variant) of the JSON arrays in files."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    return whole.select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("doc"))
-
-
 def folder_annotations(spark: SparkSession, root: str, taxonomy: Taxonomy, video_type: str = "full", video_prefix: str = "") -> DataFrame:
     """Folders of full.json (the videos) and full_gt.json (their labels; the last entry of a video counts)."""
-    docs = _items(spark, root).withColumn("parts", F.split("path", "/"))
-    docs = docs.select(F.element_at("parts", -2).alias("folder"), F.element_at("parts", -1).alias("name"), F.posexplode(F.variant_get("doc", "$", "array<variant>")).alias("place", "item"))
+    docs = array_items(spark, root).withColumn("parts", F.split("path", "/"))
+    docs = docs.select(F.element_at("parts", -2).alias("folder"), F.element_at("parts", -1).alias("name"), "place", F.parse_json("item").alias("item"))
     get = lambda p, kind: F.try_variant_get("item", p, kind)
     truth = docs.where("name = 'full_gt.json'").select(F.col("folder").alias("of"), F.coalesce(get("$.video_path", "string"), F.lit("")).alias("key"), "place", get("$.labels", "array<string>").alias("found"), get("$.subcategories", "array<string>").alias("sub"))
     truth = truth.groupBy("of", "key").agg(F.max_by(F.struct("found", "sub"), "place").alias("t"))
@@ -62,7 +57,7 @@ def benchmark_annotations(spark: SparkSession, root: str, taxonomy: Taxonomy, be
     docs = None
     for s in sources:
         try:
-            found = _items(spark, f"{root}/{s}")
+            found = array_items(spark, f"{root}/{s}", unwrap=True)
         except Exception as e:  # a source that isn't there has no files
             if "PATH_NOT_FOUND" in str(e):
                 continue
@@ -70,12 +65,7 @@ def benchmark_annotations(spark: SparkSession, root: str, taxonomy: Taxonomy, be
         docs = found if docs is None else docs.unionByName(found)
     if docs is None:
         raise DataError(f"{root} has none of {', '.join(sources)}")
-    kind = F.schema_of_variant("doc")
-    fields = F.try_variant_get("doc", "$", "map<string,variant>")
-    only = F.element_at(F.map_values(fields), 1)
-    unwrapped = F.when(kind.startswith("ARRAY"), F.col("doc")).when((F.size(F.map_keys(fields)) == 1) & F.schema_of_variant(only).startswith("ARRAY"), only)
-    rows = docs.withColumn("items", F.coalesce(F.try_variant_get(unwrapped, "$", "array<variant>"), F.array("doc")))
-    rows = rows.select(F.split("path", "/").alias("sort"), F.posexplode("items").alias("place", "item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    rows = docs.select(F.split("path", "/").alias("sort"), "place", F.parse_json("item").alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
     get = lambda p, kind: F.try_variant_get("item", p, kind)
     raw = F.coalesce(F.nullif(get("$.video_path", "string"), F.lit("")), get("$.videoPath", "string"), get("$.video", "string"))
     rows = rows.withColumn("raw", raw).where(F.coalesce("raw", F.lit("")) != "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.functions.text import strip
 
@@ -11,15 +12,22 @@ from plumbline.functions.text import strip
 def lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """path, ord (line number from 1) and line of a text file, blank lines left out.
 
-    Exact line numbers need the file as one value, which suits lists and manifests. With ``numbered=False`` the file
-    is split among tasks, and ord is only a unique number.
+    A large file is split among tasks. Its lines are counted by split; the counts of the splits before it, summed by file,
+    are where a split's numbers begin, and inside a split lines are numbered as they are read. So no task and no row holds a whole file.
+    With ``numbered=False`` ord is only a unique number, and lines are read once instead of twice.
     """
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
     if numbered:
-        whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-        rows = whole.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("at", "line"))
-        rows = rows.select("path", (F.col("at") + 1).cast("bigint").alias("ord"), "line")
+        # a split is read by one task from its first line to its last, so its places follow one another; both readings plan the same splits
+        counted = read.groupBy(F.col("path").alias("of"), F.col("split").alias("from")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        before = F.sum("n").over(W.partitionBy("of").orderBy("from")) - F.col("n")
+        starts = counted.select("of", "from", (before - F.col("first") + 1).alias("shift"))
+        joined = read.join(starts, (F.col("path") == F.col("of")) & (F.col("split") == F.col("from")))
+        rows = joined.select("path", (F.col("at") + F.col("shift")).alias("ord"), "line")
     else:
-        rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
+        rows = read.select("path", F.col("at").alias("ord"), "line")
     return rows.where(strip(F.col("line")) != "")
 
 

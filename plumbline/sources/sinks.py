@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources import stores
+from plumbline.sources.ordered import refuse, write_ordered
 from plumbline.sources.records import DataError
 
 SKIPPED = ("checksums.sha256",)
@@ -38,22 +39,29 @@ def _plain(value: Any) -> Any:
     return value
 
 
-def _refuse(path: Path, overwrite: bool) -> None:
-    if path.exists() and not overwrite:
-        raise FileExistsError(f"{path} exists")
-    path.parent.mkdir(parents=True, exist_ok=True)
+def json_rows(df: DataFrame, order: str | None = None) -> DataFrame:
+    """The rows as JSON objects in the column ``line``, beside the order; ``extra`` is flattened, and wins a clash."""
+    variants = [c for c, t in df.dtypes if t == "variant"]
+    columns = [c for c in df.columns if c != order]
+    texts = df.select(*([order] if order else []), *(F.to_json(c).alias(c) if c in variants else F.col(c) for c in columns))
+    first = 1 if order else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = []
+            for values in zip(*(c.to_pylist(maps_as_pydicts="strict") for c in b.columns[first:])):
+                row = {c: json.loads(v) if c in variants and v is not None else v for c, v in zip(columns, values)}
+                extra = row.pop("extra", None) or {}
+                lines.append(json.dumps(row | extra, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([*b.columns[:first], pa.array(lines, pa.string())], names=[*([order] if order else []), "line"])
+
+    kind = f"`{order}` {dict(df.dtypes)[order]}, " if order else ""
+    return texts.mapInArrow(run, f"{kind}line string")
 
 
 def write_json_lines(df: DataFrame, path: str, order: str | None = "ord", overwrite: bool = False) -> int:
-    """One JSON object a line, non-ASCII text as it is; the number of rows. ``extra`` is flattened, and wins a clash."""
-    target, n = Path(path), 0
-    _refuse(target, overwrite)
-    with target.open("w", encoding="utf-8") as f:
-        for row in _rows(df, order):
-            extra = row.pop("extra", None) or {}
-            f.write(json.dumps(row | extra, ensure_ascii=False) + "\n")
-            n += 1
-    return n
+    """One file with one JSON object a line, non-ASCII text as it is; the number of rows. ``extra`` is flattened, and wins a clash."""
+    return write_ordered(json_rows(df, order), order, str(path), overwrite=overwrite)
 
 
 def write_json_lines_distributed(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -73,14 +81,11 @@ def write_rl_parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_id_manifest(df: DataFrame, path: str, header: tuple[str, ...] = (), overwrite: bool = False) -> None:
-    """``# header`` lines, then ids in order. A line break in any of them is an error."""
-    target = Path(path)
-    _refuse(target, overwrite)
+    """``# header`` lines, then ids in order, in one file. A line break in any of them is an error."""
+    refuse(str(path), overwrite)
     if any("\n" in h for h in header) or df.where(F.col("id").contains("\n")).limit(1).count():
         raise DataError("ids and headers must not hold line breaks")
-    with target.open("w", encoding="utf-8") as f:
-        f.writelines(f"# {h}\n" for h in header)
-        f.writelines(f"{r.id}\n" for r in df.orderBy("ord").select("id").toLocalIterator())
+    write_ordered(df.select("ord", F.col("id").cast("string").alias("line")), "ord", str(path), tuple(f"# {h}" for h in header), overwrite)
 
 
 def chat_dataset_entry(file_name: str) -> dict[str, Any]:
@@ -95,43 +100,33 @@ def chat_dataset_entry(file_name: str) -> dict[str, Any]:
 
 def upsert_dataset_entry(folder: str, name: str, file_name: str) -> str:
     """Adds or replaces an entry of ``dataset_info.json``."""
-    path = Path(folder) / "dataset_info.json"
-    index = json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+    path = f"{str(folder).rstrip('/')}/dataset_info.json"
+    index = json.loads(stores.content(path)) if stores.exists(path) else {}
     write_json(path, index | {name: chat_dataset_entry(file_name)})
-    return str(path)
+    return path
 
 
 def write_json(path: str | Path, value: Any) -> None:
     """A JSON document that appears whole or not at all."""
-    part = Path(f"{path}.part")
-    part.write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
-    os.replace(part, path)
+    stores.replace(str(path), (json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n").encode())
 
 
 def file_sha256(path: str | Path) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+    return stores.digest(str(path))
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """name (below the folder) and sha256 of every file, read by the workers chunk by chunk."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    below = str(Path(folder).resolve()).rstrip("/") + "/"
-    paths = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))  # without the contents, which aren't read then
-    named = paths.select(F.substring("path", len(below) + 1, 1 << 30).alias("name"), "path").where(~F.element_at(F.split("name", "/"), -1).isin(*SKIPPED))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([file_sha256(p) for p in b.column(1).to_pylist()], pa.string())], names=["name", "sha256"])
-
-    return named.mapInArrow(hashed, "name string, sha256 string")
+    """name (below the folder) and sha256 of every file of any store, read by the workers piece by piece."""
+    files = stores.listed(spark, folder).select("path")
+    named = files.withColumn("name", stores.below(F.col("path"), stores.root(spark, folder))).where(~F.element_at(F.split("name", "/"), -1).isin(*SKIPPED))
+    return stores.digests(named).select("name", F.col("digest").alias("sha256"))
 
 
 def write_checksums(spark: SparkSession, folder: str) -> str:
-    out = Path(folder) / SKIPPED[0]
-    found = checksums(spark, folder).orderBy(F.split("name", "/")).collect()
-    out.write_text("".join(f"{r.sha256}  {r.name}\n" for r in found), encoding="utf-8")
-    return str(out)
+    out = f"{str(folder).rstrip('/')}/{SKIPPED[0]}"
+    found = checksums(spark, folder).select(F.split("name", "/").alias("sort"), F.concat("sha256", F.lit("  "), "name").alias("line"))
+    write_ordered(found, "sort", out, overwrite=True)
+    return out
 
 
 def verify_checksums(spark: SparkSession, folder: str) -> list[str]:

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from plumbline.plans.oracle import ORACLE_SQL
+from plumbline.plans import file_queries, run_queries
+from plumbline.plans.oracle import ORACLE_SQL, SETTINGS_SQL
 from plumbline.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,10 +35,18 @@ def key(row):
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+    compare(QUERIES[name](spark, SF), duck.execute(ORACLE_SQL[name]))
+
+
+@pytest.mark.parametrize("name", sorted(SETTINGS_SQL))
+def test_settings_and_texts(spark, duck, name):
+    assert name not in __spark_entry__.queries() and name not in __spark_entry__.oracle_sql()
+    compare((file_queries.SETTINGS | run_queries.SETTINGS)[name](spark, SF), duck.execute(SETTINGS_SQL[name]))
+
+
+def compare(df, found):
     columns = sorted(df.columns)
     mine = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=key)
-    found = duck.execute(ORACLE_SQL[name])
     order = [d[0] for d in found.description]
     assert sorted(order) == columns
     at = [order.index(c) for c in columns]
