@@ -117,9 +117,8 @@ def file_sha256(path: str | Path) -> str:
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """name (below the folder) and sha256 of every file of any store, read by the workers piece by piece."""
-    files = stores.listed(spark, folder).select("path")
-    named = files.withColumn("name", stores.below(F.col("path"), stores.root(spark, folder))).where(~F.element_at(F.split("name", "/"), -1).isin(*SKIPPED))
-    return stores.digests(named).select("name", F.col("digest").alias("sha256"))
+    files = stores.walked(spark, folder).select("name", "path").where(~F.element_at(F.split("name", "/"), -1).isin(*SKIPPED))
+    return stores.digests(files).select("name", F.col("digest").alias("sha256"))
 
 
 def write_checksums(spark: SparkSession, folder: str) -> str:

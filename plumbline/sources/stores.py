@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that are read at a time.
 CHUNK = 1 << 20
@@ -48,6 +47,24 @@ def listed(spark: SparkSession, folder: str, pattern: str | None = None) -> Data
     return reader.load(folder).select("path", "length")
 
 
+def walked(spark: SparkSession, folder: str) -> DataFrame:
+    """name (below the folder), path and length of every file below a folder, empty ones too; hidden ones are left out, as Spark does. One
+    task walks the folder, and the files are dealt out evenly."""
+    kind = pa.schema([("name", pa.string()), ("path", pa.string()), ("length", pa.int64())])
+    address = root(spark, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            store, top = located(address)
+            found = store.get_file_info(pafs.FileSelector(top, recursive=True))
+            rows = [(f.path[len(top) :].lstrip("/"), f.path, f.size) for f in found if f.is_file]
+            rows = [(n, f"{address}/{n}", z) for n, _, z in rows if not any(part[0] in "._" for part in n.split("/"))]
+            for at in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows[at : at + 10_000]], kind)
+
+    return spark.range(1).coalesce(1).mapInArrow(run, "name string, path string, length bigint").repartition("path")
+
+
 def root(spark: SparkSession, folder: str) -> str:
     """A folder's address as file listings begin with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -68,16 +85,6 @@ def digests(files: DataFrame, path: str = "path", kind: str = "sha256") -> DataF
     return files.mapInArrow(run, f"{fields}, digest string")
 
 
-def below(path: Column, top: str) -> Column:
-    """The part of a listed path below a folder. Local addresses are written with one slash or three."""
-    short = F.regexp_replace(path, "^file:/+", "file:/")
-    return F.substr(short, F.lit(len(_short(top)) + 2))
-
-
-def _short(address: str) -> str:
-    return "file:/" + address[5:].lstrip("/") if address.startswith("file:") else address
-
-
 def exists(address: str) -> bool:
     store, path = located(address)
     return store.get_file_info(path).type != pafs.FileType.NotFound
