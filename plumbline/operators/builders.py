@@ -43,16 +43,21 @@ def oversample(rows: DataFrame, class_index: int, labels: str = "response") -> D
     A copy of x is named ``x__aug_cls<k>_<n>``, n being the least counter that neither a row nor an earlier copy has: the
     j-th copy of x gets the j-th counter that no row has. The suffix decodes uniquely, so copies of x meet
     only what is named after x.
+
+    The i-th taken counter c of x has c - i free ones below it. So the j-th free counter is j and one more for each taken counter with fewer than j free ones
+    below it: taken counters, by that gap, and copies, by j, are merged in order under each x, and a running sum counts the taken ones passed. Nothing is
+    gathered, however many counters one x has.
     """
     has = F.exists(F.col(labels).cast("array<string>"), lambda v: v.rlike(r"^\d+$") & (v.try_cast("bigint") == class_index))
-    suffix = f"__aug_cls{class_index}_"
-    counter = F.regexp_extract("id", rf"^(?s)(.*){suffix}([1-9]\d*)$", 2)
-    named = rows.select(F.regexp_extract("id", rf"^(?s)(.*){suffix}([1-9]\d*)$", 1).alias("__base"), counter.try_cast("bigint").alias("__n")).where(F.col("__n").isNotNull() & (F.col("id").rlike(suffix)))
-    taken = named.groupBy("__base").agg(F.collect_set("__n").alias("__taken"))
-    hit = rows.where(has).withColumn("__j", F.row_number().over(W.partitionBy("id").orderBy("ord")))
-    joined = hit.join(taken, F.col("id") == F.col("__base"), "left").withColumn("__taken", F.coalesce("__taken", F.array().cast("array<bigint>")))
-    free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.col("__j") + F.size("__taken")), F.col("__taken"))
-    copies = joined.withColumn("id", F.concat("id", F.lit(suffix), F.element_at(free, F.col("__j")).cast("string"))).drop("__j", "__base", "__taken")
+    suffix, row = f"__aug_cls{class_index}_", F.struct(*rows.columns)
+    pattern = rf"^(?s)(.*){suffix}([1-9]\d*)$"
+    named = rows.where(F.col("id").contains(suffix)).select(F.regexp_extract("id", pattern, 1).alias("x"), F.regexp_extract("id", pattern, 2).try_cast("bigint").alias("n"))
+    gap = F.col("n") - F.row_number().over(W.partitionBy("x").orderBy("n"))
+    taken = named.where("n is not null").distinct().select("x", gap.alias("at"), F.lit(1).alias("passed"), F.lit(None).cast(rows.select(row).schema[0].dataType).alias("row"))
+    hits = rows.where(has).select(F.col("id").alias("x"), F.row_number().over(W.partitionBy("id").orderBy("ord")).cast("bigint").alias("at"), F.lit(0).alias("passed"), row.alias("row"))
+    so_far = W.partitionBy("x").orderBy("at", "passed").rowsBetween(W.unboundedPreceding, W.currentRow)
+    merged = hits.unionByName(taken).withColumn("n", F.col("at") + F.sum("passed").over(so_far)).where("passed = 0")
+    copies = merged.select("row.*", F.concat("x", F.lit(suffix), F.col("n").cast("string")).alias("__name")).withColumn("id", F.col("__name")).drop("__name")
     top = rows.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("__top"))
     moved = with_rank(copies).crossJoin(F.broadcast(top)).withColumn("ord", (F.col("__top") + F.col("rank")).cast("bigint")).select(*rows.columns)
     return rows.unionByName(moved)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,19 @@ def test_oversampling(spark):
     assert [r.id for r in out[8:]] == ["v0__aug_cls2_2", "v2__aug_cls2_1", "v4__aug_cls2_1", "v5__aug_cls2_1", "v0__aug_cls2_1__aug_cls2_1", "v5__aug_cls2_2"]
 
 
+def test_oversampling_of_one_id_with_many_counters(spark):
+    rng = random.Random(8)
+    taken = sorted(rng.sample(range(1, 60_000), 20_000))
+    copies = 30_000
+    named = spark.createDataFrame([(k, f"x__aug_cls2_{n}", [1]) for k, n in enumerate(taken)], "ord bigint, id string, response array<bigint>")
+    named = named.unionByName(spark.createDataFrame([(-1, "x__aug_cls2_7x", [1]), (-2, "x__aug_cls2_07", [1]), (-3, "x__aug_cls2_", [1])], named.schema))
+    hits = spark.range(copies).select((F.col("id") + 50_000).alias("ord"), F.lit("x").alias("id"), F.array(F.lit(2).cast("bigint")).alias("response"))
+    out = builders.oversample(named.unionByName(hits), 2).where(f"ord >= {50_000 + copies}").orderBy("ord").collect()
+    free = iter(sorted(set(range(1, 200_000)) - set(taken)))
+    assert [r.id for r in out] == [f"x__aug_cls2_{next(free)}" for _ in range(copies)]
+    assert [r.ord for r in out] == list(range(50_000 + copies, 50_000 + 2 * copies))
+
+
 def test_list_and_folder_adapters(spark, tmp_path):
     path = write(tmp_path / "list.txt", ["m__#1_label_B1-G-0", "", "n_label_A.mp4"])
     rows = adapters.label_list(spark, path, XD, "basename", "p/").orderBy("ord").collect()
