@@ -368,6 +368,33 @@ def fold_batches(stats: DataFrame, config: ControllerConfig, update: bool = True
     return sorted_(kept).mapInArrow(replay, f"batch_id bigint, before {STATE_TYPE}, after {STATE_TYPE}")
 
 
+def _of_plain(config: ControllerConfig, x: Mapping[str, Any] | None) -> State:
+    """The state that a value of STATE_TYPE stands for; none is the initial one."""
+    begin = initial_state(config)
+    if x is None:
+        return begin
+    vectors = {v: tuple(x[k]) for k, v in zip(("fp", "fn", "u", "alpha", "beta"), VECTORS)}
+    return replace(begin, **vectors, initialized=bool(x["started"]), num_updates=int(x["updates"]))
+
+
+def advance(rows: DataFrame, config: ControllerConfig, key: str, update: bool = True) -> DataFrame:
+    """Many controllers, one batch each: of rows with a key, counted, fp, fn and the controller's state (null: none yet), the states before and after."""
+    doubles = pa.list_(pa.float64())
+    kind = pa.struct([*((k, doubles) for k in ("fp", "fn", "u", "alpha", "beta")), ("started", pa.bool_()), ("updates", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, after = [], []
+            for x in b.to_pylist():
+                now = _of_plain(config, x["state"])
+                rates = _rates(x, config) if update else None
+                before.append(_plain(now))
+                after.append(_plain(step(config, now, *rates) if rates else now))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before, kind), pa.array(after, kind)], names=[key, "before", "after"])
+
+    return rows.select(key, "counted", "fp", "fn", "state").mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, before {STATE_TYPE}, after {STATE_TYPE}")
+
+
 def inspect_state(states: DataFrame, config: ControllerConfig, column: str = "after") -> DataFrame:
     """One row for each batch and category (or one, in mode 'global') of a state column."""
     names = ["global"] if config.mode == "global" else list(config.category_ids)

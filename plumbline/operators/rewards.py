@@ -152,11 +152,14 @@ def batch_metrics(read: DataFrame, settings: RewardSettings, by: str = "batch_id
 
 def controller_states(statistics: DataFrame, settings: RewardSettings, state: ctl.State | None = None) -> DataFrame:
     """Controller states before and after each batch."""
-    ids = settings.taxonomy.ids
-    names = ("",) if settings.controller.mode == "global" else tuple(f"_{i}" for i in ids)
-    rates = {x: F.array(*(F.coalesce(F.col(f"batch_{x}{n}"), F.lit(0.0)) for n in names)) for x in ("fp", "fn")}
-    rows = statistics.select(F.col("batch_id").cast("bigint").alias("batch_id"), F.col("counted_samples").alias("counted"), rates["fp"].alias("fp"), rates["fn"].alias("fn"))
-    return ctl.fold_batches(rows, settings.controller, settings.update_controller, state)
+    return ctl.fold_batches(controller_rates(statistics, settings), settings.controller, settings.update_controller, state)
+
+
+def controller_rates(statistics: DataFrame, settings: RewardSettings) -> DataFrame:
+    """batch_id, counted, and the rates that the controller goes by."""
+    names = ("",) if settings.controller.mode == "global" else tuple(f"_{i}" for i in settings.taxonomy.ids)
+    rates = (F.array(*(F.coalesce(F.col(f"batch_{x}{n}"), F.lit(0.0)) for n in names)).alias(x) for x in ("fp", "fn"))
+    return statistics.select("batch_id", F.col("counted_samples").alias("counted"), *rates)
 
 
 def score(rows: DataFrame, settings: RewardSettings, state: ctl.State | None = None, diagnostics: bool = True) -> DataFrame:
@@ -170,10 +173,11 @@ def score(rows: DataFrame, settings: RewardSettings, state: ctl.State | None = N
     return score_read(read, settings, state, diagnostics)
 
 
-def score_read(read: DataFrame, settings: RewardSettings, state: ctl.State | None = None, diagnostics: bool = True) -> DataFrame:
-    """``score`` of rows that ``read_responses`` has read, and that are kept somewhere, as they are read more than once."""
+def score_read(read: DataFrame, settings: RewardSettings, state: ctl.State | None = None, diagnostics: bool = True, states: DataFrame | None = None) -> DataFrame:
+    """``score`` of rows that ``read_responses`` has read, and that are kept somewhere, as they are read more than once. States (batch_id, before and
+    after) that are known already aren't folded anew."""
     pred, true, tax = F.col("pred"), F.col("gt"), settings.taxonomy
-    statistics = batch_statistics(read, settings) if diagnostics or settings.kind == "adaptive" else None
+    statistics = batch_statistics(read, settings) if diagnostics or settings.kind == "adaptive" and states is None else None
     if settings.kind == "exact_match":
         accuracy = similarity.exact_match(pred, true)
     elif settings.kind == "jaccard":
@@ -181,7 +185,7 @@ def score_read(read: DataFrame, settings: RewardSettings, state: ctl.State | Non
     elif settings.kind == "tversky":
         accuracy = similarity.tversky(pred, true, settings.alpha, settings.beta)
     else:
-        states = controller_states(statistics, settings, state).withColumnRenamed("batch_id", "of_batch")
+        states = (controller_states(statistics, settings, state) if states is None else states).withColumnRenamed("batch_id", "of_batch")
         read = read.join(states, F.col("batch_id") == F.col("of_batch"))
         a, b = F.col("before.alpha"), F.col("before.beta")
         if settings.controller.mode == "global":

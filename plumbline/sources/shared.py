@@ -82,3 +82,11 @@ def put_text(spark: SparkSession, uri: str, text: str) -> None:
     if store.exists(path):
         store.delete(path, False)
     store.rename(part, path)
+
+
+def get_text(spark: SparkSession, uri: str) -> str | None:
+    """A small text file of ``put_text``; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.text(uri, wholetext=True).first()[0]

@@ -173,3 +173,49 @@ def test_stream_equals_log(spark, tmp_path):
     for b in range(3):
         for r in spark.read.parquet(str(tmp_path / "out" / f"batch={b}")).collect():
             assert r.overall == pytest.approx(log[b, r.k], abs=1e-9)
+
+
+def test_many_runs_on_one_stream_resume_after_a_break(spark, tmp_path):
+    from plumbline.streaming import rewards as streaming
+
+    rows = spark.createDataFrame(list(batches(9)), "batch_id bigint, k int, response string, ground_truth array<string>").withColumn("n", F.floor(F.col("batch_id") / 3))
+    runs = ["a", "b", None]
+    rows = rows.withColumn("run", F.element_at(F.array(*map(F.lit, runs)), (F.col("batch_id") % 3 + 1).cast("int"))).cache()
+    settings = R.build_settings(ADAPTIVE)
+    begun = C.step(settings.controller, C.initial_state(settings.controller), [0.2] * len(TAX.ids), [0.5] * len(TAX.ids))
+    initial = spark.createDataFrame([("b", C._plain(begun))], f"run string, state {C.STATE_TYPE}")
+    wanted = {}
+    for place, run in enumerate(runs):
+        mine = rows.where(F.col("run").eqNullSafe(F.lit(run))).withColumn("batch_id", F.col("n"))
+        for r in R.score(mine, settings, begun if run == "b" else None, diagnostics=False).collect():
+            wanted[place, r.batch_id, r.k] = r.overall
+    broken = []
+
+    def breaks_off(spark, uri, text):
+        if not broken:
+            broken.append(uri)
+            raise OSError("the driver is lost before it commits")
+        put(spark, uri, text)
+
+    put = streaming.put_text
+    for n in range(3):
+        rows.where(F.col("n") == n).select("run", "k", "response", "ground_truth").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        for attempt in range(2 if n == 1 else 1):
+            stream = spark.readStream.schema("run string, k int, response string, ground_truth array<string>").json(str(tmp_path / "in"))
+            sink = streaming.KeyedStreamingRewards(settings, f"file://{tmp_path}/out", initial=initial)
+            streaming.put_text = breaks_off if n == 1 and attempt == 0 else put
+            try:
+                query = sink.start(stream, str(tmp_path / "checkpoint"), availableNow=True)
+                query.awaitTermination()
+                assert attempt or n != 1
+            except Exception as e:
+                assert n == 1 and attempt == 0 and "lost before it commits" in str(e)
+            finally:
+                streaming.put_text = put
+    found = sink.scores(spark).collect()
+    assert {(runs.index(r.run), r.batch, r.k): pytest.approx(r.overall, abs=1e-9) for r in found} == wanted and len(found) == len(wanted)
+    again = sink.last(spark)
+    sink.on_batch(rows.where("n = 2").drop("batch_id", "n"), 2)
+    assert sink.last(spark) == again and sink.states(spark).count() == 3
+    with pytest.raises(ValueError, match="adaptive"):
+        streaming.KeyedStreamingRewards(R.build_settings({"taxonomy": TAX, "reward": "jaccard"}), str(tmp_path))
