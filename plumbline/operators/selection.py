@@ -11,8 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import resolve_video
+from plumbline.sources.mp4 import is_mp4, read_mp4
 from plumbline.sources.records import DataError
 from plumbline.sources.shared import written
+from plumbline.sources.stores import located
+from plumbline.sources.versions import VersionedTable
 
 REASONS = ("suffix", "unreadable", "too_long", "too_short", "too_few_frames")
 
@@ -119,18 +122,18 @@ def probe_media(records: DataFrame, probe: Callable[[str], tuple[int | None, flo
 
     The key joins path, size and whole seconds of modification; a file that isn't there has none and isn't cached.
     """
-    import os
+    schemes = {"file", *(video_root.split("://")[:1] if video_root and "://" in video_root else [])}
+
+    def key(address: str) -> str | None:
+        if "://" in address and address.split("://")[0] not in schemes:
+            return None  # a web address isn't looked up
+        store, path = located(address)
+        info = store.get_file_info(path)
+        return f"{address}|{info.size}|{int(info.mtime.timestamp())}" if info.is_file else None
 
     def stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = []
-            for p in b["path"]:
-                try:
-                    s = os.stat(p)
-                    keys.append(f"{p}|{s.st_size}|{int(s.st_mtime)}")
-                except OSError:
-                    keys.append(None)
-            yield pd.DataFrame({"path": b["path"], "key": keys})
+            yield pd.DataFrame({"path": b["path"], "key": [key(p) for p in b["path"]]})
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -149,8 +152,22 @@ def probe_media(records: DataFrame, probe: Callable[[str], tuple[int | None, flo
     return known.unionByName(fresh)
 
 
+def probe_kept(records: DataFrame, probe: Callable[[str], tuple[int | None, float | None, str | None]], table: VersionedTable, video_root: str | None = None, drop_suffixes: tuple[str, ...] = (".unknown_video",)) -> DataFrame:
+    """``probe_media`` with a table of probes by key that runs share: what it has isn't probed, and what is probed goes into it."""
+    spark = records.sparkSession
+    cache = table.read(spark)
+    found = written(probe_media(records, probe, video_root, cache, drop_suffixes), spark)
+    fresh = found.where("key is not null")
+    fresh = fresh if cache is None else fresh.join(cache.select("key"), "key", "left_anti").select(*found.columns)
+    if not fresh.isEmpty():
+        table.merge(fresh, spark)
+    return found
+
+
 def probe_video(path: str) -> tuple[int | None, float | None, str | None]:
-    """Frames, frames a second and error of a local video, for ``probe_media``: by whichever decoder is installed."""
+    """Frames, frames a second and error of a video, for ``probe_media``: MP4 files by their boxes, in any store; others by whichever decoder is installed."""
+    if is_mp4(path):
+        return tuple(read_mp4(path))
     try:
         import av
     except ImportError:

@@ -89,3 +89,17 @@ def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """batch_id, sid, response and ground_truth (1-based places of the categories, as text)."""
     slots = F.array(*(F.when(F.col(f"t{k}") == 1, F.lit(str(k))) for k in reversed(K)))
     return responses(spark, sf_dir).select("batch_id", "sid", "response", F.filter(slots, lambda x: x.isNotNull()).alias("ground_truth"))
+
+
+def mp4_bytes(frames: int, scale: int, ticks: int, big: bool = False, kind: bytes = b"vide") -> bytes:
+    """A small MP4 file: a sound track, and a track of so many frames of three bytes, each of ``ticks`` units of 1 / ``scale`` seconds."""
+    u4 = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    box = lambda name, *parts: (u4(8 + len(b"".join(parts))) if not big else u4(1)) + name + ((16 + len(b"".join(parts))).to_bytes(8, "big") if big else b"") + b"".join(parts)
+    head = box(b"ftyp", b"isom", u4(0))
+
+    def track(handler: bytes, n: int, place: int) -> bytes:
+        tables = [box(b"stts", u4(0, 2, n // 2, ticks, n - n // 2, ticks)), box(b"stsz", u4(0, 0, n, *[3] * n)), box(b"stco", u4(0, 1, place))]
+        return box(b"trak", box(b"tkhd", u4(0)), box(b"mdia", box(b"mdhd", u4(0, 0, 0, scale, n * ticks, 0)), box(b"hdlr", u4(0, 0), handler, u4(0, 0, 0)), box(b"minf", box(b"stbl", *tables))))
+
+    data = box(b"mdat", b"abc" * frames)
+    return head + data + box(b"moov", track(b"soun", 1, len(head) + 8), track(kind, frames, len(head) + 8))

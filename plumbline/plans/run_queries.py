@@ -19,6 +19,7 @@ from plumbline.plans.recipe import run_recipe
 from plumbline.sources import stores
 from plumbline.sources.ordered import write_ordered
 from plumbline.sources.shared import put_text, shared_folder
+from plumbline.sources.versions import VersionedTable
 from plumbline.taxonomy import load_taxonomy
 
 TAX, IDS, K = X.TAXONOMY, X.IDS, X.K
@@ -142,6 +143,27 @@ def media_probes(spark, sf):
     return judged.select("id", "frames", "duration", "reason")
 
 
+def media_containers(spark, sf):
+    """Probes of MP4 files, some of them cut off or without a video track, by a table that two runs share."""
+    root, key = shared_folder(spark), F.col("s_suppkey")
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                whole = X.mp4_bytes(k % 50 + 2, 600, 25 * (k % 4 + 1), k % 3 == 0, b"text" if k % 11 == 0 else b"vide")
+                stores.replace(f"{root}/v{k}.mp4", whole[: len(whole) - 9] if k % 7 == 0 else whole)
+            yield b
+
+    suppliers.repartition(8).mapInArrow(run, "s_suppkey bigint").count()
+    found = suppliers.select(key.alias("ord"), key.cast("string").alias("id"), F.concat(F.lit(root + "/v"), key, F.lit(".mp4")).alias("video"))
+    table = VersionedTable(f"{root}/probes", "key")
+    selection.probe_kept(found.where("ord % 2 = 0"), selection.probe_video, table)
+    probes = selection.probe_kept(found, selection.probe_video, table)
+    judged = selection.media_reasons(found, probes, min_frames=10)
+    return judged.select("id", "frames", F.round("fps", 6).alias("fps"), "error", "reason")
+
+
 # rewards
 
 
@@ -206,7 +228,7 @@ def prompt_texts(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (predict_run, recipe_rows, recipe_manifests, media_missing, media_probes, reward_session)
+    for f in (predict_run, recipe_rows, recipe_manifests, media_missing, media_probes, media_containers, reward_session)
 }
 #: Settings and texts that come from no table: their SQL states what they should be, and a unit test compares the two.
 SETTINGS = {f.__name__: f for f in (reward_settings, config_documents, inference_settings, request_messages, prompt_texts)}
@@ -283,6 +305,9 @@ SELECT 'v' || k || '.mp4' AS video, 'missing' AS fault FROM v WHERE k % 3 = 0 OR
         "media_probes": """WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey - s_suppkey % 2 ELSE s_suppkey END AS k FROM supplier WHERE s_suppkey % 10 <> 0),
 x AS (SELECT *, k % 3 > 0 AND k IN (SELECT s_suppkey FROM supplier) AS there FROM v), y AS (SELECT *, there AND k % 7 > 0 AS good FROM x)
 SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN there THEN k END AS frames, CASE WHEN good THEN k / 8e0 END AS duration, CASE WHEN NOT good THEN 'unreadable' WHEN k / 8e0 > 10 THEN 'too_long' WHEN k / 8e0 < 1 THEN 'too_short' END AS reason FROM y""",
+        "media_containers": """WITH v AS (SELECT s_suppkey AS k, s_suppkey % 50 + 2 AS n, CASE WHEN s_suppkey % 7 = 0 THEN 'box moov is cut off' WHEN s_suppkey % 11 = 0 THEN 'no video track' END AS error FROM supplier)
+SELECT CAST(k AS VARCHAR) AS id, CASE WHEN error IS NULL THEN n END AS frames, CASE WHEN error IS NULL THEN 24e0 / (k % 4 + 1) END AS fps, error,
+CASE WHEN error IS NOT NULL THEN 'unreadable' WHEN n < 10 THEN 'too_few_frames' END AS reason FROM v""",
         "reward_session": f"SELECT sid, overall, accuracy FROM ({O.ADAPTIVE_GLOBAL} SELECT sid, batch_id, {O.R6('(0.9e0 * (' + O.tversky('al', 'be') + ') + 0.1e0 * fmt)')} AS overall, {O.R6(O.tversky('al', 'be'))} AS accuracy FROM y) WHERE batch_id < 3",
         "reward_settings": values({f"reward.{k}": v for k, v in settings.items()} | {f"controller.{k}": as_text(v) for k, v in resolved.items()}) + f" UNION ALL SELECT 'controller.sha256', sha256({text(canon)})",
         "config_documents": values(documents),
