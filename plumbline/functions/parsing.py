@@ -117,10 +117,8 @@ class Parser:
         self.ids, self.format, self.scope, self.simple = taxonomy.ids, response_format, scope, output_style == "simple"
         self.sectioned = response_format != "plain"
         if self.simple:
-            for i in self.ids:
-                if not re.search(r"\w\Z", i):
-                    raise ValueError(f"the simple style needs ids that end in a letter or digit, not {i!r}")
-            self.alone = [re.compile(rf"(?<!\w){re.escape(i)}(?!\w)", re.I) for i in self.ids]
+            # an id that ends in a dot or hyphen has its boundary where a letter or digit follows
+            self.alone = [re.compile(rf"\b{re.escape(i)}\b", re.I) for i in self.ids]
             self.prefix = re.compile(rf"{re.escape(taxonomy.block_name)}\s*:", re.I) if require_block_prefix else None
             self.why = f"'{taxonomy.block_name}:' prefix not found"
         else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.labels import index_of
 from plumbline.functions.text import sft_target, video_path, with_video_token
 from plumbline.operators.selection import with_rank
+from plumbline.sources.shared import free_name
 from plumbline.taxonomy import Taxonomy
 
 
@@ -59,7 +60,8 @@ def oversample(rows: DataFrame, class_index: int, labels: str = "response") -> D
     merged = hits.unionByName(taken).withColumn("n", F.col("at") + F.sum("passed").over(so_far)).where("passed = 0")
     copies = merged.select("row.*", F.concat("x", F.lit(suffix), F.col("n").cast("string")).alias("__name")).withColumn("id", F.col("__name")).drop("__name")
     top = rows.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("__top"))
-    moved = with_rank(copies).crossJoin(F.broadcast(top)).withColumn("ord", (F.col("__top") + F.col("rank")).cast("bigint")).select(*rows.columns)
+    rank = free_name(rows, "__rank")
+    moved = with_rank(copies, name=rank).crossJoin(F.broadcast(top)).withColumn("ord", (F.col("__top") + F.col(rank)).cast("bigint")).select(*rows.columns)
     return rows.unionByName(moved)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import resolve_video
 from plumbline.sources.mp4 import is_mp4, read_mp4
 from plumbline.sources.records import DataError
-from plumbline.sources.shared import written
+from plumbline.sources.shared import free_name, written
 from plumbline.sources.stores import located
 from plumbline.sources.versions import VersionedTable
 
@@ -24,18 +24,19 @@ REASONS = ("suffix", "unreadable", "too_long", "too_short", "too_few_frames")
 PLACES = 1 << 33
 
 
-def with_rank(records: DataFrame, order: str = "ord") -> DataFrame:
-    """rank from 0 in the order of a column, without one task that sees all rows: sorted ranges are numbered side by
+def with_rank(records: DataFrame, order: str = "ord", name: str = "rank") -> DataFrame:
+    """rank (or another name) from 0 in the order of a column, without one task that sees all rows: sorted ranges are numbered side by
     side, and each begins after the rows of the ranges before it.
 
     Ranges depend on sampled bounds, so rows are dealt out and numbered once, in a written table.
     """
     ranged = records.repartitionByRange(order).sortWithinPartitions(order)
-    table = written(ranged.withColumn("__at", F.monotonically_increasing_id()), records.sparkSession)
-    part, place = F.floor(F.col("__at") / PLACES), F.col("__at") % PLACES
-    sized = table.groupBy(part.alias("__of")).agg(F.count("*").alias("n"))
-    starts = sized.select("__of", (F.sum("n").over(W.orderBy("__of")) - F.col("n")).alias("__start"))
-    return table.join(F.broadcast(starts), part == F.col("__of")).withColumn("rank", F.col("__start") + place).drop("__at", "__of", "__start")
+    at, of, start = (free_name(records, n) for n in ("__at", "__of", "__start"))
+    table = written(ranged.withColumn(at, F.monotonically_increasing_id()), records.sparkSession)
+    part, place = F.floor(F.col(at) / PLACES), F.col(at) % PLACES
+    sized = table.groupBy(part.alias(of)).agg(F.count("*").alias("n"))
+    starts = sized.select(of, (F.sum("n").over(W.orderBy(of)) - F.col("n")).alias(start))
+    return table.join(F.broadcast(starts), part == F.col(of)).withColumn(name, F.col(start) + place).drop(at, of, start)
 
 
 def select_records(records: DataFrame, n: int, seed: int, method: str) -> DataFrame:
@@ -53,9 +54,10 @@ def select_records(records: DataFrame, n: int, seed: int, method: str) -> DataFr
     if method == "sorted_index_sample":
         drawn.sort()
     spark = records.sparkSession
-    chosen = spark.createDataFrame(list(enumerate(drawn)), "__place bigint, __rank bigint")
-    joined = with_rank(records).join(chosen, F.col("rank") == F.col("__rank"))
-    return joined.withColumn("ord", F.col("__place")).drop("rank", "__rank", "__place")
+    place, rank, own = (free_name(records, n) for n in ("__place", "__rank", "__own"))
+    chosen = spark.createDataFrame(list(enumerate(drawn)), f"`{place}` bigint, `{rank}` bigint")
+    joined = with_rank(records, name=own).join(chosen, F.col(own) == F.col(rank))
+    return joined.withColumn("ord", F.col(place)).drop(own, rank, place)
 
 
 def select_by_manifest(records: DataFrame, manifest: DataFrame) -> DataFrame:

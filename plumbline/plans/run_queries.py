@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -12,14 +13,16 @@ from pyspark.sql import functions as F
 
 from plumbline import config
 from plumbline.operators import controller as ctl
-from plumbline.operators import predict, records, rewards, selection
+from plumbline.operators import evaluate, metrics, predict, records, rewards, selection
 from plumbline.plans import fixtures as X
 from plumbline.plans import inference, prompts
 from plumbline.plans.recipe import run_recipe
 from plumbline.sources import stores
 from plumbline.sources.ordered import write_ordered
+from plumbline.sources.records import load_records
 from plumbline.sources.shared import put_text, shared_folder
 from plumbline.sources.versions import VersionedTable
+from plumbline.streaming.predictions import StreamingPredictions
 from plumbline.taxonomy import load_taxonomy
 
 TAX, IDS, K = X.TAXONOMY, X.IDS, X.K
@@ -70,6 +73,43 @@ def predict_run(spark, sf):
     return made.select("id", "status", F.array_join("labels", ",").alias("labels"), "unsafe", "explanation", "error", F.lit(done["status"]).alias("run"))
 
 
+def predict_stream(spark, sf):
+    """The same predictions on a stream: one batch, a restart, and another one that repeats some of the ids."""
+    root = shared_folder(spark)
+    inputs = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("v"), "p_partkey", F.lit(".mp4")).alias("video"))
+    for part in (inputs.where("CAST(id AS INT) % 2 = 0"), inputs.where("CAST(id AS INT) % 3 > 0"), inputs):
+        part.coalesce(2).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(inputs.schema).parquet(f"{root}/in")
+        sink = StreamingPredictions(NumberBackend, TAX, f"{root}/out", scope="answer_only")
+        sink.start(stream, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return sink.made(spark).select("id", "status", F.array_join("labels", ",").alias("labels"), "unsafe", "explanation", "error")
+
+
+def eval_from_records(spark, sf):
+    """Metrics of a record file's truth against a prediction for each record, under the strict policies."""
+    path = shared_folder(spark) + "/records.jsonl"
+    line = F.to_json(F.struct(F.col("sid").alias("id"), F.concat(F.lit("v/"), "sid").alias("video"), F.col("gt").alias("labels"), F.lit(1).alias("rank")))
+    rows = X.samples(spark, sf)
+    write_ordered(rows.select("sid", line.alias("line")), "sid", path)
+    truth = evaluate.ground_truth(load_records(spark, path, TAX), TAX)
+    made = rows.select("sid", F.col("sid").cast("string").alias("id"), F.lit("ok").alias("status"), F.col("pred").alias("labels")).drop("sid")
+    for df, what in ((truth, "ground truth"), (made, "prediction")):
+        evaluate.require_unique(df, what)
+    joined = evaluate.join_predictions(truth, made)
+    evaluate.check_policies(joined, "error", "error")
+    found = metrics.summary(evaluate.apply_policies(joined, "error", "error"), TAX, only=("num_samples", "jaccard_similarity", "exact_match_ratio", "micro_f1"))
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
+
+
+DRAWN, SEED = 150, 7
+
+
+def select_random(spark, sf):
+    """A seeded draw of records in the order of the draw."""
+    rows = X.samples(spark, sf).select(F.col("sid").alias("ord"), F.col("sid").cast("string").alias("id"), F.lit("kept").alias("rank"))
+    return selection.select_records(rows, DRAWN, SEED, "random_sample").select("ord", "id", "rank")
+
+
 # recipes
 
 RECIPE = """
@@ -228,7 +268,7 @@ def prompt_texts(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (predict_run, recipe_rows, recipe_manifests, media_missing, media_probes, media_containers, reward_session)
+    for f in (predict_run, predict_stream, eval_from_records, select_random, recipe_rows, recipe_manifests, media_missing, media_probes, media_containers, reward_session)
 }
 #: Settings and texts that come from no table: their SQL states what they should be, and a unit test compares the two.
 SETTINGS = {f.__name__: f for f in (reward_settings, config_documents, inference_settings, request_messages, prompt_texts)}
@@ -289,7 +329,16 @@ RESULT = {
         "scalar.null": "null", "path.s3://b/x": "s3://b/x", "path./abs/x": "/abs/x", "path.nowhere/x": "nowhere/x",
     }
     said = {f"{p}.system": "Be brief." for p in inference.POSITIONS} | {"after.user": "Look.|v.mp4@2.0", "before.user": "v.mp4@2.0|Look.", "placeholder.user": "Look at |v.mp4@2.0| now."}
+    predicted = f"""WITH p AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN 'video_error' WHEN p_partkey % 5 = 0 OR p_partkey % 13 = 0 THEN 'generation_error' WHEN p_partkey % 17 = 0 THEN 'partial' ELSE 'ok' END AS status FROM part)
+SELECT CAST(n AS VARCHAR) AS id, status, CASE WHEN status IN ('ok', 'partial') THEN {labels} END AS labels, CASE WHEN status NOT IN ('ok', 'partial') THEN NULL WHEN {flagged} THEN true WHEN status = 'ok' THEN false END AS unsafe,
+CASE WHEN status IN ('ok', 'partial') THEN CAST(n AS VARCHAR) END AS explanation, CASE WHEN n % 7 = 0 THEN 'OSError: cannot open' WHEN n % 5 = 0 THEN 'RuntimeError: lost' WHEN n % 13 = 0 THEN 'no output' END AS error FROM p"""
+    # the draw is Python's generator, so it stands here for each number of orders that the tables have
+    draws = ", ".join(f"({total}, {k}, {i})" for total in (1_500, 15_000, 150_000) for k, i in enumerate(random.Random(SEED).sample(range(total), DRAWN)))
     return {
+        "predict_stream": predicted,
+        "eval_from_records": O.summary_sql(("num_samples", "jaccard_similarity", "exact_match_ratio", "micro_f1")),
+        "select_random": f"""WITH d(total, k, i) AS (VALUES {draws}), o AS (SELECT o_orderkey AS sid, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM (SELECT DISTINCT o_orderkey FROM orders))
+SELECT CAST(k AS BIGINT) AS ord, CAST(sid AS VARCHAR) AS id, 'kept' AS rank FROM o JOIN d ON o.i = d.i AND o.total = d.total""",
         "predict_run": f"""WITH p AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN 'video_error' WHEN p_partkey % 5 = 0 OR p_partkey % 13 = 0 THEN 'generation_error' WHEN p_partkey % 17 = 0 THEN 'partial' ELSE 'ok' END AS status FROM part)
 SELECT CAST(n AS VARCHAR) AS id, status, CASE WHEN status IN ('ok', 'partial') THEN {labels} END AS labels, CASE WHEN status NOT IN ('ok', 'partial') THEN NULL WHEN {flagged} THEN true WHEN status = 'ok' THEN false END AS unsafe,
 CASE WHEN status IN ('ok', 'partial') THEN CAST(n AS VARCHAR) END AS explanation, CASE WHEN n % 7 = 0 THEN 'OSError: cannot open' WHEN n % 5 = 0 THEN 'RuntimeError: lost' WHEN n % 13 = 0 THEN 'no output' END AS error, 'complete' AS run FROM p""",

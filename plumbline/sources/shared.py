@@ -90,3 +90,16 @@ def get_text(spark: SparkSession, uri: str) -> str | None:
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
     return spark.read.text(uri, wholetext=True).first()[0]
+
+
+def shared_schema(df: DataFrame) -> dict:
+    """A table's schema as a document, every column nullable, as files have it."""
+    return {**df.schema.jsonValue(), "fields": [{**f, "nullable": True} for f in df.schema.jsonValue()["fields"]]}
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A helper column's name that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -148,3 +148,66 @@ def test_shared_folder_is_refused_off_one_machine():
     with pytest.raises(ValueError, match="checkpoint.dir"):
         shared._FOLDERS.pop(None, None)
         shared.shared_folder(Session())
+
+
+def test_streamed_predictions_are_made_once(spark, tmp_path):
+    from plumbline.plans.run_queries import NumberBackend
+    from plumbline.streaming import predictions as streaming
+    from tests.responses import TAX
+
+    def files(name, ids):
+        spark.createDataFrame([(str(k), f"v{k}.mp4") for k in ids], "id string, video string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("id string, video string").parquet(str(tmp_path / "in"))
+        sink = streaming.StreamingPredictions(NumberBackend, TAX, f"file://{tmp_path}/out", scope="answer_only")
+        sink.start(stream, str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+        return sink
+
+    put, broken = streaming.put_text, []
+
+    def breaks_off(spark, uri, text):
+        broken.append(uri)
+        raise OSError("lost before the commit")
+
+    files("a", [*range(1, 20), 3, 3])
+    assert run().made(spark).count() == 19
+    files("b", range(10, 40))
+    streaming.put_text = breaks_off
+    try:
+        with pytest.raises(Exception, match="lost before the commit"):
+            run()
+    finally:
+        streaming.put_text = put
+    reader = streaming.StreamingPredictions(NumberBackend, TAX, f"file://{tmp_path}/out")
+    assert broken and reader.committed(spark) == [0] and reader.made(spark).count() == 19  # the folder of the broken batch is there, and not seen
+    sink = run()
+    found = [r.id for r in sink.made(spark).collect()]
+    assert sink.committed(spark) == [0, 1] and sorted(found, key=int) == [str(k) for k in range(1, 40)]
+    files("c", [])
+    files("d", [1, 2])
+    assert run().made(spark).count() == 39
+
+
+def test_records_may_have_columns_of_any_name(spark):
+    from plumbline.operators import builders, selection
+    from tests.responses import TAX
+
+    names = ["rank", "__at", "__of", "__start", "__rank", "__place", "__own", "row", "x", "at", "passed", "n", "__name", "__top"]
+    rows = spark.createDataFrame([(k, f"i{k}", "v", [2], *["kept"] * len(names)) for k in range(20)], f"ord bigint, id string, video string, response array<bigint>, {', '.join(f'`{n}` string' for n in names)}")
+    some = selection.select_records(rows, 7, 3, "sorted_index_sample")
+    assert some.columns == rows.columns and {tuple(r)[4:] for r in some.collect()} == {("kept",) * len(names)} and some.count() == 7
+    more = builders.oversample(rows.drop("__top", "__name"), 2)
+    assert more.count() == 40 and {r["rank"] for r in more.collect()} == {"kept"}
+
+
+def test_simple_style_takes_every_legal_id():
+    import re
+
+    from plumbline.functions.parsing import Parser
+    from plumbline.taxonomy import load_taxonomy
+
+    taxonomy = load_taxonomy({"name": "odd", "block_name": "RESULT", "categories": [{"id": i, "name": i} for i in ("a.", "b-", "c")]})
+    parser = Parser(taxonomy, "plain", "simple", "full_response", False)
+    for text in ("a.b", "a. b", "b-c", "B- c", "abc", "a.", "", "xa.y", "c"):
+        assert parser.decisions(text) == [re.search(rf"\b{re.escape(i)}\b", text, re.I) is not None for i in taxonomy.ids]
