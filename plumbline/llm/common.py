@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import discard, discard_folder, shared_folder, shuffled_once, written  # noqa: F401
+from plumbline.sources.shared import discard, discard_folder, free_name, shared_folder, shuffled_once, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,8 @@ def about(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     if n <= most:
         return rows
     drawn = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(1 << 30))
-    return rows.withColumn("__drawn", drawn).where(F.col("__drawn") < int(most / n * (1 << 30))).drop("__drawn")
+    name = free_name(rows, "__drawn")
+    return rows.withColumn(name, drawn).where(F.col(name) < int(most / n * (1 << 30))).drop(name)
 
 
 def utf8(text: str | None) -> bytes:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import utf8, written
+from plumbline.llm.common import free_name, utf8, written
 
 #: Maps A-Z to a-z, keeps a-z, digits and all bytes from 0x80, and makes all others spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -282,7 +282,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, spark: SparkSession,
     at, sent = docs.columns.index(text), _sent(docs, benchmark, spark, width, small, text)
     if sent is None:
         hits = _occurrences(docs, written(_windows(benchmark, width), spark), spark, width, text)
-        return docs.join(hits.select(F.col("key").alias("__key")).distinct(), _key(text) == F.col("__key"), "left_anti")
+        name = free_name(docs, "__key")
+        return docs.join(hits.select(F.col("key").alias(name)).distinct(), _key(text) == F.col(name), "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = pickle.loads(sent.value)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import utf8, written
+from plumbline.llm.common import free_name, utf8, written
 from plumbline.llm.components import connected_components
 from plumbline.llm.minhash import similar_links
 
@@ -243,11 +243,13 @@ def near_dedup(docs: DataFrame, spark: SparkSession, text: str = "text", width:
     their fingerprints, so rows of one id with unrelated texts each stand for their own. A row without an id can't
     stand for a group and can't be named as a copy, so it stays; it links others like any row.
     With ``similar``, texts whose five-word shingles have that Jaccard similarity or more are linked as well."""
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    fps = written(with_fingerprints(keyed, text, width, ["_key"]), spark)
+    name = free_name(docs, "_key")
+    keyed = docs.withColumn(name, F.xxhash64(text))
+    plain = keyed.select("doc_id", F.col(text).alias("text"), F.col(name).alias("_key"))
+    fps = written(with_fingerprints(plain, "text", width, ["_key"]), spark)
     roots = _roots(fps, spark, radius)
     if similar is not None:
-        texts = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+        texts = plain.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
         texts = written(texts.join(fps.select(F.col("_key").alias("key"), "fp").distinct(), "key"), spark)
         links = similar_links(texts, roots, spark, similar)
         known = roots.select(F.col("fp_of").alias("a"), F.col("root").alias("b"))
@@ -255,5 +257,5 @@ def near_dedup(docs: DataFrame, spark: SparkSession, text: str = "text", width:
         roots = roots.select("fp_of").join(groups, F.col("fp_of") == groups.node, "left").select("fp_of", F.coalesce("root", "fp_of").alias("root"))
     best = fps.where("doc_id is not null").join(roots, fps.fp == roots.fp_of).groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("kept"))
     keep = best.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept._key").alias("kept_key"))
-    kept = keyed.join(keep, (keyed.doc_id == keep.kept_id) & (keyed["_key"] == keep.kept_key), "left_semi").dropDuplicates(["doc_id", "_key"])
-    return kept.drop("_key").unionByName(docs.where("doc_id is null"))
+    kept = keyed.join(keep, (keyed.doc_id == keep.kept_id) & (keyed[name] == keep.kept_key), "left_semi").dropDuplicates(["doc_id", name])
+    return kept.drop(name).unionByName(docs.where("doc_id is null"))

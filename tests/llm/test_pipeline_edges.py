@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import toxicity
+from plumbline.llm import decontaminate, simhash, toxicity
 
 GOOD = "A quiet morning by the river, with boats and birds, and people who walk along the water. " * 3
 WINDOW = "these ten words stand in one item of the benchmark"
@@ -60,3 +60,20 @@ def test_labels_without_rows_and_one_kind_only(spark, tmp_path):
 @pytest.mark.parametrize("text", ["idiot " * 50_000, '"' * 50_000 + " idiot", "." * 50_000, "you " * 50_000 + "will kill you"])
 def test_long_clauses_are_read_whole(text):
     assert (toxicity.Grammar().channels(text)[:5] > 0).any() == any(w in text for w in ("idiot idiot", "kill"))
+
+
+def test_columns_of_any_name_are_carried(spark, tmp_path):
+    names = ["_key", "__key", "key", "fp", "root", "rank", "place", "N", "__drawn", "kept_id", "near", "y"]
+    rows = [(1, GOOD), (2, GOOD), (3, GOOD + " " + WINDOW + " " + GOOD), (4, "Some other text of good words, with a full stop."), (None, GOOD)]
+    table = spark.createDataFrame([(i, t, *names) for i, t in rows], f"doc_id bigint, text string, {', '.join(f'`{n}` string' for n in names)}")
+    folder(spark, tmp_path, [])
+    sf = str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, table, sf)
+        assert kept.columns == table.columns, name
+        assert {tuple(r)[2:] for r in kept.collect()} == {tuple(names)}, name
+    assert sorted(r.doc_id or 0 for r in simhash.near_dedup(table, spark).collect()) == [0, 1, 3, 4]
+    assert sorted(r.doc_id or 0 for r in simhash.near_dedup(table, spark, similar=0.8).collect()) == [0, 1, 3, 4]
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for small in (8 << 20, 0):  # both plans
+        assert sorted(r.doc_id or 0 for r in decontaminate.clean_documents(table, items, spark, small=small).collect()) == [0, 1, 2, 4]
