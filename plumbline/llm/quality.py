@@ -49,9 +49,10 @@ FEATURES = (
     "line_words", "same_lines", "ends", "capital_words", "odd_words", "shouted", "long_words", "short_words", "pairs", "high_bytes",
 )
 BINS = 8
-#: Positives that a fit needs at least; ridge of the weights times their number; one row in so many counts for curvature; lengths of a
-#: step that are tried.
-FEWEST, RIDGE, CURVED, LENGTHS = 20, 2.0, 8, np.array([1.0, 0.5, 0.2, 0.05])
+#: Positives that a fit needs at least; ridge of the weights times their number; lengths of a step that are tried.
+FEWEST, RIDGE, LENGTHS = 20, 2.0, np.array([1.0, 0.5, 0.2, 0.05])
+#: Tasks that add up the sums of all others, so that many tasks send no more to the driver than these few.
+ADDERS = 16
 
 
 def features(text: str | None) -> np.ndarray:
@@ -117,9 +118,8 @@ class Sums:
     def of(cls, u: np.ndarray, points: np.ndarray) -> Sums:
         g = u @ points.T
         share = _sigmoid(g)
-        some = u[::CURVED]  # curvature only shapes the step, so part of the rows is enough
-        bend = share[::CURVED] * (1 - share[::CURVED])
-        curvature = np.stack([(some * bend[:, [k]]).T @ some for k in range(len(points))]) * (len(u) / max(1, len(some)))
+        bend = share * (1 - share)
+        curvature = np.stack([(u * bend[:, [k]]).T @ u for k in range(len(points))])
         return cls(len(u), np.logaddexp(0, g).sum(0), share.T @ u, curvature)
 
     def __add__(self, other: Sums) -> Sums:
@@ -193,7 +193,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _reduced(rows: DataFrame, map_: Callable[[np.ndarray], tuple]) -> list:
-    """What ``map_`` makes of every batch's features, added up within tasks and then here; None where there are no rows."""
+    """What ``map_`` makes of every batch's features, added up within tasks, then by ADDERS tasks, and then here; None where there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -204,7 +204,17 @@ def _reduced(rows: DataFrame, map_: Callable[[np.ndarray], tuple]) -> list:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["sums"])
 
-    parts = [pickle.loads(r.sums) for r in rows.select("x").mapInArrow(run, "sums binary").collect()]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(0):
+                part = pickle.loads(x.as_py())
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["sums"])
+
+    added = rows.select("x").mapInArrow(run, "sums binary").repartition(ADDERS).mapInArrow(add, "sums binary")
+    parts = [pickle.loads(r.sums) for r in added.collect()]
     return functools.reduce(lambda a, b: a + b, parts) if parts else None
 
 

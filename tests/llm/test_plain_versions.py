@@ -303,3 +303,28 @@ def test_samples_stay_bounded_where_one_id_is_everywhere(spark):
     assert 200 < kept < 400 and about(table, 3000, "doc_id").count() == 3000
     model = quality.learn(table, labels, spark, F.lit(True), sample=300)
     assert quality.scores(table, model, spark).count() == 3000
+
+
+def test_sums_of_many_tasks_meet_in_few(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import quality
+
+    x = np.random.default_rng(3).normal(size=(700, len(quality.FEATURES)))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(200)
+    points = np.random.default_rng(4).normal(size=(3, x.shape[1]))
+    found, whole = quality._reduced(rows, lambda u: quality.Sums.of(u, points)), quality.Sums.of(x, points)
+    assert found.rows == whole.rows == 700
+    for name in ("losses", "gradients", "curvature"):
+        np.testing.assert_allclose(getattr(found, name), getattr(whole, name), rtol=1e-9)
+    share = 1 / (1 + np.exp(-(x @ points[1])))
+    np.testing.assert_allclose(whole.curvature[1], sum(s * (1 - s) * np.outer(u, u) for s, u in zip(share, x)), rtol=1e-8)
+    assert quality._reduced(rows.where(F.lit(False)), lambda u: quality.Sums.of(u, points)) is None
+    sent = []
+    collect, frame = type(rows).collect, type(rows)
+    frame.collect = lambda self: sent.append(collect(self)) or sent[-1]
+    try:
+        quality._reduced(rows, lambda u: quality.Sums.of(u, points))
+    finally:
+        frame.collect = collect
+    assert len(sent[0]) <= quality.ADDERS
