@@ -13,8 +13,9 @@ runs of ranks that go to one shard at consecutive slots. Rows then find their ru
 numbered inside each cell, a ``cells``-th of all rows.
 
 The hash covers id and text, so rows that repeat an id still spread, and copies of a text don't share a cell. Rows equal in both
-do; a cell of over ``HOT`` times its share of rows (and ``FEW``) is numbered in ``SALTS`` parts side by side, by the partition that wrote the row,
-and each part's ranks begin after those of the parts before it. At most a ``HOT``-th of the cells are such.
+do. In a cell of over ``HOT`` times its share of rows (and ``FEW``), which at most a ``HOT``-th of the cells are, a row that alone makes up over half of
+such a number comes after the other rows; its copies are numbered in ``SALTS`` parts side by side, each part after those before it. Places thus
+depend on the rows alone, not on how the input is partitioned.
 Null ids and texts hash like any value; a null text has no bytes. Rows equal in id and text are interchangeable:
 which of them gets which slot is not defined. An empty table gives no rows. Extra columns are ignored.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
-#: A cell is numbered in parts where it has over HOT times its share of rows, and over FEW.
+#: A cell is hot where it has over HOT times its share of rows, and over FEW; copies of a row in it are numbered in SALTS parts.
 HOT, FEW, SALTS = 16, 1 << 16, 64
 
 
@@ -77,6 +78,24 @@ def runs(counts: dict[int, int], shards: int, vnodes: int, cells: int) -> list[t
     return out
 
 
+def _ranked(rows: DataFrame, counts: dict[int, int], limit: int) -> DataFrame:
+    """The rows with their number in their cell, from 0: by hash, and in hot cells the rows with very many copies last."""
+    order, whole = ("h", "doc_id", "text_crc32"), lambda *by: F.row_number().over(W.partitionBy("cell", *by).orderBy(*order)).cast("bigint") - 1
+    hot = [c for c, n in counts.items() if n > limit]
+    if not hot:
+        return rows.withColumn("rank", whole())
+    # no more than 2 * cells / HOT rows can have so many copies
+    often = rows.where(F.col("cell").isin(hot)).groupBy("cell", *order).agg(F.count("*").alias("n")).where(F.col("n") > limit // 2)
+    often = often.select((whole() + 1).alias("group"), *(F.col(c).alias("often_" + c) for c in ("cell", *order)))
+    same = [F.col(c).eqNullSafe(F.col("often_" + c)) for c in ("cell", *order)]
+    marked = rows.join(F.broadcast(often), same, "left").fillna(0, ["group"]).withColumn("salt", F.when(F.col("group") > 0, F.col("salt")).otherwise(0))
+    parts = marked.where(F.col("cell").isin(hot)).groupBy("cell", "group", "salt").agg(F.count("*").alias("n"))
+    before = (F.sum("n").over(W.partitionBy("cell").orderBy("group", "salt")) - F.col("n")).alias("before")
+    begins = F.broadcast(parts.select("cell", "group", "salt", before))
+    numbered = marked.withColumn("rank", whole("group", "salt")).join(begins, ["cell", "group", "salt"], "left")
+    return numbered.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+
+
 def shard_documents(docs: DataFrame, spark: SparkSession, shards: int = 24, vnodes: int = 64, cells: int = 16384, text: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard and slot of every row."""
     bits = cells.bit_length() - 1
@@ -93,17 +112,10 @@ def shard_documents(docs: DataFrame, spark: SparkSession, shards: int = 24, vnod
         spark,
     )
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    hot = [c for c, n in counts.items() if n > max(FEW, HOT * sum(counts.values()) // cells)]
-    rows = rows.withColumn("salt", F.when(F.col("cell").isin(hot), F.col("salt")).otherwise(0))
-    before = rows.where(F.col("cell").isin(hot)).groupBy("cell", "salt").agg(F.count("*").alias("n"))
-    before = before.select(F.col("cell").alias("hot_cell"), F.col("salt").alias("hot_salt"), (F.sum("n").over(W.partitionBy("cell").orderBy("salt")) - F.col("n")).alias("before"))
     kind = "array<struct<cell:int,first:bigint,stop:bigint,shard:int,slot:bigint>>"
     text_of = json.dumps([dict(zip(("cell", "first", "stop", "shard", "slot"), r)) for r in runs(counts, shards, vnodes, cells)])
     placed = spark.range(1).select(F.inline(F.from_json(F.lit(text_of), kind))).withColumnRenamed("cell", "of_cell")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("cell", "salt").orderBy("h", "doc_id", "text_crc32")).cast("bigint") - 1)
-    if hot:
-        ranked = ranked.join(F.broadcast(before), (F.col("cell") == F.col("hot_cell")) & (F.col("salt") == F.col("hot_salt")), "left")
-        ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    ranked = _ranked(rows, counts, max(FEW, HOT * sum(counts.values()) // cells))
     own = (F.col("cell") == F.col("of_cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))
     return ranked.join(F.broadcast(placed), own).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot")

@@ -178,6 +178,17 @@ def test_ring_with_a_hot_cell(spark, monkeypatch):
     assert set(sizes) == {50}
 
 
+def test_places_in_hot_cells_depend_on_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FEW", 50)
+    monkeypatch.setattr(sharding, "HOT", 4)
+    rows = [(i, f"text {i}") for i in range(1999)] + [(None, "again and again")] * 500 + [(7, None)] * 400
+    places = []
+    for parts in (3, 16):
+        found = sharding.shard_documents(docs(spark, rows).repartition(parts), spark, 6, 2, 32).collect()
+        places.append(sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.shard, r.slot) for r in found))
+    assert places[0] == places[1] and len({p[2:] for p in places[0]}) == len(rows)
+
+
 # positive-unlabelled risk
 
 
