@@ -15,6 +15,7 @@ from plumbline.functions import parsing as P
 from plumbline.operators import builders, records, rewards
 from plumbline.operators import controller as ctl
 from plumbline.plans import fixtures as X
+from plumbline.plans.preflight import PreflightError, check_rl
 from plumbline.sources import adapters, sinks
 from plumbline.sources.lines import read_id_manifest
 from plumbline.sources.ordered import write_ordered
@@ -108,6 +109,31 @@ def sink_rl_parquet(spark, sf):
     return spark.read.parquet(path).select("id", "video_path", "prompt", F.array_join(F.transform("response", lambda x: (x * 10).cast("string")), ",").alias("response"))
 
 
+def sink_rows_fingerprint(spark, sf):
+    """Digests of training files' rows, in the order of the files and in that of ids."""
+    path = shared_folder(spark) + "/rl"
+    sinks.write_rl_parquet(builders.rl_rows(_record_rows(spark, sf), TAX, "task", "index", "/data"), path)
+    orders = {"place": sinks.placed_rows(spark, path), "id": spark.read.parquet(path).withColumn("key", F.col("id").cast("bigint"))}
+    found = [(k, *sinks.rows_fingerprint(df, "key" if k == "id" else k)) for k, df in orders.items()]
+    return spark.createDataFrame(found, "by string, sha256 string, n bigint")
+
+
+def preflight_rl(spark, sf):
+    """What a check of training files against pinned digests notes, with the digests of all their rows."""
+    folder = shared_folder(spark)
+    rows = builders.rl_rows(_record_rows(spark, sf), TAX, "task", "index", "s3://data")
+    for split, part in (("train", rows.where("ord % 5 > 0")), ("val", rows.where("ord % 5 = 0"))):
+        sinks.write_rl_parquet(part, f"{folder}/{split}.parquet")
+    pinned = {f"{split}_files": sinks.rows_fingerprint(sinks.placed_rows(spark, f"{folder}/{split}.parquet"), "place")[0] for split in ("train", "val")}
+    files, reward = (f"{folder}/train.parquet", f"{folder}/val.parquet"), {"taxonomy": "safewatch", "reward": "jaccard"}
+    said = {"same": check_rl(spark, *files, reward, pinned=pinned), "swapped": check_rl(spark, *files[::-1], reward, pinned=pinned)}
+    try:
+        check_rl(spark, files[0], f"{folder}/none.parquet", reward | {"reward": "none"})
+    except PreflightError as e:
+        said["faults"] = [p.split(":")[0] for p in e.problems]
+    return spark.createDataFrame([(k, v) for k, vs in (said | {k: [v] for k, v in pinned.items()}).items() for v in vs], "name string, value string")
+
+
 def source_rl_parquet(spark, sf):
     path = shared_folder(spark) + "/rl"
     sinks.write_rl_parquet(builders.rl_rows(_record_rows(spark, sf), TAX, "task", "id", "/data"), path)
@@ -270,7 +296,7 @@ def reward_diagnostics(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        source_records, source_record_errors, source_jsonl, source_inputs, sink_id_manifest, sink_checksums, sink_rl_parquet, source_rl_parquet, source_chat_jsonl,
+        source_records, source_record_errors, source_jsonl, source_inputs, sink_id_manifest, sink_checksums, sink_rl_parquet, sink_rows_fingerprint, preflight_rl, source_rl_parquet, source_chat_jsonl,
         sink_dataset_info, source_label_list, source_folder_annotations, source_benchmark_annotations, validation_report,
         parse_triple_newline, parse_answer_or_full, controller_resumed, controller_initialised, reward_diagnostics,
     )
@@ -303,6 +329,9 @@ def oracle_sql() -> dict[str, str]:
         if a not in started:
             raise ValueError("the recursion has another form")
         started = started.replace(a, b)
+    indexes = f"concat_ws(', ', {', '.join(f'CASE WHEN t{k} = 1 THEN {k} END' for k in K)})"
+    row = f"""'{{{{"id": "' || id || '", "prompt": "task <video>", "response": [' || {indexes} || '], "video_path": "/data/' || video || '"}}}}' || chr(10)"""
+    digest = f"sha256(string_agg({row}, '' ORDER BY {{order}}))"
     return {
         "source_records": f"{head} SELECT row_number() OVER (ORDER BY ord) AS ord, id, video, {names} AS labels, ord % 5 AS grade FROM v",
         "source_record_errors": f"SELECT o_orderkey AS sid, CASE WHEN o_orderkey % {len(CASES)} = {len(CASES) - 1} THEN '7' END AS id, CASE o_orderkey % {len(CASES)} {said} END AS error FROM orders",
@@ -313,6 +342,9 @@ SELECT CASE WHEN k % 4 > 0 THEN 'p' || k ELSE v END AS id, CASE WHEN k % 3 = 2 T
         "sink_checksums": f"""{head} SELECT 'ids.txt' AS name, sha256('# all' || chr(10) || string_agg(id || chr(10), '' ORDER BY ord)) AS sha256 FROM v
 UNION ALL SELECT 'more/even.txt', sha256(string_agg(id || chr(10), '' ORDER BY ord)) FROM v WHERE ord % 2 = 0""",
         "sink_rl_parquet": f"{head} SELECT id, '/data/' || video AS video_path, 'task <video>' AS prompt, concat_ws(',', {', '.join(f'CASE WHEN t{k} = 1 THEN {k * 10} END' for k in K)}) AS response FROM v",
+        "sink_rows_fingerprint": f"{head}, d AS (SELECT {digest.format(order='ord')} AS sha256, count(*) AS n FROM v) SELECT 'place' AS \"by\", * FROM d UNION ALL SELECT 'id', * FROM d",
+        "preflight_rl": f"""{head} SELECT CASE WHEN ord % 5 = 0 THEN 'val_files' ELSE 'train_files' END AS name, {digest.format(order='ord').replace("/data/", "s3://data/")} AS value FROM v GROUP BY 1
+UNION ALL VALUES ('swapped', 'train_files isn''t the pinned data'), ('swapped', 'val_files isn''t the pinned data'), ('faults', 'val_files not found'), ('faults', 'reward settings')""",
         "source_rl_parquet": f"{head} SELECT id, video, {names} AS labels, sha256('task <video>') AS source_prompt_sha256 FROM v",
         "source_chat_jsonl": f"{head} SELECT row_number() OVER (ORDER BY ord) AS ord, id, video, {names} AS labels, ord % 5 AS grade FROM v",
         "sink_dataset_info": "SELECT lower(r_name) AS name, r_name || '.json' AS file_name, 'sharegpt' AS formatting, 'videos' AS videos, 'role' AS role_tag FROM region",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Mapping
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import resolve_video
 from plumbline.operators.rewards import RewardError, build_settings
-from plumbline.sources.sinks import rows_fingerprint
+from plumbline.sources import stores
+from plumbline.sources.sinks import placed_rows, rows_fingerprint
 from plumbline.taxonomy import TaxonomyError
 
 
@@ -26,7 +26,7 @@ class PreflightError(ValueError):
 
 
 def _lacks(paths: Mapping[str, Any]) -> list[str]:
-    return [f"{name} not found: {value}" for name, value in paths.items() if value is not None and not os.path.exists(str(value))]
+    return [f"{name} not found: {value}" for name, value in paths.items() if value is not None and not stores.exists(str(value))]
 
 
 def _model(reference: str) -> dict[str, str]:
@@ -48,13 +48,13 @@ def check_rl(spark: SparkSession, train: str, val: str, reward: Mapping[str, Any
         problems.append(f"reward settings: {e}")
     if problems:
         raise PreflightError(problems)
-    local = {k: v for k, v in files.items() if v.endswith(".parquet") and os.path.exists(v)}
-    notes = [f"{k} isn't the pinned data" for k, v in local.items() if (pinned or {}).get(k) and rows_fingerprint(spark.read.parquet(v))[0] != pinned[k]]
+    local = {k: v for k, v in files.items() if v.endswith(".parquet") and stores.exists(v)}
+    notes = [f"{k} isn't the pinned data" for k, v in local.items() if (pinned or {}).get(k) and rows_fingerprint(placed_rows(spark, v), "place")[0] != pinned[k]]
     if "train_files" in local:
-        base = image_dir if image_dir and os.path.isabs(image_dir) else os.path.join(os.path.abspath(run_folder), image_dir or "")
+        base = image_dir if image_dir and (os.path.isabs(image_dir) or "://" in image_dir) else os.path.join(os.path.abspath(run_folder), image_dir or "")
         first = spark.read.parquet(train).select("video_path").limit(videos)
         paths = [r.p for r in first.select(resolve_video(F.col("video_path"), base).alias("p")).collect()]
-        gone = [p for p in paths if "://" not in p and not os.path.exists(p)]
+        gone = [p for p in paths if "://" not in p and not stores.exists(p)]
         if gone:
             raise PreflightError([f"{len(gone)} of the first {videos} training videos not found, e.g. {gone[:3]}"])
     return notes
@@ -64,8 +64,9 @@ def check_chat(dataset_folder: str | None, names: str, model: str = "") -> None:
     """Every data set of a comma-separated list is in the folder's index, with its file."""
     problems = _lacks(_model(model))
     if dataset_folder:
-        index = Path(dataset_folder) / "dataset_info.json"
-        entries = json.loads(index.read_text(encoding="utf-8")) if index.exists() else None
+        folder = str(dataset_folder).rstrip("/")
+        index = f"{folder}/dataset_info.json"
+        entries = json.loads(stores.content(index)) if stores.exists(index) else None
         if entries is None:
             problems.append(f"{index} not found")
         else:
@@ -73,6 +74,6 @@ def check_chat(dataset_folder: str | None, names: str, model: str = "") -> None:
                 if name not in entries:
                     problems.append(f"data set {name!r} isn't in {index}")
                 else:
-                    problems += _lacks({f"file of data set {name!r}": index.parent / entries[name]["file_name"]})
+                    problems += _lacks({f"file of data set {name!r}": f"{folder}/{entries[name]['file_name']}"})
     if problems:
         raise PreflightError(problems)

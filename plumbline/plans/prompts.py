@@ -9,7 +9,7 @@ from typing import Any
 
 from plumbline.taxonomy import RESOURCES, Taxonomy
 
-# The instructions that follow a prompt in each response format, and the sentences of a task prompt.
+# The instructions that follow a prompt in each response format, and the text of a task prompt with its layout.
 SUFFIXES = {
     "think_answer": " Output the thinking process in <think> </think> and final answer in <answer> </answer> tags.",
     "triple_newline": " You first think about the reasoning process as an internal monologue and then provide the user with the answer. Respond in the following format: ...\\n\\n\\n...",
@@ -17,10 +17,32 @@ SUFFIXES = {
 }
 INTRO = "You are a video classification model. Your task is to analyze the video and decide which of the following categories it contains."
 ONLY_TRUE = "**Set the value to true ONLY for the categories present in the video. If none of them is present, set all values to false.**"
-PRESENCE = "**Analyze the video for the presence of the following {}:**"
-REFER = "**Refer to the detailed explanations of each category below:**"
-PROVIDE = "**Provide the result in the following JSON format:**"
-ENDING = '**The result must be the JSON format of "{0}", beginning with "{0}:"**'
+TASK_PROMPT = """\
+{intro}
+
+**Analyze the video for the presence of the following {subject}:**
+
+<BEGIN {title}>
+{listing}
+<END {title}>
+
+**Refer to the detailed explanations of each category below:**
+
+<BEGIN {title} EXPLANATIONS>
+{boxes}
+<END {title} EXPLANATIONS>
+
+**Provide the result in the following JSON format:**
+
+{block} = {{
+{keys}
+}}
+
+{rule}
+
+**The result must be the JSON format of "{block}", beginning with "{block}:"**"""
+#: The lists of a task prompt: how each shows a category, and what stands between two of them.
+LISTS = {"listing": ("{id}: {name};", " "), "boxes": ("<box>\n{id}: {name}:\n{text}\n</box>", "\n"), "keys": ('"{key}": boolean', ",\n")}
 
 
 class PromptError(ValueError):
@@ -29,21 +51,10 @@ class PromptError(ValueError):
 
 def render_task_prompt(taxonomy: Taxonomy, intro: str | None = None, subject: str = "categories", positive_rule: str | None = None) -> str:
     """A prompt that lists and explains the categories and asks for one JSON boolean each."""
-    title = subject.upper()
-    explained = (f"<box>\n{c.id}: {c.name}:\n{(c.description or c.name).strip()}\n</box>" for c in taxonomy.categories)
-    wanted = ",\n".join(f'"{taxonomy.output_key(c)}": boolean' for c in taxonomy.categories)
-    sections = (
-        (intro or taxonomy.description or INTRO).strip(),
-        PRESENCE.format(subject),
-        f"<BEGIN {title}>\n" + " ".join(f"{c.id}: {c.name};" for c in taxonomy.categories) + f"\n<END {title}>",
-        REFER,
-        "\n".join([f"<BEGIN {title} EXPLANATIONS>", *explained, f"<END {title} EXPLANATIONS>"]),
-        PROVIDE,
-        f"{taxonomy.block_name} = {{\n{wanted}\n}}",
-        positive_rule or ONLY_TRUE,
-        ENDING.format(taxonomy.block_name),
-    )
-    return "\n\n".join(sections)
+    shown = [{"id": c.id, "name": c.name, "text": (c.description or c.name).strip(), "key": taxonomy.output_key(c)} for c in taxonomy.categories]
+    lists = {part: between.join(layout.format_map(c) for c in shown) for part, (layout, between) in LISTS.items()}
+    told = {"intro": (intro or taxonomy.description or INTRO).strip(), "rule": positive_rule or ONLY_TRUE}
+    return TASK_PROMPT.format(subject=subject, title=subject.upper(), block=taxonomy.block_name, **told, **lists)
 
 
 def apply_format_template(content: str, response_format: str) -> str:

@@ -101,6 +101,17 @@ def eval_from_records(spark, sf):
     return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
 
 
+def eval_summary_text(spark, sf):
+    """The text that people read: what was scored under which policies, and a line for each category."""
+    rows = X.samples(spark, sf)
+    truth = rows.select(F.col("sid").cast("string").alias("id"), F.col("gt").alias("labels"))
+    kept = F.when(F.col("sid") % 4 == 3, "parse_error").otherwise("ok")
+    made = rows.where("sid % 7 > 0").select(F.col("sid").cast("string").alias("id"), kept.alias("status"), F.col("pred").alias("labels"))
+    result = evaluate.evaluate(truth, made, TAX, "exclude", "exclude", listed=5)
+    lines = evaluate.summary_text(result, TAX).splitlines()
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines) if k not in (1, 2)], "line int, text string")
+
+
 DRAWN, SEED = 150, 7
 
 
@@ -268,7 +279,7 @@ def prompt_texts(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (predict_run, predict_stream, eval_from_records, select_random, recipe_rows, recipe_manifests, media_missing, media_probes, media_containers, reward_session)
+    for f in (predict_run, predict_stream, eval_from_records, eval_summary_text, select_random, recipe_rows, recipe_manifests, media_missing, media_probes, media_containers, reward_session)
 }
 #: Settings and texts that come from no table: their SQL states what they should be, and a unit test compares the two.
 SETTINGS = {f.__name__: f for f in (reward_settings, config_documents, inference_settings, request_messages, prompt_texts)}
@@ -332,11 +343,16 @@ RESULT = {
     predicted = f"""WITH p AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN 'video_error' WHEN p_partkey % 5 = 0 OR p_partkey % 13 = 0 THEN 'generation_error' WHEN p_partkey % 17 = 0 THEN 'partial' ELSE 'ok' END AS status FROM part)
 SELECT CAST(n AS VARCHAR) AS id, status, CASE WHEN status IN ('ok', 'partial') THEN {labels} END AS labels, CASE WHEN status NOT IN ('ok', 'partial') THEN NULL WHEN {flagged} THEN true WHEN status = 'ok' THEN false END AS unsafe,
 CASE WHEN status IN ('ok', 'partial') THEN CAST(n AS VARCHAR) END AS explanation, CASE WHEN n % 7 = 0 THEN 'OSError: cannot open' WHEN n % 5 = 0 THEN 'RuntimeError: lost' WHEN n % 13 = 0 THEN 'no output' END AS error FROM p"""
+    titles = ", ".join(f"({text(c.id)}, {text(c.name)})" for c in TAX.categories)
+    scored = f"a AS ({X.SAMPLES}), c AS (SELECT * FROM a WHERE sid % 7 > 0 AND sid % 4 <> 3), k AS ({O.category_rows()}), n(category, name) AS (VALUES {titles})"
+    shares = ", ".join(f"100 * ({O.div(a, b)})" for a, b in (("tp", "tp + fp"), ("tp", "tp + fn"), ("2 * tp", "2 * tp + fp + fn")))
     # the draw is Python's generator, so it stands here for each number of orders that the tables have
     draws = ", ".join(f"({total}, {k}, {i})" for total in (1_500, 15_000, 150_000) for k, i in enumerate(random.Random(SEED).sample(range(total), DRAWN)))
     return {
         "predict_stream": predicted,
         "eval_from_records": O.summary_sql(("num_samples", "jaccard_similarity", "exact_match_ratio", "micro_f1")),
+        "eval_summary_text": f"""WITH {scored} SELECT CAST(0 AS INTEGER) AS line, 'Scored ' || count(*) FILTER (sid % 7 > 0 AND sid % 4 <> 3) || ' of ' || count(*) || ' samples (invalid ' || count(*) FILTER (sid % 7 > 0 AND sid % 4 = 3)
+|| ': exclude, missing ' || count(*) FILTER (sid % 7 = 0) || ': exclude, partial 0)' AS text FROM a UNION ALL SELECT CAST(pos + 2 AS INTEGER), '  ' || category || ' ' || name || ': ' || printf('%.2f/%.2f/%.2f', {shares}) || ' (' || (tp + fn) || ')' FROM k JOIN n USING (category)""",
         "select_random": f"""WITH d(total, k, i) AS (VALUES {draws}), o AS (SELECT o_orderkey AS sid, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM (SELECT DISTINCT o_orderkey FROM orders))
 SELECT CAST(k AS BIGINT) AS ord, CAST(sid AS VARCHAR) AS id, 'kept' AS rank FROM o JOIN d ON o.i = d.i AND o.total = d.total""",
         "predict_run": f"""WITH p AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN 'video_error' WHEN p_partkey % 5 = 0 OR p_partkey % 13 = 0 THEN 'generation_error' WHEN p_partkey % 17 = 0 THEN 'partial' ELSE 'ok' END AS status FROM part)

@@ -5,7 +5,6 @@ All of them refuse to overwrite unless they are told to.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -18,27 +17,11 @@ from pyspark.sql import functions as F
 from plumbline.sources import stores
 from plumbline.sources.ordered import refuse, write_ordered
 from plumbline.sources.records import DataError
+from plumbline.sources.shared import discard_folder, shared_folder
 
 SKIPPED = ("checksums.sha256",)
 
 
-def _rows(df: DataFrame, order: str | None) -> Iterator[dict[str, Any]]:
-    """Rows in order, one partition at a time on the driver."""
-    columns = [c for c in df.columns if c != order]
-    for row in (df.orderBy(order) if order else df).toLocalIterator():
-        yield {c: _plain(row[c]) for c in columns}
-
-
-def _plain(value: Any) -> Any:
-    if hasattr(value, "asDict"):
-        return {k: _plain(v) for k, v in value.asDict().items()}
-    if hasattr(value, "toPython"):
-        return value.toPython()
-    if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
-    return value
-
-
 def json_rows(df: DataFrame, order: str | None = None) -> DataFrame:
     """The rows as JSON objects in the column ``line``, beside the order; ``extra`` is flattened, and wins a clash."""
     variants = [c for c, t in df.dtypes if t == "variant"]
@@ -135,10 +118,22 @@ def verify_checksums(spark: SparkSession, folder: str) -> list[str]:
     return [r.name for r in joined.where(F.col("sha256").isNull() | (F.col("sha256") != F.col("want"))).orderBy("name").collect()]
 
 
+def placed_rows(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """The rows of Parquet files with their place: the file's name, then the row in it."""
+    rows = spark.read.parquet(path)
+    return rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(place))
+
+
 def rows_fingerprint(df: DataFrame, order: str | None = None) -> tuple[str, int]:
-    """SHA-256 chained over the rows in order, and their number: the same for any encoding of the same rows."""
-    digest, n = hashlib.sha256(), 0
-    for row in _rows(df.select("id", "video_path", "prompt", "response", *([order] if order else [])), order):
-        digest.update(json.dumps(row, sort_keys=True, ensure_ascii=False).encode() + b"\n")
-        n += 1
-    return digest.hexdigest(), n
+    """SHA-256 of the rows in order, one JSON object a line, and their number: the same for any encoding of the same rows.
+
+    Tasks write the lines, as one ordered file of the shared folder, and a task reads the digest off that file piece by piece.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    try:
+        path = f"{folder}/rows.jsonl"
+        n = write_ordered(json_rows(df.select("id", "prompt", "response", "video_path", *([order] if order else [])), order), order, path)
+        return stores.digests(spark.createDataFrame([(path,)], "path string")).first()["digest"], n
+    finally:
+        discard_folder(folder, spark)

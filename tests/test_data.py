@@ -41,6 +41,17 @@ def test_records_load_and_fail_loudly(spark, tmp_path):
     assert parsed.where("error is null").count() == 0 and parsed.count() == len(cases)
 
 
+def test_report_tells_the_first_errors():
+    report = records.ValidationReport(3)
+    report.raise_if_errors()
+    report.errors += [f"e{k}" for k in range(25)]
+    report.cardinality_counts.update({2: 1, 0: 2})
+    with pytest.raises(source.DataError, match="e0; .*e19; 5 errors besides"):
+        report.raise_if_errors()
+    document = report.to_dict()
+    assert list(document) == records.DOCUMENT and document["num_benign"] == 2 and document["label_cardinality"] == {"0": 2, "2": 1}
+
+
 def test_validation(spark):
     recs = table(spark, ("a", "x.mp4", ["C1"]), ("b", "/x/x.mp4", ["C1", "C2"]), ("a", "x.mp4", []), ("c", "s3://v", []))
     report = records.validate_records(recs, TAX, "/nowhere")
