@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, discard_folder, shared_folder, shuffled_once, written
 from plumbline.llm.eliasfano import EliasFano, Folder, Opened, prefixed
+from plumbline.operators.selection import with_rank
 
 U64 = np.uint64
 LOW = U64(0xFFFFFFFF)
@@ -440,7 +441,7 @@ def _keys(batches: Iterator[pa.RecordBatch], reader: Reader, k: int, most: int)
 
 def _bounds(coded: DataFrame, model: Model, k: int, parts: int) -> np.ndarray:
     """Keys that cut the order's n-grams into ``parts`` ranges of about equal numbers: quantiles of the distinct n-grams
-    of some training rows. Where they fall decides no result."""
+    of some training rows, numbered over sorted ranges, so that only the bounds come to the driver. Where they fall decides no result."""
     if parts < 2:
         return np.zeros(0, U64)
     wanted = DRAWN * parts
@@ -453,9 +454,15 @@ def _bounds(coded: DataFrame, model: Model, k: int, parts: int) -> np.ndarray:
             keys = keys[(keys * U64(0x9E3779B97F4A7C15)) >> U64(60) == 0]  # a sixteenth, the same in all tasks
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
 
-    found = part.mapInArrow(draw, "key bigint").distinct().toArrow().column(0).to_numpy().view(U64)
-    drawn = np.sort(found)
-    return np.unique(drawn[np.arange(1, parts) * len(drawn) // parts]) if len(drawn) else np.zeros(0, U64)
+    unsigned = F.col("key").bitwiseXOR(F.lit(-1 << 63)).alias("u")  # in the order of unsigned keys
+    ranked = with_rank(part.mapInArrow(draw, "key bigint").distinct().select("key", unsigned), "u", "place")
+    drawn = ranked.count()
+    # the first bound that is at this place or after it, and whether it is at this place
+    numbered = ranked.withColumn("nth", F.expr(f"greatest(1L, (place * {parts}L + {drawn - 1}L) div {max(1, drawn)}L)"))
+    here = numbered.where(f"nth < {parts} AND (nth * {drawn}L) div {parts}L = place")
+    found = np.sort(here.select("key").toArrow().column(0).to_numpy().view(U64))
+    discard(ranked, coded.sparkSession)
+    return found
 
 
 def _runs(batches: Iterator[pa.RecordBatch], reader: Reader, k: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import eliasfano, htmltext, quality, sharding, simhash
+from plumbline.llm import eliasfano, htmltext, lm, quality, sharding, simhash
 from plumbline.llm.common import about
 from tests.llm.test_corpus_operators import docs
 
@@ -121,6 +121,33 @@ def test_hostile_pages_take_linear_time(page):
     assert large < 40 * max(small, 0.005)
 
 
+def test_density_alone_leaves_menus_and_links_out(monkeypatch):
+    for lists in ("NAMES", "HEADERS", "OWN_NAMES", "OWN_TAGS", "ROLES", "DROPPED"):
+        monkeypatch.setattr(htmltext, lists, frozenset())
+    paragraphs = [f"Paragraph {k} of the story goes on for a good while, with words enough in it to be read as an article." for k in range(6)]
+    links = lambda n, word: " ".join(f'<a href="/{k}">{word} {k}</a>' for k in range(n))
+    story = "".join(f"<p>{p}</p>" for p in paragraphs)
+    for nav, box, foot in (("div", "div", "div"), ("nav", "aside", "footer")):
+        page = f"<body><{nav}>{links(8, 'Section')}</{nav}><div><div>{story}</div><{box}>{links(6, 'More stories like this')}</{box}></div><{foot}><span>Terms</span> {links(5, 'Legal')}</{foot}></body>"
+        assert htmltext.main_text(page).split("\n\n") == paragraphs
+
+
+# bounds of a level's files
+
+
+@pytest.mark.parametrize("parts", [2, 7, 300])
+def test_only_bounds_come_to_the_driver(spark, monkeypatch, parts):
+    rng = np.random.default_rng(parts)
+    keys = np.unique(rng.integers(0, 1 << 64, 900, np.uint64))
+    keys = keys[(keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) == 0]
+    rows = spark.createDataFrame([(True, 1, 1, 0.0, [0])] * 3, "train boolean, doc_id bigint, n_tokens bigint, base_score double, ids array<int>")
+    monkeypatch.setattr(lm, "_keys", lambda *_: iter([keys]))
+    monkeypatch.setattr(lm, "Reader", lambda model: None)
+    model = type("M", (), {"tokens": 1})()
+    wanted = np.unique(keys[np.arange(1, parts) * len(keys) // parts])
+    assert lm._bounds(rows, model, 2, parts).tolist() == wanted.tolist()
+
+
 # the ring
 
 
