@@ -29,8 +29,8 @@ def resolve_label(label: Column, taxonomy: Taxonomy) -> Column:
 
 
 def in_order(ids: Column, taxonomy: Taxonomy) -> Column:
-    """The ids of an array that are categories, each once, in category order."""
-    return from_flags([F.array_contains(ids, i) for i in taxonomy.ids], taxonomy)
+    """The ids of an array that are categories, each once, in category order; null stays null. The array is named once, so it is computed once."""
+    return F.array_intersect(literal_array(taxonomy.ids), ids)
 
 
 def resolve_labels(labels: Column, taxonomy: Taxonomy, strict: bool = True) -> Column:

@@ -85,10 +85,14 @@ def apply_policies(samples: DataFrame, invalid: str, missing: str = "error") ->
 
 
 def check_policies(samples: DataFrame, invalid: str, missing: str) -> None:
-    lacking = samples.where(F.col("pred").isNull())
-    for policy, what, rows in ((missing, "samples have no prediction", lacking.where("status = 'missing'")), (invalid, "predictions are invalid", lacking.where("status <> 'missing'"))):
-        if policy == "error" and (n := rows.count()):
-            raise EvaluationError(f"{n} {what}, e.g. {[r.id for r in rows.orderBy('id').limit(5).collect()]}; choose negative or exclude")
+    """The 'error' policies: both are counted in one pass."""
+    lacking, absent = F.col("pred").isNull(), F.col("status") == "missing"
+    kinds = ((missing, "samples have no prediction", lacking & absent), (invalid, "predictions are invalid", lacking & ~absent))
+    asked = [(what, rows) for policy, what, rows in kinds if policy == "error"]
+    counts = samples.agg(*(F.count_if(rows) for _, rows in asked)).first() if asked else ()
+    for (what, rows), n in zip(asked, counts):
+        if n:
+            raise EvaluationError(f"{n} {what}, e.g. {[r.id for r in samples.where(rows).orderBy('id').limit(5).collect()]}; choose negative or exclude")
 
 
 def coverage(samples: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from plumbline.plans.recipe import run_recipe
 from plumbline.sources import stores
 from plumbline.sources.ordered import write_ordered
 from plumbline.sources.records import load_records
-from plumbline.sources.shared import put_text, shared_folder
+from plumbline.sources.shared import put_text, shared_folder, written
 from plumbline.sources.versions import VersionedTable
 from plumbline.streaming.predictions import StreamingPredictions
 from plumbline.taxonomy import load_taxonomy
@@ -89,13 +89,13 @@ def eval_from_records(spark, sf):
     """Metrics of a record file's truth against a prediction for each record, under the strict policies."""
     path = shared_folder(spark) + "/records.jsonl"
     line = F.to_json(F.struct(F.col("sid").alias("id"), F.concat(F.lit("v/"), "sid").alias("video"), F.col("gt").alias("labels"), F.lit(1).alias("rank")))
-    rows = X.samples(spark, sf)
+    rows = written(X.samples(spark, sf).select("sid", "gt", "pred"), spark)
     write_ordered(rows.select("sid", line.alias("line")), "sid", path)
     truth = evaluate.ground_truth(load_records(spark, path, TAX), TAX)
     made = rows.select("sid", F.col("sid").cast("string").alias("id"), F.lit("ok").alias("status"), F.col("pred").alias("labels")).drop("sid")
     for df, what in ((truth, "ground truth"), (made, "prediction")):
         evaluate.require_unique(df, what)
-    joined = evaluate.join_predictions(truth, made)
+    joined = written(evaluate.join_predictions(truth.select("id", "labels"), made), spark)
     evaluate.check_policies(joined, "error", "error")
     found = metrics.summary(evaluate.apply_policies(joined, "error", "error"), TAX, only=("num_samples", "jaccard_similarity", "exact_match_ratio", "micro_f1"))
     return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))

@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 
 from plumbline.functions.text import strip
 
+#: Files whose splits' counts go to all tasks.
+FEW = 10_000
+
 
 def lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """path, ord (line number from 1) and line of a text file, blank lines left out.
@@ -24,6 +27,8 @@ def lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
         counted = read.groupBy(F.col("path").alias("of"), F.col("split").alias("from")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
         before = F.sum("n").over(W.partitionBy("of").orderBy("from")) - F.col("n")
         starts = counted.select("of", "from", (before - F.col("first") + 1).alias("shift"))
+        # a row a split; where the files are few those are few too, and the lines needn't be shuffled by file and split
+        starts = F.broadcast(starts) if len(read.inputFiles()) <= FEW else starts
         joined = read.join(starts, (F.col("path") == F.col("of")) & (F.col("split") == F.col("from")))
         rows = joined.select("path", (F.col("at") + F.col("shift")).alias("ord"), "line")
     else:

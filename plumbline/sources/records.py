@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.labels import label_id, resolve_labels
+from plumbline.functions.labels import in_order, label_id
 from plumbline.sources.lines import lines
+from plumbline.sources.shared import discard, free_name, written
 from plumbline.taxonomy import Taxonomy
 
 REQUIRED = ("id", "video", "labels")
@@ -28,29 +29,32 @@ def parse_records(rows: DataFrame, taxonomy: Taxonomy, line: str = "line") -> Da
 
     Whole numbers and text are ids and labels, booleans aren't; two labels of one category are an error.
     """
-    data = F.try_parse_json(F.col(line))
-    get = lambda path, kind: F.try_variant_get(data, path, kind)
-    has = lambda k: F.try_variant_get(data, f"$.{k}", "variant")
-    kinds = {k: _kind(has(k)) for k in REQUIRED}
-    labels = get("$.labels", "array<variant>")
-    spelled = F.transform(labels, lambda v: _spelling(v))
-    found = resolve_labels(F.coalesce(spelled, F.array().cast("array<string>")), taxonomy, strict=False)
-    sid = F.when(kinds["id"].isin("STRING", "BIGINT", "INT", "SMALLINT", "TINYINT") | kinds["id"].startswith("DECIMAL") & kinds["id"].endswith(",0)"), get("$.id", "string"))
-    missing = F.filter(F.array(*(F.when(kinds[k] == "NONE", F.lit(k)) for k in REQUIRED)), lambda x: x.isNotNull())
-    unknown = F.exists(spelled, lambda s: s.isNull() | label_id(s, taxonomy).isNull())
+    taken = {k: free_name(rows, f"__{k}") for k in ("data", "whole", "text_id", "text_video", *(f"{x}_{k}" for x in ("part", "kind") for k in REQUIRED), "spelled", "named", "found")}
+    of = lambda k: F.col(taken[k])
+    parse = lambda df, **columns: df.withColumns({taken[k]: c for k, c in columns.items()})
+    get = lambda k, kind: F.try_variant_get(of("data"), f"$.{k}", kind)
+    # step by step, each in columns of its own: in one expression a line would be parsed again for every use of it
+    read = parse(rows, data=F.try_parse_json(F.col(line)))
+    read = parse(read, whole=_kind(of("data")), text_id=get("id", "string"), text_video=get("video", "string"), **{f"part_{k}": get(k, "variant") for k in REQUIRED})
+    read = parse(read, spelled=F.transform(get("labels", "array<variant>"), _spelling), **{f"kind_{k}": _kind(of(f"part_{k}")) for k in REQUIRED})
+    read = parse(read, named=F.transform(of("spelled"), lambda s: F.coalesce(label_id(s, taxonomy), F.lit(""))))  # no id is empty
+    read = parse(read, found=F.coalesce(in_order(of("named"), taxonomy), F.array().cast("array<string>")))
+    kinds, found, spelled = {k: of(f"kind_{k}") for k in REQUIRED}, of("found"), of("spelled")
+    sid = F.when(kinds["id"].isin("STRING", "BIGINT", "INT", "SMALLINT", "TINYINT") | kinds["id"].startswith("DECIMAL") & kinds["id"].endswith(",0)"), of("text_id"))
+    missing = F.concat_ws(", ", *(F.when(kinds[k] == "NONE", F.lit(k)) for k in REQUIRED))
     error = (
-        F.when(data.isNull(), "invalid JSON")
-        .when(~_kind(data).startswith("OBJECT"), "record must be a JSON object")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing field(s) "), F.array_join(missing, ", ")))
+        F.when(of("data").isNull(), "invalid JSON")
+        .when(~of("whole").startswith("OBJECT"), "record must be a JSON object")
+        .when(missing != "", F.concat(F.lit("missing field(s) "), missing))
         .when(F.coalesce(sid, F.lit("")) == "", "'id' must be a non-empty string")
-        .when((kinds["video"] != "STRING") | (get("$.video", "string") == ""), "'video' must be a non-empty string")
+        .when((kinds["video"] != "STRING") | (of("text_video") == ""), "'video' must be a non-empty string")
         .when(~kinds["labels"].startswith("ARRAY"), "'labels' must be a list (use [] for benign)")
-        .when(unknown, F.concat(F.lit("unknown label in "), get("$.labels", "string")))
-        .when(F.size(found) != F.size(spelled), F.concat(F.lit("duplicate labels "), get("$.labels", "string")))
+        .when(F.array_contains(of("named"), ""), F.concat(F.lit("unknown label in "), get("labels", "string")))
+        .when(F.size(found) != F.size(spelled), F.concat(F.lit("duplicate labels "), get("labels", "string")))
     )
-    parsed = rows.withColumns({"id": sid, "video": get("$.video", "string"), "labels": found, "extra": data, "error": error})
+    parsed = read.withColumns({"id": sid, "video": of("text_video"), "labels": found, "extra": of("data"), "error": error})
     good = F.col("error").isNull()
-    return parsed.withColumns({c: F.when(good, F.col(c)) for c in ("id", "video", "labels")})
+    return parsed.withColumns({c: F.when(good, F.col(c)) for c in ("id", "video", "labels")}).drop(*taken.values())
 
 
 def _spelling(v: Column) -> Column:
@@ -62,10 +66,14 @@ def _spelling(v: Column) -> Column:
 
 
 def load_records(spark: SparkSession, path: str, taxonomy: Taxonomy) -> DataFrame:
-    """ord, id, video, labels and extra of a JSON-lines file. Bad lines are an error that names the first of them."""
-    parsed = parse_records(lines(spark, path), taxonomy)
+    """ord, id, video, labels and extra of a JSON-lines file. Bad lines are an error that names the first of them.
+
+    Lines are parsed once, into a written table that the checks and all later steps read.
+    """
+    parsed = written(parse_records(lines(spark, path), taxonomy).drop("line"), spark)
     bad = parsed.where("error is not null").orderBy("path", "ord").select("path", "ord", "error").limit(1).collect()
     if bad:
+        discard(parsed, spark)
         raise DataError(f"{bad[0].path}:{bad[0].ord}: {bad[0].error}")
     return parsed.select("ord", "id", "video", "labels", "extra")
 
