@@ -20,6 +20,8 @@ from plumbline.taxonomy import Taxonomy
 
 RUN_FORMAT = "prediction_run/v1"
 ERRORS = ("video_error", "generation_error")
+#: Inputs of a task, at most about so many: a task for each core, or more where the inputs are many.
+TASK_ROWS = 100_000
 GENERATED = "id string, video string, response string, status string, error string"
 
 
@@ -49,22 +51,26 @@ def _answers(backend: Backend, requests: list[object]) -> list[str | Exception |
 def generate(inputs: DataFrame, make_backend: Callable[[], Backend], batch_size: int = 8) -> DataFrame:
     """One row for every input: its response, or a video or generation error. Each task makes its backend once.
 
-    Ids must be unique; a video that can't be prepared and an answer that fails concern their own row only.
+    Ids must be unique; a video that can't be prepared and an answer that fails concern their own row only. Inputs are dealt out by id over all
+    cores, as a small file of inputs would otherwise be one task's work.
     """
-    if inputs.groupBy("id").count().where("count > 1").limit(1).count():
+    rows, most = inputs.groupBy("id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if most is not None and most > 1:
         raise ValueError("ids must be unique")
+    size = max(1, batch_size)
+    parts = max(1, min(rows or 0, max(inputs.sparkSession.sparkContext.defaultParallelism, -(-(rows or 0) // TASK_ROWS))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = None
         for frame in frames:
             backend = backend or make_backend()
-            for start in range(0, len(frame), max(1, batch_size)):
-                part = frame.iloc[start : start + max(1, batch_size)]
-                texts: list[str | None] = [None] * len(part)
-                status: list[str | None] = [None] * len(part)
-                errors: list[str | None] = [None] * len(part)
+            videos = frame["video"].tolist()
+            texts: list[str | None] = [None] * len(videos)
+            status: list[str | None] = [None] * len(videos)
+            errors: list[str | None] = [None] * len(videos)
+            for start in range(0, len(videos), size):
                 ready = []
-                for k, video in enumerate(part["video"]):
+                for k, video in enumerate(videos[start : start + size], start):
                     try:
                         ready.append((k, backend.prepare(video)))
                     except Exception as e:  # a bad video is a result
@@ -75,9 +81,10 @@ def generate(inputs: DataFrame, make_backend: Callable[[], Backend], batch_size:
                         texts[k] = answer
                     else:
                         status[k], errors[k] = ERRORS[1], f"{type(answer).__name__}: {answer}" if answer is not None else "no output"
-                yield pd.DataFrame({"id": part["id"], "video": part["video"], "response": texts, "status": status, "error": errors})
+            # one frame for each that came: frames of a batch's few rows cost more than the rows
+            yield pd.DataFrame({"id": frame["id"], "video": frame["video"], "response": texts, "status": status, "error": errors})
 
-    return inputs.select("id", "video").mapInPandas(run, GENERATED)
+    return inputs.select("id", "video").repartition(parts, "id").mapInPandas(run, GENERATED)
 
 
 def _unsafe(labels: Column, partial: Column) -> Column:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import resolve_labels
-from plumbline.operators import evaluate
+from plumbline.operators import evaluate, predict
 from plumbline.sources import records
+from tests.backends import Echo
 from tests.responses import TAX
 
 
@@ -56,3 +57,14 @@ def test_policies_are_counted_in_one_pass(spark):
     with pytest.raises(evaluate.EvaluationError, match=r"1 predictions are invalid, e.g. \['c'\]"):
         evaluate.check_policies(samples, "error", "negative")
     evaluate.check_policies(samples, "exclude", "negative")
+
+
+def test_predictions_use_all_cores(spark):
+    inputs = spark.createDataFrame([(str(k), f"v{k}") for k in range(400)], "id string, video string").coalesce(1)
+    made = predict.generate(inputs, Echo, 8)
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert sorted(r.id for r in made.collect()) == sorted(str(k) for k in range(400))
+    assert len({r[0] for r in made.select(F.spark_partition_id()).collect()}) > 1
+    assert predict.generate(inputs.limit(1), Echo, 8).count() == 1 and predict.generate(inputs.where("false"), Echo, 8).count() == 0
+    with pytest.raises(ValueError, match="unique"):
+        predict.generate(inputs.unionByName(inputs), Echo, 8)
