@@ -15,6 +15,7 @@ from plumbline.operators.records import overlap_messages, validate_records
 from plumbline.plans.prompts import resolve_prompt
 from plumbline.sources import sinks, stores
 from plumbline.sources.records import load_records
+from plumbline.sources.shared import discard, written
 from plumbline.taxonomy import BUILTINS, load_taxonomy
 
 
@@ -50,7 +51,7 @@ def run_recipe(spark: SparkSession, path: str, variables: Mapping[str, str] | No
         spec = str(at.parent / spec)
     taxonomy = load_taxonomy(spec)
     policies, root = recipe.get("validate") or {}, recipe.get("video_root") or None
-    splits = {name: load_records(spark, p, taxonomy).persist() for name, p in recipe["splits"].items()}
+    splits = {name: load_records(spark, p, taxonomy) for name, p in recipe["splits"].items()}  # written tables
     try:
         reports = {}
         for name, records in splits.items():
@@ -66,7 +67,7 @@ def run_recipe(spark: SparkSession, path: str, variables: Mapping[str, str] | No
         outputs = [_write(spark, recipe, splits, taxonomy, o, at.parent, dry_run, overwrite) for o in recipe.get("outputs") or []]
     finally:
         for records in splits.values():
-            records.unpersist()
+            discard(records, spark)
     return {"recipe": path, "taxonomy": taxonomy.name, "taxonomy_fingerprint": taxonomy.fingerprint(), "validation": reports, "split_overlap": overlap, "outputs": outputs}
 
 
@@ -75,7 +76,7 @@ def _write(spark, recipe, splits, taxonomy, output, base: Path, dry_run: bool, o
     if split not in splits:
         raise RecipeError(f"unknown split {split!r}")
     prompt, info = resolve_prompt(output["prompt"], taxonomy, base)
-    rows = build_output(splits[split], taxonomy, output, prompt).persist()
+    rows = written(build_output(splits[split], taxonomy, output, prompt), spark)
     try:
         rl = "response" in rows.columns
         counts = rows.select(F.explode("response" if rl else "labels").alias("v")).groupBy(F.col("v").cast("string").alias("v")).count().collect()
@@ -87,12 +88,12 @@ def _write(spark, recipe, splits, taxonomy, output, base: Path, dry_run: bool, o
                 done["files"] = {r.name: r.sha256 for r in sinks.checksums(spark, target).where("name LIKE '%.parquet'").orderBy("name").collect()}
             else:
                 sinks.write_json_lines(rows, target, "ord", overwrite)
-                done["sha256"] = sinks.file_sha256(target)
+                done["sha256"] = sinks.file_sha256(target, spark)
                 if output.get("dataset_name"):
                     done["dataset_info"] = sinks.upsert_dataset_entry(target.rpartition("/")[0], output["dataset_name"], target.rpartition("/")[2])
             source = recipe["splits"][split]
-            done["inputs"] = {split: {"path": str(source), "sha256": sinks.file_sha256(source)}}
+            done["inputs"] = {split: {"path": str(source), "sha256": sinks.file_sha256(source, spark)}}
             sinks.write_json(f"{target}.manifest.json", done)
     finally:
-        rows.unpersist()
+        discard(rows, spark)
     return done

@@ -44,7 +44,12 @@ def json_rows(df: DataFrame, order: str | None = None) -> DataFrame:
 
 def write_json_lines(df: DataFrame, path: str, order: str | None = "ord", overwrite: bool = False) -> int:
     """One file with one JSON object a line, non-ASCII text as it is; the number of rows. ``extra`` is flattened, and wins a clash."""
-    return write_ordered(json_rows(df, order), order, str(path), overwrite=overwrite)
+    return write_ordered(_sorted_lines(df, order), None, str(path), overwrite=overwrite)
+
+
+def _sorted_lines(df: DataFrame, order: str | None) -> DataFrame:
+    """The lines in order. Rows are sorted before they are made into text, as a sort runs what comes before it twice, the first time for its bounds."""
+    return json_rows(df.orderBy(order) if order else df, order)
 
 
 def write_json_lines_distributed(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -94,8 +99,11 @@ def write_json(path: str | Path, value: Any) -> None:
     stores.replace(str(path), (json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n").encode())
 
 
-def file_sha256(path: str | Path) -> str:
-    return stores.digest(str(path))
+def file_sha256(path: str | Path, spark: SparkSession | None = None) -> str:
+    """A file's digest, read piece by piece: by a task where there is a session, else here."""
+    if spark is None:
+        return stores.digest(str(path))
+    return stores.digests(spark.createDataFrame([(stores.root(spark, str(path)),)], "path string").coalesce(1)).first()["digest"]
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +141,7 @@ def rows_fingerprint(df: DataFrame, order: str | None = None) -> tuple[str, int]
     folder = shared_folder(spark)
     try:
         path = f"{folder}/rows.jsonl"
-        n = write_ordered(json_rows(df.select("id", "prompt", "response", "video_path", *([order] if order else [])), order), order, path)
+        n = write_ordered(_sorted_lines(df.select("id", "prompt", "response", "video_path", *([order] if order else [])), order), None, path)
         return stores.digests(spark.createDataFrame([(path,)], "path string")).first()["digest"], n
     finally:
         discard_folder(folder, spark)

@@ -1,16 +1,28 @@
 """Steps that work row by row do so once a row, and on all cores."""
 
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import resolve_labels
 from plumbline.operators import evaluate, predict
-from plumbline.sources import records
+from plumbline.operators import records as checks
+from plumbline.plans.recipe import run_recipe
+from plumbline.sources import records, sinks, stores
 from tests.backends import Echo
 from tests.responses import TAX
 
+RECIPE = """
+taxonomy: safewatch
+splits: {{train: "{d}/train.jsonl"}}
+outputs:
+  - {{kind: rl, split: train, path: "{d}/rl", label_format: index, oversample: [2], prompt: {{text: rate}}}}
+  - {{kind: chat, split: train, path: "{d}/chat.jsonl", target_style: simple, prompt: {{text: task}}}}
+"""
+
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -68,3 +80,39 @@ def test_predictions_use_all_cores(spark):
     assert predict.generate(inputs.limit(1), Echo, 8).count() == 1 and predict.generate(inputs.where("false"), Echo, 8).count() == 0
     with pytest.raises(ValueError, match="unique"):
         predict.generate(inputs.unionByName(inputs), Echo, 8)
+
+
+def test_rows_are_sorted_before_they_become_text(spark):
+    rows = spark.createDataFrame([(k, f"i{k}") for k in range(9)], "ord bigint, id string")
+    plan = optimized(sinks._sorted_lines(rows, "ord"))
+    assert plan.index("MapInArrow") < plan.index("Sort")
+
+
+def test_overlap_of_many_splits(spark):
+    shared = {("i1", "v1"): (0, 33, 64), ("i2", "v2"): (31, 32), ("i3", "v3"): (64,)}
+    splits = {f"s{k}": spark.createDataFrame([(i, v) for (i, v), at in shared.items() if k in at] + [(f"own{k}", f"own{k}")], "id string, video string") for k in range(65)}
+    found = checks.split_overlap(splits)
+    assert "collect_set" not in optimized(found)
+    pairs = {(r["first"], r.second, r.kind): (r.n, r.examples) for r in found.collect()}
+    assert pairs == {(f"s{a}", f"s{b}", kind): (1, [kind[0] + n]) for a, b, n in ((0, 33, "1"), (0, 64, "1"), (33, 64, "1"), (31, 32, "2")) for kind in ("id", "video")}
+
+
+def test_a_recipe_reads_no_file_whole_in_the_driver(spark, tmp_path, monkeypatch):
+    driver, real = os.getpid(), stores.digest
+
+    def elsewhere(address, kind="sha256"):
+        if os.getpid() == driver:
+            raise AssertionError("a digest in the driver")
+        return real(address, kind)
+
+    lines = "".join(json.dumps({"id": k, "video": f"{k}.mp4", "labels": [k % 3 + 1]}) + "\n" for k in range(30))
+    (tmp_path / "train.jsonl").write_text(lines)
+    (tmp_path / "recipe.yaml").write_text(RECIPE.format(d=tmp_path))
+    monkeypatch.setattr(stores, "digest", elsewhere)
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    done = run_recipe(spark, str(tmp_path / "recipe.yaml"))
+    rl, chat = done["outputs"]
+    assert rl["rows"] == 40 and chat["rows"] == 30 and rl["inputs"]["train"]["sha256"] == hashlib.sha256(lines.encode()).hexdigest()
+    assert chat["sha256"] == hashlib.sha256((tmp_path / "chat.jsonl").read_bytes()).hexdigest()
+    assert [json.loads(x)["id"] for x in (tmp_path / "chat.jsonl").read_text().splitlines()] == [str(k) for k in range(30)]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
