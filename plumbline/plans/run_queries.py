@@ -136,7 +136,8 @@ outputs:
 
 def _recipe(spark, sf) -> tuple[str, dict[str, Any]]:
     root = shared_folder(spark)
-    rows = X.samples(spark, sf).select("sid", F.to_json(F.struct(F.col("sid").cast("string").alias("id"), F.concat(F.lit("v/"), "sid").alias("video"), F.col("gt").alias("labels"))).alias("line"))
+    line = F.to_json(F.struct(F.col("sid").cast("string").alias("id"), F.concat(F.lit("v/"), "sid").alias("video"), F.col("gt").alias("labels")))
+    rows = written(X.samples(spark, sf).select("sid", "gt"), spark).select("sid", line.alias("line"))
     for name, part in (("train", rows.where("sid % 10 > 0")), ("val", rows.where("sid % 10 = 0"))):
         write_ordered(part, "sid", f"{root}/{name}.jsonl")
     put_text(spark, f"{root}/recipe.yaml", RECIPE.format(root=root))
